@@ -1,13 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, language_id, quality, toxicity
+from . import bpe, exact_dedup, fingerprint, language_id, mixing, pii, quality, toxicity, warc
 
 _ALL = {
     "op1_language_id": language_id,
     "op2_bpe": bpe,
+    "op4_warc": warc,
+    "op5_mixing": mixing,
     "op6_quality": quality,
+    "op7_fingerprint": fingerprint,
     "op8_exact_dedup": exact_dedup,
     "op9_toxicity": toxicity,
+    "op10_pii": pii,
 }
 
 QUERIES = {name: module.query for name, module in _ALL.items()}
