@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, exact_dedup, fingerprint, language_id, mixing, pii, quality, toxicity, warc
+from . import bpe, exact_dedup, fingerprint, jaccard_join, language_id, mixing, pii, quality, toxicity, warc
 
 _ALL = {
     "op1_language_id": language_id,
     "op2_bpe": bpe,
+    "op3_jaccard_join": jaccard_join,
     "op4_warc": warc,
     "op5_mixing": mixing,
     "op6_quality": quality,
