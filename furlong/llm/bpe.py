@@ -208,7 +208,8 @@ def load(vocabulary: bytes, pattern: str) -> PrefixBPE:
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per input row: id_col, n_tokens, ids_sha256, decoded_sha256, and ids (array<int>) if with_ids.
+    """One row per input row: id_col, n_tokens, ids_sha256, decoded_sha256, and ids (little-endian 32-bit integers,
+    binary) if with_ids.
 
     vocabulary: path of a .tiktoken file, read by the driver alone and broadcast (its size is that of the file). A null text
     counts as empty: no ids and the digest of no bytes. Null and repeated ids pass through. Other columns are not read.
@@ -216,7 +217,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
-    types = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
+    types = [("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(raw.value, pattern)
@@ -225,10 +226,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
             for i, text in zip(ids, texts):
                 packed = bpe.encode_packed(text)
                 tokens = memoryview(packed).cast("I")
-                rows.append((i, len(tokens), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(tokens)).hexdigest(), tokens.tolist() if with_ids else None))
+                rows.append((i, len(tokens), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(tokens)).hexdigest(), packed))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), types)], names=[n for n, _ in types])
 
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return common.texts(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -70,11 +70,29 @@ def bit_filter(keys: DataFrame, key: str) -> DataFrame:
     return keys.select(slot.alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
 
 
-def passing(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """Rows whose key may be in the filter. The filter's size is fixed by BITS, so it is safe to broadcast."""
-    cols = rows.columns
+def _marked(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """rows with _hit: whether the key may be in the filter. The filter's size is fixed by BITS, so it is safe to broadcast."""
     slot = F.pmod(F.xxhash64(key), F.lit(BITS)).cast("long")
-    near = rows.withColumn("_s", slot).withColumn("_b", F.bitmap_bucket_number("_s")).join(F.broadcast(bits), "_b")
+    near = rows.withColumn("_s", slot).withColumn("_b", F.bitmap_bucket_number("_s")).join(F.broadcast(bits), "_b", "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, CAST(bitmap_bit_position(_s) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
     mask = F.expr("shiftleft(1, CAST(bitmap_bit_position(_s) % 8 AS INT))")
-    return near.where(byte.bitwiseAND(mask) != 0).select(*cols)
+    return near.withColumn("_hit", F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False)))
+
+
+def passing(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """Rows whose key may be in the filter."""
+    return _marked(rows, key, bits).where("_hit").select(*rows.columns)
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """rows without those whose key is in dropped(key); keys in kept(key) too keep one row. Only rows that the filter of
+    dropped keys lets pass are shuffled; all others stay where they are."""
+    marked = _marked(rows, key, bit_filter(dropped, key))
+    stay = marked.where("NOT _hit").select(*rows.columns)
+    near = marked.where("_hit").select(*rows.columns)
+    clear = near.join(dropped.select(key).distinct(), key, "left_anti").select(*rows.columns)
+    out = stay.unionByName(clear)
+    if kept is not None:
+        both = kept.select(key).join(dropped.select(key), key, "left_semi").distinct()
+        out = out.unionByName(near.join(both, key, "left_semi").dropDuplicates([key]).select(*rows.columns))
+    return out

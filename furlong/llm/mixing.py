@@ -53,8 +53,8 @@ def _log(x: float) -> float:
     return math.log(x)
 
 
-def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 2.0, entropy: float | None = None, seed: str = "mix", blocks: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: id_col, source, n_tokens, weight (of its source), copies (how often the mix takes it).
+def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 1.25, entropy: float | None = None, seed: str = "mix", blocks: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_md5: bool = False) -> DataFrame:
+    """One row per input row: id_col, source, n_tokens, weight (of its source), copies (how often the mix takes it), and text_md5 if with_md5.
 
     budget: tokens of the mix, as a multiple of all tokens. Tokens are words, runs of other characters than white space. A null
     text counts as empty; rows without tokens cost nothing, take part in each whole pass and in the blocks they fall into. A
@@ -86,7 +86,20 @@ def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 2.0, e
     cut = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("upto"))
     whole = rows.where(~cut).withColumn("extra", (F.col("upto") <= F.col("rest")).cast("int"))
     part = rows.where(cut).withColumn("extra", (F.col("before") + F.sum("n_tokens").over(within) <= F.col("rest")).cast("int"))
-    return whole.unionByName(part).select(F.col("id").alias(id_col), F.col("src").alias("source"), "n_tokens", F.round("weight", 9).alias("weight"), (F.col("passes") + F.col("extra")).cast("long").alias("copies"))
+    return whole.unionByName(part).select(F.col("id").alias(id_col), F.col("src").alias("source"), "n_tokens", F.round("weight", 9).alias("weight"), (F.col("passes") + F.col("extra")).cast("long").alias("copies"), *[F.col("digest").alias("text_md5")] * with_md5)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as mix() takes it. Equal rows share their copies evenly."""
+    plan = mix(docs, id_col=id_col, text_col=text_col, with_md5=True, **options)
+    taken = plan.groupBy(F.col(id_col).alias("_i"), F.col("text_md5").alias("_m")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_r")).where("_c > 0")
+    marked = docs.withColumn("_d", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    rows = marked.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_d") == F.col("_m")))
+    single, several = rows.where("_r = 1"), rows.where("_r > 1")
+    nth = F.row_number().over(Window.partitionBy("_i", "_m").orderBy("_d"))
+    each = several.withColumn("_n", F.floor((F.col("_c") + F.col("_r") - nth) / F.col("_r")))
+    both = single.withColumn("_n", F.col("_c")).unionByName(each).where("_n > 0")
+    return both.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +119,9 @@ bisect(step, lo, hi) AS (
   UNION ALL
   SELECT step + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END
   FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid,
-          (SELECT FLOOR(MAX(total)) * MAX(pow(tokens / total, (lo + hi) / 2) / tokens) / SUM(pow(tokens / total, (lo + hi) / 2)) <= 2.0 FROM s, t) AS ok
+          (SELECT FLOOR(MAX(total)) * MAX(pow(tokens / total, (lo + hi) / 2) / tokens) / SUM(pow(tokens / total, (lo + hi) / 2)) <= 1.25 FROM s, t) AS ok
         FROM bisect WHERE step < 32)),
-a AS (SELECT CASE WHEN (SELECT FLOOR(MAX(total)) * MAX(1.0 / tokens) / COUNT(*) <= 2.0 FROM s, t) THEN 0.0 ELSE hi END AS alpha FROM bisect WHERE step = 32),
+a AS (SELECT CASE WHEN (SELECT FLOOR(MAX(total)) * MAX(1.0 / tokens) / COUNT(*) <= 1.25 FROM s, t) THEN 0.0 ELSE hi END AS alpha FROM bisect WHERE step = 32),
 w AS (SELECT key, tokens, pow(tokens / total, alpha) / SUM(pow(tokens / total, alpha)) OVER () AS weight, total FROM s, t, a),
 p AS (SELECT key, tokens, weight, FLOOR(weight * FLOOR(total) + 1e-6)::BIGINT AS own FROM w),
 e AS (SELECT k.key, k.block, COALESCE(weight, 0) AS weight, COALESCE(own // p.tokens, 1) AS passes, COALESCE(own % p.tokens, 0) AS rest,

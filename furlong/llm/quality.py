@@ -95,6 +95,21 @@ def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col
     return common.texts(docs, id_col, text_col).mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, model: Discriminant, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least threshold. A null text is scored as an empty one."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            keep = []
+            for at in range(0, batch.num_rows, 512):
+                keep += (shared.value.score(np.array([features(t or "") for t in texts.slice(at, 512).to_pylist()])) >= threshold).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     model = train(docs, common.read(spark, sf_dir, "labels"), common.crc_mod("_id", 3) != 1)
