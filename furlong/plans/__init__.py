@@ -1,2 +1,453 @@
-QUERIES = {}
-SQL = {}
+"""Queries over the star schema, each with the SQL that an oracle runs."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import graph as G
+from ..operators import ml as M
+from ..operators import quality as Q
+from ..operators import relational as R
+from ..operators import stats as T
+from . import binding as B
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = f"WITH {B.SQL} {sql}"
+        return f
+
+    return add
+
+
+def big(c, name):
+    return (F.col(c) if isinstance(c, str) else c).cast("long").alias(name)
+
+
+def r6(c, name=None):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+
+
+def _n(cond):
+    return F.count(F.when(cond, 1))
+
+
+@query("""SELECT sire, COUNT(*)::BIGINT AS total_entries, COUNT(DISTINCT runner)::BIGINT AS unique_progeny, COUNT(*) FILTER (position = 1)::BIGINT AS wins, COUNT(*) FILTER (position = 1 AND grade = 'G1')::BIGINT AS g1_wins,
+COUNT(*) FILTER (position <= 3)::BIGINT AS podiums, ROUND(100.0::DOUBLE * COUNT(*) FILTER (position = 1) / COUNT(*), 6) AS win_rate_pct, ROUND(100.0::DOUBLE * COUNT(*) FILTER (position <= 3) / COUNT(*), 6) AS podium_rate_pct,
+COUNT(*) FILTER (surface = 'Turf')::BIGINT AS turf_entries, COUNT(*) FILTER (surface = 'Dirt')::BIGINT AS dirt_entries, COUNT(*) FILTER (surface = 'Obstacle')::BIGINT AS obstacle_entries,
+ROUND(AVG(distance), 6) AS avg_distance_m, ROUND(AVG(CASE WHEN position = 1 THEN distance END), 6) AS avg_winning_distance_m FROM ran JOIN pedigree USING (runner) WHERE position < 90 AND sire <> '' GROUP BY sire HAVING COUNT(*) >= 50""")
+def sire_specialisation(s, d):
+    rows = B.ran(s, d).where("position < 90").join(B.pedigree(s, d).where(~S.is_blank(F.col("sire"))), "runner")
+    won, podium = F.col("position") == 1, F.col("position") <= 3
+    out = rows.groupBy("sire").agg(F.count("*").alias("total_entries"), F.countDistinct("runner").alias("unique_progeny"), _n(won).alias("wins"), _n(won & (F.col("grade") == "G1")).alias("g1_wins"), _n(podium).alias("podiums"),
+        *[_n(F.col("surface") == x).alias(f"{x.lower()}_entries") for x in ("Turf", "Dirt", "Obstacle")], r6(F.avg("distance"), "avg_distance_m"), r6(F.avg(F.when(won, F.col("distance"))), "avg_winning_distance_m")).where("total_entries >= 50")
+    pct = lambda c: r6(100.0 * F.col(c) / F.col("total_entries"), {"wins": "win_rate_pct", "podiums": "podium_rate_pct"}[c])
+    return out.select("*", pct("wins"), pct("podiums")).orderBy(F.desc("wins"), F.desc("total_entries"), "sire")
+
+
+@query("""SELECT runner, COUNT(*)::BIGINT AS starts, COUNT(*) FILTER (position = 1)::BIGINT AS wins, COUNT(*) FILTER (position = 2 AND grade = 'G1')::BIGINT AS g1_seconds, COUNT(*) FILTER (position <= 3 AND grade = 'G1')::BIGINT AS g1_podiums,
+ROUND(AVG(year))::INTEGER AS peak_year, CASE WHEN ROUND(AVG(year)) <= 1997 THEN 'early' ELSE 'late' END AS half FROM ran WHERE position < 90 GROUP BY runner""")
+def horse_stats(s, d):
+    g1 = F.col("grade") == "G1"
+    out = B.ran(s, d).where("position < 90").groupBy("runner").agg(F.count("*").alias("starts"), _n(F.col("position") == 1).alias("wins"), _n((F.col("position") == 2) & g1).alias("g1_seconds"), _n((F.col("position") <= 3) & g1).alias("g1_podiums"), F.round(F.avg("year")).cast("int").alias("y"))
+    return out.withColumn("peak_year", S.peak_year(F.col("y"), F.lit(None).cast("int"))).withColumn("half", F.when(F.col("peak_year") <= 1997, "early").otherwise("late")).drop("y")
+
+
+@query("""SELECT COALESCE(sire, 'Total') AS sire, COALESCE(surface, 'Total') AS surface, COUNT(*)::BIGINT AS n FROM ran JOIN pedigree USING (runner) GROUP BY CUBE (sire, surface)""")
+def contingency_margins(s, d):
+    rows = B.ran(s, d).join(B.pedigree(s, d), "runner")
+    return rows.cube("sire", "surface").count().select(F.coalesce("sire", F.lit("Total")).alias("sire"), F.coalesce("surface", F.lit("Total")).alias("surface"), big("count", "n"))
+
+
+@query("""SELECT sire, COUNT(*) FILTER (surface = 'Turf')::BIGINT AS turf, COUNT(*) FILTER (surface = 'Dirt')::BIGINT AS dirt, COUNT(*) FILTER (surface = 'Obstacle')::BIGINT AS obstacle,
+ROUND(100.0::DOUBLE * COUNT(*) FILTER (surface = 'Turf') / COUNT(*), 6) AS turf_pct FROM ran JOIN pedigree USING (runner) GROUP BY sire""")
+def contingency_pivot(s, d):
+    p = B.ran(s, d).join(B.pedigree(s, d), "runner").groupBy("sire").pivot("surface", ["Turf", "Dirt", "Obstacle"]).count().na.fill(0)
+    total = F.col("Turf") + F.col("Dirt") + F.col("Obstacle")
+    return p.select("sire", big("Turf", "turf"), big("Dirt", "dirt"), big("Obstacle", "obstacle"), r6(100.0 * F.col("Turf") / total, "turf_pct"))
+
+
+@query("""SELECT sire, COUNT(*)::BIGINT AS n FROM ran JOIN pedigree USING (runner) GROUP BY sire ORDER BY n DESC, sire LIMIT 15""")
+def top_sires(s, d):
+    return G.top(B.ran(s, d).join(B.pedigree(s, d), "runner").groupBy("sire").agg(F.count("*").alias("n")), "n", ["sire"], 15)
+
+
+@query("""SELECT year, COUNT(*) FILTER (grade = 'G1')::BIGINT AS g1, COUNT(*) FILTER (grade = 'G2')::BIGINT AS g2, COUNT(*) FILTER (grade = 'G3')::BIGINT AS g3, COUNT(*)::BIGINT AS total FROM races GROUP BY year""")
+def year_grade(s, d):
+    p = B.races(s, d).groupBy("year").pivot("grade", ["G1", "G2", "G3"]).count().na.fill(0)
+    return p.select("year", *[big(g, g.lower()) for g in ("G1", "G2", "G3")], big(F.col("G1") + F.col("G2") + F.col("G3"), "total"))
+
+
+@query("""SELECT year, MIN(n)::BIGINT AS least, ROUND(AVG(n), 6) AS mean, MAX(n)::BIGINT AS most, COUNT(*) FILTER (n < 3)::BIGINT AS low FROM (SELECT year, race, COUNT(*) AS n FROM ran GROUP BY ALL) GROUP BY year""")
+def field_sizes(s, d):
+    return B.ran(s, d).groupBy("year", "race").agg(F.count("*").alias("n")).groupBy("year").agg(F.min("n").alias("least"), r6(F.avg("n"), "mean"), F.max("n").alias("most"), _n(F.col("n") < 3).alias("low"))
+
+
+@query("""SELECT field, filled::BIGINT AS filled, total::BIGINT AS total, ROUND(100.0::DOUBLE * filled / total, 6) AS pct, CASE WHEN 100.0 * filled / total > 80 THEN 'good' WHEN 100.0 * filled / total > 50 THEN 'fair' ELSE 'poor' END AS status FROM (
+SELECT unnest([{'field': 'c_name', 'filled': COUNT(*) FILTER (c_name <> '' AND c_name <> '0')}, {'field': 'c_nationkey', 'filled': COUNT(*) FILTER (c_nationkey <> 0)}, {'field': 'c_acctbal', 'filled': COUNT(*) FILTER (c_acctbal <> 0)}], recursive := true), COUNT(*) AS total FROM customer)""")
+def coverage(s, d):
+    return Q.coverage(B.table(s, d, "customer"), ["c_name", "c_nationkey", "c_acctbal"]).withColumn("pct", F.round("pct", 6))
+
+
+@query("""SELECT l_orderkey, l_linenumber, COUNT(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING COUNT(*) > 1""")
+def duplicate_keys(s, d):
+    return B.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("""SELECT (SELECT COUNT(*) FROM part)::BIGINT AS horses, (SELECT COUNT(DISTINCT runner) FROM entries)::BIGINT AS ran, ROUND(100.0::DOUBLE * (SELECT COUNT(DISTINCT runner) FROM entries) / (SELECT COUNT(*) FROM part), 6) AS pct""")
+def pedigree_coverage(s, d):
+    a, b = B.table(s, d, "part").agg(F.count("*").alias("horses")), B.entries(s, d).agg(F.countDistinct("runner").alias("ran"))
+    return a.crossJoin(F.broadcast(b)).select("horses", "ran", r6(100.0 * F.col("ran") / F.col("horses"), "pct"))
+
+
+@query("SELECT a, b, ROUND(weight, 6) AS weight FROM und")
+def tournament_undirected(s, d):
+    return G.undirected(G.meetings(B.supplier_edges(s, d))).select("a", "b", r6("weight"))
+
+
+@query("SELECT src, dst, ROUND(weight, 6) AS weight FROM pres")
+def tournament_prestige(s, d):
+    return G.prestige(G.meetings(B.supplier_edges(s, d))).select("src", "dst", r6("weight"))
+
+
+def _nodes(s, d):
+    return B.table(s, d, "supplier").select(F.col("s_suppkey").alias("node"))
+
+
+@query("SELECT node, ROUND(COALESCE(SUM(weight), 0), 6) AS degree FROM nodes LEFT JOIN (SELECT a AS node, weight FROM und UNION ALL SELECT b, weight FROM und) USING (node) GROUP BY node")
+def weighted_degree(s, d):
+    return G.degree(G.undirected(G.meetings(B.supplier_edges(s, d))), _nodes(s, d)).select("node", r6("degree"))
+
+
+@query("SELECT 1::BIGINT AS a, 2::BIGINT AS b, ROUND(SUM(weight), 6) AS weight, ROUND(COALESCE(SUM(weight) FILTER (sg > 0), 0), 6) AS wins_a, ROUND(COALESCE(SUM(weight) FILTER (sg < 0), 0), 6) AS wins_b FROM met WHERE a = 1 AND b = 2")
+def head_to_head(s, d):
+    return G.head_to_head(G.meetings(B.supplier_edges(s, d)), 1, 2).select(big("a", "a"), big("b", "b"), r6("weight"), r6("wins_a"), r6("wins_b"))
+
+
+_STEP = "r{1} AS (SELECT node, 0.15 / n + 0.85 * (COALESCE(got, 0) + lost / n) AS rank FROM nodes LEFT JOIN (SELECT dst AS node, SUM(rank * share) AS got FROM r{0} JOIN shares ON node = src GROUP BY dst) USING (node), (SELECT COUNT(*) AS n FROM nodes), (SELECT COALESCE(SUM(rank), 0) AS lost FROM r{0} WHERE node NOT IN (SELECT src FROM pres)))"
+
+
+@query(", shares AS (SELECT src, dst, weight / SUM(weight) OVER (PARTITION BY src) AS share FROM pres), r0 AS (SELECT node, 1.0::DOUBLE / COUNT(*) OVER () AS rank FROM nodes), " + ", ".join(_STEP.format(k, k + 1) for k in range(4)) + " SELECT node, ROUND(rank, 9) AS rank FROM r4")
+def pagerank(s, d):
+    return G.pagerank(G.prestige(G.meetings(B.supplier_edges(s, d))), _nodes(s, d), most=4, tolerance=0.0).select("node", F.round("rank", 9).alias("rank"))
+
+
+def _links(s, d):
+    """A sparse graph: customers that share a nation and the thousands of their balance."""
+    c = B.table(s, d, "customer").select("c_custkey", F.concat_ws("/", "c_nationkey", F.floor(F.col("c_acctbal") / 1000).cast("string")).alias("k"))
+    head = c.groupBy("k").agg(F.min("c_custkey").alias("a"))
+    return c.join(head, "k").where("a <> c_custkey").select("a", F.col("c_custkey").alias("b")), c.select(F.col("c_custkey").alias("node"))
+
+
+@query("SELECT c_custkey AS node, MIN(c_custkey) OVER (PARTITION BY c_nationkey, FLOOR(c_acctbal / 1000)) AS component FROM customer")
+def components(s, d):
+    return G.components(*_links(s, d))
+
+
+_RELAX = "d{1} AS (SELECT node, MIN(dist) AS dist FROM (SELECT node, dist FROM d{0} UNION ALL SELECT t AS node, dist + cost FROM d{0} JOIN ways ON node = f) GROUP BY node)"
+
+
+@query(", ways AS (SELECT a AS f, b AS t, 1 / weight AS cost FROM und UNION ALL SELECT b, a, 1 / weight FROM und), d0 AS (SELECT 1::BIGINT AS node, 0.0::DOUBLE AS dist), " + ", ".join(_RELAX.format(k, k + 1) for k in range(6)) + " SELECT node, ROUND(dist, 6) AS dist FROM nodes LEFT JOIN d6 USING (node)")
+def shortest_paths(s, d):
+    return G.shortest_paths(G.undirected(G.meetings(B.supplier_edges(s, d))), _nodes(s, d), 1, most=6).select("node", r6("dist"))
+
+
+@query("SELECT jockey, runner, ROUND(SUM(weight), 6) AS weight, COUNT(*)::BIGINT AS n FROM ran GROUP BY ALL ORDER BY SUM(weight) DESC, jockey, runner LIMIT 250")
+def top_partnerships(s, d):
+    return G.top(G.ties(B.ran(s, d), "jockey", "runner", "weight"), "weight", ["jockey", "runner"], 250).withColumn("weight", F.round("weight", 6))
+
+
+@query(""", j AS (SELECT 'jockey-horse' AS kind, 'J' || jockey AS a, 'H' || runner AS b, SUM(weight) AS weight FROM ran GROUP BY jockey, runner ORDER BY SUM(weight) DESC, 2, 3 LIMIT 250), t AS (SELECT 'jockey-trainer' AS kind, 'J' || jockey AS a, 'T' || stable AS b, SUM(weight) AS weight FROM ran GROUP BY jockey, stable ORDER BY SUM(weight) DESC, 2, 3 LIMIT 150)
+SELECT kind, a, b, ROUND(weight, 6) AS weight FROM j UNION ALL SELECT kind, a, b, ROUND(weight, 6) FROM t""")
+def tripartite(s, d):
+    def side(kind, col, mark, n):
+        rows = G.ties(B.ran(s, d), "jockey", col, "weight").select(F.lit(kind).alias("kind"), F.concat(F.lit("J"), "jockey").alias("a"), F.concat(F.lit(mark), col).alias("b"), "weight")
+        return G.top(rows, "weight", ["a", "b"], n)
+
+    return side("jockey-horse", "runner", "H", 250).unionByName(side("jockey-trainer", "stable", "T", 150)).withColumn("weight", F.round("weight", 6))
+
+
+@query(", top AS (SELECT node FROM (SELECT a AS node, weight FROM und UNION ALL SELECT b, weight FROM und) GROUP BY node ORDER BY SUM(weight) DESC, node LIMIT 50) SELECT a, b, ROUND(weight, 6) AS weight FROM und WHERE weight >= 1.0 AND a IN (FROM top) AND b IN (FROM top)")
+def induced_subgraph(s, d):
+    edges = G.undirected(G.meetings(B.supplier_edges(s, d)))
+    nodes = G.top(G.degree(edges, _nodes(s, d)), "degree", ["node"], 50)
+    return G.induced(edges, nodes, 1.0).select("a", "b", r6("weight"))
+
+
+_EDGES = "edges AS (SELECT DISTINCT COALESCE(c.ancestor, t.horse) AS child, t.ancestor AS parent, right(t.line, 1) AS rel FROM tree t LEFT JOIN tree c ON c.horse = t.horse AND c.line = left(t.line, -1) AND length(t.line) > 1 WHERE COALESCE(c.ancestor, t.horse) <> t.ancestor)"
+
+
+@query(f", {_EDGES} SELECT child, parent, rel FROM edges")
+def pedigree_edges(s, d):
+    return G.dag_edges(B.tree(s, d))
+
+
+@query(f", {_EDGES} SELECT parent, COUNT(*)::BIGINT AS progeny FROM edges GROUP BY parent")
+def progeny(s, d):
+    return G.dag_edges(B.tree(s, d)).groupBy("parent").agg(F.count("*").alias("progeny"))
+
+
+@query("SELECT horse, ancestor, MIN(length(line))::INTEGER AS depth FROM tree GROUP BY ALL")
+def ancestors(s, d):
+    t = B.tree(s, d)
+    return G.least_depths(G.dag_edges(t), t.select("horse").distinct())
+
+
+@query("""SELECT * FROM (SELECT a, b, ancestor, da AS depth_a, db AS depth_b FROM (SELECT p.a, p.b, x.ancestor, x.d AS da, y.d AS db, ROW_NUMBER() OVER (PARTITION BY p.a, p.b ORDER BY x.d + y.d, GREATEST(x.d, y.d), x.ancestor) AS k
+FROM (SELECT p_partkey AS a, p_partkey + 7 AS b FROM part WHERE p_partkey + 7 IN (SELECT p_partkey FROM part)) p
+JOIN (SELECT horse, ancestor, MIN(length(line))::INTEGER AS d FROM tree GROUP BY ALL) x ON x.horse = p.a JOIN (SELECT horse, ancestor, MIN(length(line))::INTEGER AS d FROM tree GROUP BY ALL) y ON y.horse = p.b AND x.ancestor = y.ancestor
+WHERE x.ancestor <> p.a AND x.ancestor <> p.b) WHERE k = 1)""")
+def common_ancestors(s, d):
+    parts = B.table(s, d, "part").select(F.col("p_partkey").alias("a"))
+    pairs = parts.select("a", (F.col("a") + 7).alias("b")).join(parts.select(F.col("a").alias("b")), "b")
+    depths = B.tree(s, d).groupBy("horse", "ancestor").agg(F.min(F.length("line")).alias("depth"))
+    return G.lowest_common_ancestor(depths, pairs).where("ancestor IS NOT NULL")
+
+
+_CROSS = """met2 AS (SELECT s.horse, s.ancestor, s.line AS s, d.line AS d FROM tree s JOIN tree d ON s.horse = d.horse AND s.ancestor = d.ancestor AND s.line LIKE 'S%' AND d.line LIKE 'D%'),
+cross2 AS (SELECT *, pow(0.5::DOUBLE, length(s) + length(d) - 1) AS share FROM met2 m WHERE NOT EXISTS (SELECT 1 FROM met2 o WHERE o.horse = m.horse AND starts_with(m.s, o.s) AND starts_with(m.d, o.d) AND (o.s <> m.s OR o.d <> m.d)))"""
+
+
+@query(f", {_CROSS} SELECT horse, ROUND(COALESCE(SUM(share), 0), 9) AS fx, COUNT(share)::BIGINT AS crosses FROM (SELECT DISTINCT horse FROM tree) LEFT JOIN cross2 USING (horse) GROUP BY horse")
+def inbreeding(s, d):
+    return G.inbreeding(B.tree(s, d)).select("horse", F.round("fx", 9).alias("fx"), big("crosses", "crosses"))
+
+
+@query(f", {_CROSS} SELECT ancestor, COUNT(*)::BIGINT AS crosses FROM cross2 GROUP BY ancestor ORDER BY crosses DESC, ancestor LIMIT 30")
+def frequent_crosses(s, d):
+    return G.top(G.crosses(B.tree(s, d)).groupBy("ancestor").agg(F.count("*").alias("crosses")), "crosses", ["ancestor"], 30)
+
+
+@query("""SELECT DISTINCT CASE WHEN length(t.line) = 1 THEN t.horse ELSE c.ancestor END AS child, t.ancestor AS parent, (CASE length(t.line) WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END)::INTEGER AS weight FROM tree t LEFT JOIN tree c ON c.horse = t.horse AND c.line = left(t.line, -1)
+WHERE length(t.line) <= 3 AND t.horse IN (SELECT runner FROM ran WHERE position = 1 AND grade = 'G1')""")
+def lineage_subgraph(s, d):
+    elite = B.ran(s, d).where("position = 1 AND grade = 'G1'").select(F.col("runner").alias("horse")).distinct()
+    t = B.tree(s, d, 3).join(elite, "horse", "left_semi")
+    child = t.select("horse", F.col("line").alias("up"), F.col("ancestor").alias("c"))
+    up = t.withColumn("up", F.expr("substr(line, 1, length(line) - 1)")).join(child, ["horse", "up"], "left")
+    return up.select(F.when(F.length("line") == 1, F.col("horse")).otherwise(F.col("c")).alias("child"), F.col("ancestor").alias("parent"), S.generation_weight(F.length("line")).alias("weight")).distinct()
+
+
+_TIMED = "timed AS (SELECT race, runner, jockey, year, (position <= 2)::INTEGER AS y FROM ran)"
+
+
+@query(f", {_TIMED} SELECT race, runner, ROUND((COALESCE(SUM(y) OVER w, 0) + 15 * 0.2::DOUBLE) / (COUNT(y) OVER w + 15), 9) AS rate, (ROW_NUMBER() OVER (PARTITION BY jockey ORDER BY year, race, runner) - 1)::BIGINT AS starts FROM timed WINDOW w AS (PARTITION BY jockey ORDER BY year, race, runner ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def prior_rates(s, d):
+    rows = B.ran(s, d).withColumn("y", S.indicator(F.col("position") <= 2))
+    out = R.prior_count(R.prior_rate(rows, "jockey", "y", ["year", "race", "runner"], 15, "rate"), "jockey", ["year", "race", "runner"], "starts")
+    return out.select("race", "runner", F.round("rate", 9).alias("rate"), big("starts", "starts"))
+
+
+@query(f", {_TIMED}, per AS (SELECT jockey, year, race, SUM(y) AS y, COUNT(*) AS n FROM timed GROUP BY ALL), before AS (SELECT jockey, race, (COALESCE(SUM(y) OVER w, 0) + 15 * 0.2::DOUBLE) / (COALESCE(SUM(n) OVER w, 0) + 15) AS rate FROM per WINDOW w AS (PARTITION BY jockey ORDER BY year, race ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT race, runner, ROUND(rate, 9) AS rate FROM timed JOIN before USING (jockey, race)")
+def prior_rates_strict(s, d):
+    rows = B.ran(s, d).withColumn("y", S.indicator(F.col("position") <= 2))
+    return R.prior_rate(rows, "jockey", "y", ["year", "race"], 15, "rate", strict="race").select("race", "runner", F.round("rate", 9).alias("rate"))
+
+
+@query("SELECT o_orderkey, RANK() OVER (ORDER BY d) + (COUNT(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE AS rank FROM (SELECT o_orderkey, FLOOR(o_totalprice / 1000)::BIGINT AS d FROM orders)")
+def average_ranks(s, d):
+    rows = B.table(s, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("d"))
+    return R.average_rank(rows, "d", "rank").select("o_orderkey", "rank")
+
+
+@query("SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC, c_custkey)::BIGINT AS rank_no FROM customer")
+def global_ranks(s, d):
+    return G.ranked(B.table(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").select("c_custkey", big("rank_no", "rank_no"))
+
+
+@query("SELECT stable, race, year FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY stable ORDER BY year, race) AS k FROM races) WHERE k = 1")
+def keep_first(s, d):
+    return R.keep_first(B.races(s, d).select("stable", "race", "year"), ["stable"], ["year", "race"])
+
+
+@query("SELECT p_partkey, CASE WHEN k > 1 THEN p_brand || '_' || k ELSE p_brand END AS name FROM (SELECT p_partkey, p_brand, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)")
+def unique_names(s, d):
+    return R.unique_suffix(B.table(s, d, "part"), "p_brand", "p_partkey", "name").select("p_partkey", "name")
+
+
+_CHI = "cells AS (SELECT r.sire, c.surface, COALESCE(n, 0) AS n, rt, ct, SUM(COALESCE(n, 0)) OVER () AS t FROM (SELECT sire, COUNT(*) AS rt FROM x GROUP BY 1) r CROSS JOIN (SELECT surface, COUNT(*) AS ct FROM x GROUP BY 1) c LEFT JOIN (SELECT sire, surface, COUNT(*) AS n FROM x GROUP BY 1, 2) m ON m.sire = r.sire AND m.surface = c.surface)"
+
+
+@query(f", x AS (SELECT sire, surface FROM ran JOIN pedigree USING (runner)), {_CHI} SELECT ROUND(SUM(pow(n - rt * ct / t::DOUBLE, 2) / (rt * ct / t::DOUBLE)), 6) AS chi2, ((COUNT(DISTINCT sire) - 1) * (COUNT(DISTINCT surface) - 1))::BIGINT AS dof, ROUND(sqrt(SUM(pow(n - rt * ct / t::DOUBLE, 2) / (rt * ct / t::DOUBLE)) / (MAX(t) * (LEAST(COUNT(DISTINCT sire), COUNT(DISTINCT surface)) - 1))), 6) AS cramers_v FROM cells")
+def chi2(s, d):
+    return T.chi2_independence(B.ran(s, d).join(B.pedigree(s, d), "runner"), "sire", "surface").select(r6("chi2"), big("dof", "dof"), r6("cramers_v"))
+
+
+@query(", g AS (SELECT sire, COUNT(*) AS n, SUM(distance) AS s, SUM(distance * distance) AS q FROM ran JOIN pedigree USING (runner) WHERE position = 1 GROUP BY sire HAVING COUNT(*) >= 5), t AS (SELECT COUNT(*) AS k, SUM(n) AS n, SUM(s * s / n::DOUBLE) - SUM(s) * SUM(s) / SUM(n)::DOUBLE AS b, SUM(q) - SUM(s * s / n::DOUBLE) AS w FROM g) SELECT ROUND((b / (k - 1)) / (w / (n - k)), 6) AS f, ROUND(b / (b + w), 9) AS eta2, (k - 1)::BIGINT AS df_between, (n - k)::BIGINT AS df_within FROM t")
+def anova(s, d):
+    return T.anova(B.ran(s, d).where("position = 1").join(B.pedigree(s, d), "runner"), "sire", "distance").select(r6("f"), F.round("eta2", 9).alias("eta2"), big("df_between", "df_between"), big("df_within", "df_within"))
+
+
+@query(", v AS (SELECT sire, distance FROM ran JOIN pedigree USING (runner) WHERE position = 1), k AS (SELECT sire, RANK() OVER (ORDER BY distance) + (COUNT(*) OVER (PARTITION BY distance) - 1) / 2.0::DOUBLE AS r FROM v), g AS (SELECT COUNT(*) AS n, SUM(r) AS r FROM k GROUP BY sire) SELECT ROUND(12.0::DOUBLE / (SUM(n) * (SUM(n) + 1)) * SUM(r * r / n) - 3 * (SUM(n) + 1), 4) AS h, (COUNT(*) - 1)::BIGINT AS dof FROM g")
+def kruskal(s, d):
+    return T.kruskal(B.ran(s, d).where("position = 1").join(B.pedigree(s, d), "runner"), "sire", "distance").select(F.round("h", 4).alias("h"), big("dof", "dof"))
+
+
+@query(", v AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part), k AS (SELECT *, RANK() OVER (ORDER BY x) + (COUNT(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, RANK() OVER (ORDER BY y) + (COUNT(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM v) SELECT ROUND(corr(x, y), 6) AS pearson, ROUND(corr(rx, ry), 6) AS spearman FROM k")
+def correlations(s, d):
+    return T.correlations(B.table(s, d, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y")), "x", "y").select(r6("pearson"), r6("spearman"))
+
+
+def _judged(s, d):
+    rows = B.table(s, d, "labels").join(B.table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.select("doc_id", F.col("quality").alias("y"), (F.col("n_chars") % 1000 / 1000.0).alias("p"))
+
+
+_JUDGED = "judged AS (SELECT doc_id, quality AS y, (n_chars % 1000) / 1000.0::DOUBLE AS p FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f", {_JUDGED}, c AS (SELECT COUNT(*) FILTER (y = 1 AND p >= 0.52) AS tp, COUNT(*) FILTER (y = 0 AND p >= 0.52) AS fp, COUNT(*) FILTER (y = 1 AND p < 0.52) AS fn, COUNT(*) FILTER (y = 0 AND p < 0.52) AS tn FROM judged) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, ROUND((tp + tn)::DOUBLE / (tp + fp + fn + tn), 6) AS accuracy, ROUND(tp::DOUBLE / (tp + fp), 6) AS precision, ROUND(tp::DOUBLE / (tp + fn), 6) AS recall, ROUND(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1 FROM c")
+def binary_metrics(s, d):
+    return T.binary_metrics(_judged(s, d), "y", "p", 0.52).select(*[big(c, c) for c in ("tp", "fp", "fn", "tn")], *[r6(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query(f", {_JUDGED}, k AS (SELECT y, RANK() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM judged) SELECT ROUND((SUM(r) FILTER (y = 1) - SUM(y) * (SUM(y) + 1) / 2.0) / (SUM(y) * SUM(1 - y)), 6) AS auc FROM k")
+def roc_auc(s, d):
+    return T.roc_auc(_judged(s, d), "y", "p").select(r6("auc"))
+
+
+@query(f", {_JUDGED}, k AS (SELECT y, SUM(y) OVER o / ROW_NUMBER() OVER (ORDER BY p DESC, doc_id)::DOUBLE AS prec FROM judged WINDOW o AS (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING)) SELECT ROUND(AVG(prec) FILTER (y = 1), 6) AS ap FROM k")
+def average_precision(s, d):
+    return T.average_precision(_judged(s, d), "y", "p", "doc_id").select(r6("ap"))
+
+
+@query()
+def bootstrap_auc(s, d):
+    return T.bootstrap_auc(_judged(s, d), "y", "p")
+
+
+@query("SELECT c_custkey, ROUND((c_acctbal - AVG(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) AS z FROM customer")
+def zscores(s, d):
+    return M.zscores(B.table(s, d, "customer"), ["c_acctbal"]).select("c_custkey", r6("c_acctbal", "z"))
+
+
+@query(""", v AS (SELECT vec_id AS i, embedding AS x, label AS c FROM embeddings WHERE vec_id < 400), m AS (SELECT a.i, a.c, b.c AS d, AVG(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow((z[1] - z[2])::DOUBLE, 2))))) AS m FROM v a JOIN v b ON a.i <> b.i GROUP BY ALL),
+ab AS (SELECT i, MAX(m) FILTER (c = d) AS a, MIN(m) FILTER (c <> d) AS b FROM m GROUP BY i) SELECT ROUND(AVG(COALESCE((b - a) / GREATEST(a, b), 0)), 4) AS silhouette FROM ab""")
+def silhouette(s, d):
+    """An all-pairs score, for the few hundred centroids or sires that it is meant for: the vectors below 400."""
+    return M.silhouette(B.table(s, d, "embeddings").where("vec_id < 400"), "vec_id", "embedding", "label").select(F.round("silhouette", 4).alias("silhouette"))
+
+
+def _sires(s, d):
+    t = sire_specialisation(s, d)
+    return t.select("sire", *[F.col(c).cast("double") for c in ("win_rate_pct", "podium_rate_pct", "avg_distance_m", "unique_progeny")], (100.0 * F.col("turf_entries") / F.col("total_entries")).alias("turf_share"))
+
+
+CLUSTER = ["win_rate_pct", "podium_rate_pct", "avg_distance_m", "turf_share"]
+
+
+@query()
+def sire_clusters(s, d):
+    z = M.zscores(_sires(s, d), CLUSTER)
+    out = M.kmeans(M.pca2(z, CLUSTER)[0], CLUSTER, 4)
+    names = M.centroid_names(out, "cluster", [("win_rate_pct", "Elite", True), ("avg_distance_m", "Stamina", True), ("turf_share", "Turf", True), ("podium_rate_pct", "Other", False)])
+    return out.join(names, "cluster")
+
+
+FEATURES = ["horse_rate", "jockey_rate", "sire_rate", "starts", "distance", "g1"]
+
+
+def _features(s, d):
+    rows = B.ran(s, d).join(B.pedigree(s, d), "runner", "left").withColumn("y", S.indicator(F.col("position") <= 2))
+    order = ["year", "race", "runner"]
+    for key, w, name in (("runner", 3, "horse_rate"), ("jockey", 15, "jockey_rate"), ("sire", 20, "sire_rate")):
+        rows = R.prior_rate(rows, key, "y", order, w, name)
+    return R.prior_count(rows, "runner", order, "starts").withColumn("g1", S.indicator(F.col("grade") == "G1"))
+
+
+@query()
+def classifiers(s, d):
+    """Out-of-time scores of the three models."""
+    parts = M.temporal_split(_features(s, d), "year", 1998, 1999)
+    train = M.medians_filled(parts["train"], FEATURES)
+    train, test = (M.zscores(M.medians_filled(parts[k], FEATURES, parts["train"]), FEATURES, train) for k in ("train", "test"))
+    log, rf = M.logistic(train, FEATURES, "y"), M.forest(train, FEATURES, "y", trees=10)
+    both = M.scored(rf, M.scored(log, test, FEATURES, "logistic"), FEATURES, "forest")
+    both = both.withColumn("baseline", F.lit(train.agg(F.avg("y")).head()[0] or 0.0))
+    out = None
+    for m in ("baseline", "logistic", "forest"):
+        row = T.binary_metrics(both, "y", m, 0.5 if m == "baseline" else 0.52).crossJoin(T.roc_auc(both, "y", m)).withColumn("model", F.lit(m))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def orphans(s, d):
+    return R.orphans(B.table(s, d, "customer"), B.table(s, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON c_custkey = o_custkey")
+def having_orders(s, d):
+    return B.table(s, d, "customer").join(B.table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT code, severity, n::BIGINT AS n FROM (SELECT 'race_with_few_entries' AS code, 'WARNING' AS severity, COUNT(*) AS n FROM (SELECT race FROM ran GROUP BY race HAVING COUNT(*) < 5) UNION ALL SELECT 'race_without_entries', 'ERROR', COUNT(*) FROM races WHERE race NOT IN (SELECT race FROM entries) UNION ALL SELECT 'year_with_few_races', 'WARNING', COUNT(*) FROM (SELECT year FROM races GROUP BY year HAVING COUNT(*) < 10)) WHERE n > 0")
+def audit(s, d):
+    r, e = B.races(s, d), B.entries(s, d)
+    return Q.audit(Q.empty_table(r, "races"), Q.empty_table(e, "entries"), Q.few_races(r, "year"), Q.few_runners(r, e, "race"), Q.orphan_rows(e, B.pedigree(s, d), "runner", "runner", "entry_without_horse"), Q.blank_fields(r, ["grade", "surface"], "races"), Q.duplicates(r, "race", "duplicate_race"))
+
+
+@query("SELECT race, COALESCE(NULLIF(surface, 'Obstacle'), known, 'Turf') AS surface FROM races LEFT JOIN (SELECT stable, arg_max(surface, year::BIGINT * 100000000 + race) AS known FROM races WHERE surface <> 'Obstacle' GROUP BY stable) USING (stable)")
+def imputed_surface(s, d):
+    rows = B.races(s, d).withColumn("surface", F.when(F.col("surface") == "Obstacle", "").otherwise(F.col("surface")))
+    return Q.imputed(rows, "stable", {"surface": "Turf"}, ["year", "race"]).select("race", "surface")
+
+
+@query("SELECT distance, CASE WHEN distance <= 1400 THEN '1. Sprint (<=1400m)' WHEN distance <= 1600 THEN '2. Mile (1401-1600m)' WHEN distance <= 2200 THEN '3. Intermediate (1601-2200m)' ELSE '4. Long (>=2200m)' END AS band, COUNT(*)::BIGINT AS n FROM races GROUP BY ALL")
+def distance_bands(s, d):
+    return B.races(s, d).groupBy("distance", S.distance_band(F.col("distance"), True).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) || '_' || c_nationkey AS key, replace(c_name, '#', '-') AS slug FROM customer")
+def text_keys(s, d):
+    return B.table(s, d, "customer").select("c_custkey", S.joined_key(F.upper("c_mktsegment"), F.col("c_nationkey")).alias("key"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("slug"))
+
+
+@query("SELECT key FROM (SELECT 'n' || n_nationkey AS key FROM nation UNION SELECT 'n' || c_nationkey FROM customer) EXCEPT SELECT 'n' || s_nationkey FROM supplier WHERE s_nationkey < 5")
+def set_operations(s, d):
+    key = lambda t, c: B.table(s, d, t).select(F.concat(F.lit("n"), c).alias("key"))
+    return key("nation", "n_nationkey").unionByName(key("customer", "c_nationkey")).distinct().exceptAll(B.table(s, d, "supplier").where("s_nationkey < 5").select(F.concat(F.lit("n"), "s_nationkey").alias("key")).distinct())
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM customer")
+def upserted(s, d):
+    c = B.table(s, d, "customer").select("c_custkey")
+    return R.upsert(c.withColumn("state", F.lit("old")), c.where("c_custkey % 3 = 0").withColumn("state", F.lit("new")), ["c_custkey"])
+
+
+@query("SELECT runner, ROUND(COALESCE(mean, 1.2), 3) AS mean FROM pedigree LEFT JOIN (SELECT runner, AVG(position) AS mean FROM entries GROUP BY runner) USING (runner)")
+def group_mean(s, d):
+    means = B.entries(s, d).groupBy("runner").agg(F.avg("position").alias("m"))
+    return R.mapped(B.pedigree(s, d).select("runner"), means, "runner", "m", F.lit(1.2), "mean").withColumn("mean", F.round("mean", 3))
+
+
+@query("SELECT grade, ROUND(quantile_cont(distance, 0.25), 6) AS q1, ROUND(median(distance), 6) AS q2, ROUND(quantile_cont(distance, 0.9), 6) AS q9 FROM races GROUP BY grade")
+def percentiles(s, d):
+    return B.races(s, d).groupBy("grade").agg(r6(F.percentile("distance", 0.25), "q1"), r6(F.median("distance"), "q2"), r6(F.percentile("distance", 0.9), "q9"))
+
+
+@query("SELECT runner, starts, podiums FROM (SELECT runner, COUNT(*)::BIGINT AS starts, COUNT(*) FILTER (position <= 3)::BIGINT AS podiums, COUNT(*) FILTER (position = 1) AS wins FROM ran GROUP BY runner) WHERE wins = 0 AND podiums >= 2 ORDER BY podiums DESC, runner LIMIT 50")
+def underdogs(s, d):
+    rows = B.ran(s, d).groupBy("runner").agg(F.count("*").alias("starts"), _n(F.col("position") <= 3).alias("podiums"), _n(F.col("position") == 1).alias("wins"))
+    return G.top(rows.where("wins = 0 AND podiums >= 2"), "podiums", ["runner"], 50).select("runner", "starts", "podiums")
+
+
+@query()
+def horse_metadata(s, d):
+    """The node table: results, inbreeding, degree and role of each runner."""
+    stats, fx = horse_stats(s, d), G.inbreeding(B.tree(s, d)).withColumnRenamed("horse", "runner")
+    born = G.dag_edges(B.tree(s, d)).groupBy(F.col("parent").alias("runner")).agg(F.count("*").alias("progeny"))
+    out = B.pedigree(s, d).join(stats, "runner", "left").join(fx, "runner", "left").join(born, "runner", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.withColumns({"fx_pct": S.round_even(100 * zero(F.col("fx")), 3), "sire": S.or_unknown(F.col("sire")), "role": S.role(zero(F.col("g1_podiums")), zero(F.col("starts")), zero(F.col("progeny"))), "era": S.era(F.col("peak_year"))})
+
+
