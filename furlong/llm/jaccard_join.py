@@ -128,13 +128,14 @@ class Frequent:
         return x[: least + int(np.argmin(cost + VERIFY_COST * others / extra))]
 
 
-def frequent(docs: DataFrame, sample_docs: int = 6000, least: int = 3, most: int = 500_000) -> Frequent:
-    """From a bounded sample: about sample_docs documents of the smallest hashed ids, shingles in at least `least` of them, at
-    most the `most` most frequent. It steers costs only; results do not depend on it."""
+def frequent(docs: DataFrame, sample_docs: int = 24000, share: float = 0.1, least: int = 2, most: int = 500_000) -> Frequent:
+    """From a sample: a tenth of the documents, but sample_docs at least, those of the smallest hashed ids; shingles in at
+    least `least` of them, at most the `most` most frequent, which bounds what is broadcast. It steers costs only; results do
+    not depend on it."""
     total = docs.count()
     if not total:
         return Frequent(np.zeros(0, np.uint64), np.zeros(0))
-    rate = min(1.0, sample_docs / total)
+    rate = min(1.0, max(share, sample_docs / total))
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
