@@ -211,7 +211,18 @@ def _counted(a: np.ndarray, b: np.ndarray, ids: np.ndarray, n: np.ndarray, p: np
     return ids[a], ids[b], count, least_shared(n[a], n[b], p[a], p[b])
 
 
-_LISTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("needed", pa.int32()), ("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
+def _summed(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Counts of the same pair added up; of several needs the least."""
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    a, b, c, d = (np.concatenate([x[j] for x in parts]) for j in range(4))
+    order = np.lexsort((b, a))
+    a, b, c, d = a[order], b[order], c[order], d[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return (a[at], b[at], np.add.reduceat(c, at), np.minimum.reduceat(d, at)) if len(a) else (a, b, c, d)
+
+
+_LISTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("needed", pa.int32()), ("token", pa.int64()), ("hub", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
 
 
 def _lists(table: pa.Table) -> pa.Table:
@@ -238,16 +249,16 @@ def _lists(table: pa.Table) -> pa.Table:
         left.append(rows[:, i].ravel()), right.append(rows[:, j].ravel())
     rank = _mix(ids.view(np.uint64))
     long = np.flatnonzero(size > SHORT)
-    spots = []
+    spots, hubs = [], []
     for k in long:
         members = who[cut[k] : cut[k] + size[k]]
         hub = members[np.argmin(rank[members])]
         left.append(np.full(len(members), hub)), right.append(members)
-        spots.append(np.arange(cut[k], cut[k] + size[k]))
+        spots.append(np.arange(cut[k], cut[k] + size[k])), hubs.append(np.full(len(members), ids[hub]))
     a, b, count, needed = _counted(np.concatenate(left), np.concatenate(right), ids, ns, ps)
     at = np.concatenate(spots) if spots else np.zeros(0, np.int64)
     pairs = [pa.array(a), pa.array(b), pa.array(count, pa.int32()), pa.array(needed, pa.int32())]
-    posts = [pa.array(tokens[at].view(np.int64)), pa.array(ids[who[at]]), pa.array(ns[who[at]], pa.int32()), pa.array(ps[who[at]], pa.int32())]
+    posts = [pa.array(tokens[at].view(np.int64)), pa.array(np.concatenate(hubs) if hubs else at), pa.array(ids[who[at]]), pa.array(ns[who[at]], pa.int32()), pa.array(ps[who[at]], pa.int32())]
     one = pa.Table.from_arrays([*pairs, *[pa.nulls(len(a), t) for t in _LISTS.types[4:]]], schema=_LISTS)
     two = pa.Table.from_arrays([*[pa.nulls(len(at), t) for t in _LISTS.types[:4]], *posts], schema=_LISTS)
     return pa.concat_tables([one, two])
@@ -255,18 +266,23 @@ def _lists(table: pa.Table) -> pa.Table:
 
 def _across(table: pa.Table) -> pa.Table:
     """Pairs of different components in the long lists of a bucket. A list is walked in order of size, each member against
-    those that are not too large for it, in blocks, with pairs of one block summed before they leave."""
+    those that are not too large for it, in blocks. Lists with one hub lie in one bucket, and their pairs are summed before they leave."""
     token, ids, n, p, comp = (table[c].to_numpy() for c in ("token", "id", "n", "p", "component"))
     order = np.lexsort((n, token))
     token, ids, n, p, comp = token[order], ids[order], n[order].astype(np.int64), p[order].astype(np.int64), comp[order]
     ends = np.searchsorted(token, token, side="right")
     left, right, held, parts = [], [], 0, []
+    _, first = np.unique(np.stack([ids, n, p]), axis=1, return_index=True)  # one place for each set, so that counts meet
+    _, back = np.unique(np.stack([ids, n, p]), axis=1, return_inverse=True)
+    first = first[back.ravel()]
 
     def flush() -> None:
         nonlocal left, right, held
         if left:
-            parts.append(_counted(np.concatenate(left), np.concatenate(right), ids, n, p))
+            parts.append(_counted(first[np.concatenate(left)], first[np.concatenate(right)], ids, n, p))
         left, right, held = [], [], 0
+        if sum(len(x[0]) for x in parts) > 1 << 21 and len(parts) > 1:
+            parts[:] = [_summed(parts)]
 
     for k in range(len(token)):
         last = k + 1 + int(np.searchsorted(n[k + 1 : ends[k]], n[k] * 4 // 3, side="right"))
@@ -277,7 +293,7 @@ def _across(table: pa.Table) -> pa.Table:
             if held > 1 << 20:
                 flush()
     flush()
-    a, b, c, d = (np.concatenate([x[j] for x in parts]) if parts else np.zeros(0, np.int64) for j in range(4))
+    a, b, c, d = _summed(parts)
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32())], names=["a", "b", "shared", "needed"])
 
 
@@ -312,18 +328,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = common.stored(_index(base, frequent(base), buckets), "kind")
     rows = parts.where("kind = 'd'").select("id", "n", "first")
     packed = parts.where("kind = 'p'").select("bucket", "blob")
-    schema = "a long, b long, shared int, needed int, token long, id long, n int, p int"
+    schema = "a long, b long, shared int, needed int, token long, hub long, id long, n int, p int"
     lists = common.stored(packed.groupBy("bucket").applyInArrow(lambda t: _lists(t), schema))
     near = common.stored(lists.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")))
     copies = rows.where("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b"))
     links = common.stored(_verified(base, near.where("shared >= needed").select("a", "b")))
     edges = links.unionByName(copies)
     found = common.stored(components(edges))
-    posts = lists.where("token is not null").select("token", "id", "n", "p")
+    posts = lists.where("token is not null").select("token", "hub", "id", "n", "p")
     marked = posts.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     open_lists = marked.join(mixed, "token", "left_semi")
-    more = open_lists.groupBy(F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _across(t), "a long, b long, shared int, needed int")
+    more = open_lists.groupBy(F.pmod(F.xxhash64("hub"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _across(t), "a long, b long, shared int, needed int")
     short = near.where("shared < needed").select("a", "b", F.col("shared").cast("int"), "needed")
     # a short count may hold hub ties of long lists, which come again in `more`: counting them twice only adds candidates
     again = more.unionByName(short).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed")
