@@ -177,6 +177,8 @@ class Machine:
     @staticmethod
     def _spread(best: list[str], most: int) -> list[str]:
         """The best words, without those that are nearly the same as one before."""
+        if not best:
+            return []
         same = Kernel(best)(best)
         kept: list[int] = []
         for k in range(len(best)):

@@ -1,0 +1,285 @@
+"""Each operator against a brute-force version, on fixtures with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import base64
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from furlong.llm import bpe, common, exact_dedup, fingerprint, jaccard_join, language_id, mixing, pii, quality, toxicity, warc
+
+WORDS = "the and of ster ing hous gard lamp river stone cloud".split()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    r = random.Random(1)
+    base = [" ".join(r.choice(WORDS) for _ in range(r.randrange(1, 50))) for _ in range(30)]
+    rows = [(i, r.choice(base) + (" " + r.choice(WORDS)) * r.randrange(2), "en", f"s{i % 3}", 0, "x") for i in range(120)]
+    rows += [(200, None, None, None, 0, "x"), (201, "", "en", "s0", 0, "x"), (None, "a null id here now", "en", "s0", 0, "x"), (5, rows[5][1], "en", "s0", 0, "x"), (5, rows[5][1], "en", "s0", 0, "x"), (300, "word " * 30000, "en", "s1", 0, "x"), (301, "\n. \n\n, 日本語😀", "en", "s1", 0, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string").withColumns({c: F.lit("clash") for c in ("digest", "n", "block", "kind", "first", "_hit")}).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def frame(docs):
+    return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_dedup(docs, empty, keep, weak):
+    digest = (lambda c: F.substring(F.sha2(c, 256), 1, 1)) if weak else None
+    got = exact_dedup.exact_dedup(docs, keep=keep, memtable_bytes=2000, digest=digest).collect()
+    rows = frame(docs)
+    groups: dict = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    want = Counter()
+    for t, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        best = (max if keep == "max" else min)(known) if known else None
+        for i in ids:
+            want[(i, best, len(ids), hashlib.sha256(t.encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def plain(text):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(bpe.VOCABULARY), "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def test_bpe(docs, empty):
+    path, pattern = public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN
+    encode = plain("")
+    got = {(r.doc_id, r.ids_sha256, r.decoded_sha256, r.n_tokens) for r in bpe.bpe_encode(docs, path, pattern).collect()}
+    pack = lambda ids: np.array(ids, "<u4").tobytes()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {(i, sha(pack(encode(t))), sha(t.encode()), len(encode(t))) for i, t in frame(docs)}
+    assert bpe.bpe_encode(empty, path, pattern).count() == 0
+    coder, r = bpe.load(open(path, "rb").read(), pattern), random.Random(2)
+    for _ in range(3000):
+        t = "".join(r.choice("aeinst    l\t é\n\n日　\x85'sZ1😀") for _ in range(r.randrange(40)))
+        assert coder.encode(t) == encode(t)
+    for _ in range(200):
+        doc = bpe.Tokenised(coder, "".join(r.choice("aeinst  lé\n日1's") for _ in range(40)))
+        for _ in range(4):
+            i = r.randrange(len(doc.text) + 1)
+            doc.edit(i, min(len(doc.text), i + r.randrange(5)), "".join(r.choice("ae  \n's") for _ in range(r.randrange(5))))
+            assert doc.ids() == encode(doc.text)
+
+
+def links(rows):
+    sets, above = [], {i: i for i, _ in rows if i is not None}
+
+    def top(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for i, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if i is not None and j is not None and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                a, b = top(i), top(j)
+                above[max(a, b)] = min(a, b)
+    return Counter((i, len(x), top(i) if i is not None else None) for i, x in sets)
+
+
+@pytest.mark.parametrize("short", [2, 24])
+def test_jaccard_join(docs, empty, short, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect())
+    assert got == links(frame(docs))
+    if short == 24:
+        assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    r = random.Random(4)
+    bodies = [None, "", "kurz", "日本語" * 2000] + ["".join(r.choice("ab\r\n<é>") for _ in range(r.randrange(900, 6000))) for _ in range(12)]
+    rows = [(i, f"http://x/{i}\r\nX: y", r.choice(bodies), "c") for i in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    path = f"file://{tmp_path}/w"
+    warc.write(pages, path, segment_bytes=700, records_per_file=9)
+    got = {r.page_id: r for r in warc.read(spark, path, with_payload=True).collect()}
+    assert len(got) == 80
+    for i, _, html, _ in rows:
+        body = (html or "").encode()
+        last = max(j for j, _, h, _ in rows if (h or "") == (html or ""))
+        again = len(body) >= 1000 and last != i
+        x = got[i]
+        assert (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) == (len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", last if again else None)
+        assert again or bytes(x.payload) == body
+    warc.write(pages.limit(0), f"file://{tmp_path}/e")
+    assert warc.unchunked(warc.chunked(b"abc" * 99, 7)) == b"abc" * 99
+
+
+def test_warc_notices_a_missing_segment(spark, tmp_path):
+    from pyspark.errors import PythonException
+
+    one = list(warc.records(1, "u", b"x" * 3000, hashlib.sha1(b"x" * 3000).hexdigest(), None, 700))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.txt").write_bytes("".join(x + "\r\n\r\n" for k, x in enumerate(one) if k != 1).encode())
+    with pytest.raises(Exception, match="lacks a segment"):
+        warc.read(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_mixing(spark, docs, empty):
+    got = mixing.mix(docs, max_repeats=1.5).collect()
+    rows = Counter((r.source, r.n_tokens) for r in got)
+    assert rows == Counter((r.source, len(re.findall(r"[^\x20\x09-\x0d]+", r.text or ""))) for r in docs.collect())
+    total = sum(r.n_tokens for r in got)
+    taken, size, weight = Counter(), Counter(), {}
+    for r in got:
+        taken[r.source] += r.n_tokens * r.copies
+        size[r.source] += r.n_tokens
+        weight[r.source] = r.weight
+    longest = max(r.n_tokens for r in got)
+    for s in size:
+        if size[s]:
+            assert weight[s] * total - longest <= taken[s] <= weight[s] * total + 1 and taken[s] <= 1.5 * size[s]
+    assert mixing.mix(empty).count() == 0
+    assert Counter(mixing.mixed(docs, max_repeats=1.5).groupBy("source").count().rdd.map(tuple).collectAsMap()) == Counter({s: n for s, n in Counter({s: sum(r.copies for r in got if r.source == s) for s in size}).items() if n})
+    shares = spark.createDataFrame([(90,), (9,), (1,)], "tokens long")
+    a = mixing.alpha_for(shares, 100, None, 1.0)
+    p = np.array([0.9, 0.09, 0.01]) ** a
+    assert -(p / p.sum() * np.log(p / p.sum())).sum() == pytest.approx(1.0, abs=1e-6)
+
+
+def leaves(text):
+    return [s for sec in text.split("\n\n") for par in sec.split("\n") for s in par.split(". ")]
+
+
+def test_fingerprint(spark, docs, empty):
+    got = fingerprint.edit_report(docs).collect()
+    rows = sorted(frame(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want, printed = Counter(), {}
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + nxt[:q]
+        a, b = set(leaves(t)), set(leaves(edited))
+        near = 1.0 if t == edited else 2 * len(a & b) / (len(a) + len(b))
+        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(near, 9))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9)) for r in got) == want
+    assert fingerprint.edit_report(empty).count() == 0 and fingerprint.edit_report(docs.where("doc_id = 301")).count() == 1
+    two = spark.createDataFrame([("a. b\nc", "a. x\nc")], "p string, q string").select(fingerprint.differing(fingerprint.fingerprint(F.col("p")), fingerprint.fingerprint(F.col("q")))).head()[0]
+    assert two == [1]
+
+
+RX = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, m):
+    d = [int(c) for c in m if c.isdigit()]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and sum(sum(divmod(2 * x, 10)) if k % 2 else x for k, x in enumerate(reversed(d))) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def test_pii(spark, docs, empty):
+    r = random.Random(3)
+    parts = ["1", "22", "4111 1111-1111 1111", "255", "300", ".", "@", "a", "b.c", "+", "-", " ", "  ", "(", "%", "x@y.z_q@w.e", "é", "😀", "\n", "password=abc123def4567890ab", "(988) 555-2485", "+1 (988) 555-2485"]
+    odd = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(400)] + ["1 " * 3000, "a" * 20000, "1.2.3.4.5.6.7.8", "0001.2.3.4"]
+    more = spark.createDataFrame(list(enumerate(odd, 1000)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    got = {(r.doc_id, r.base_sha256) for r in pii.find(more).collect()}
+    said = lambda t: ",".join(f"{k}:{m.start()}:{m.end()}" for k in RX for m in re.finditer(RX[k], t) if valid(k, m.group()))
+    assert got == {(i, hashlib.sha256(said(t).encode()).hexdigest()) for i, t in frame(more)}
+    spans = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame([(1, "token password=abc123def4567890ab"), (2, "+1 (988) 555-2485"), (3, None)], "doc_id long, text string")).collect()}
+    assert spans[1].startswith("secret:6:") and spans[2] == "phone:0:17" and spans[3] == ""
+    assert pii.find(empty).count() == 0
+
+
+def test_language(spark, docs, empty):
+    r = random.Random(5)
+    kinds = {"en": "the of and with house river".split(), "de": "der und schön straße nicht über".split()}
+    rows = [(k, " ".join(r.choice(kinds[lang]) for _ in range(20)), lang) for k, lang in enumerate(["en", "de"] * 40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = spark.createDataFrame([(1, "the house and the river"), (2, "der schön über straße"), (3, None), (4, "12 34!"), (5, ""), (6, "THE RIVER")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(test, model).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und", 6: "en"} and all(0 <= v[1] <= 1 for v in got.values())
+    assert language_id.identify(empty, model).count() == 0 and language_id.train(empty) is None
+    assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
+    x = language_id.folded("the river")
+    keys, size = np.unique(np.concatenate([model.probs[1].keys]), return_counts=True)
+    assert (size == 1).all() and np.allclose(model.probs[1].find(model.probs[1].keys), np.arange(len(keys)))
+    # probabilities of all continuations of a context sum to 1 with the share of unseen characters
+    total = np.exp(model.probs[1].rows.astype(float)).sum(0)
+    assert (total <= 1 + 1e-5).all() and (total > 0.9).all() and len(x) == 4 + 9
+
+
+def labelled(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for i in range(300):
+        bad, rude = r.random() < 0.3, r.random() < 0.3
+        w = [r.choice(WORDS) for _ in range(30)]
+        if rude:
+            w[r.randrange(30)] = r.choice(["idiot", "moron"])
+        rows.append((i, "!! ".join(w).upper() if bad else " ".join(w).capitalize() + ".", int(not bad), int(rude)))
+    return spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+
+
+def test_quality(spark, docs, empty):
+    rows = labelled(spark, 6)
+    model = quality.train(rows.select("doc_id", "text"), rows.select("doc_id", "quality"), F.col("_id") < 200)
+    got = quality.score(rows.select("doc_id", "text"), model).join(rows, "doc_id").where("doc_id >= 200").collect()
+    assert np.mean([r.predicted == r.quality for r in got]) > 0.98
+    assert quality.score(docs, model).count() == docs.count() and quality.score(empty, model).count() == 0
+    assert quality.accepted(docs, model).columns == docs.columns
+    assert quality.Discriminant(np.zeros((0, 15)), np.zeros(0, int)).score(np.zeros((2, 15))).tolist() == [0.5, 0.5]
+
+
+def test_toxicity(spark, docs, empty):
+    rows = labelled(spark, 7)
+    model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), F.col("_id") < 200)
+    got = toxicity.score(rows.select("doc_id", "text"), model).join(rows, "doc_id").where("doc_id >= 200").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.98
+    low, gap, spaced = model.scores(["the river of stone", "such an idi-ot here", "such an i d i o t here"])
+    assert low < gap and low < spaced
+    assert toxicity.score(docs, model).count() == docs.count() and toxicity.score(empty, model).count() == 0
+    assert toxicity.Machine([]).scores(["x"]) == [0.0]
+
+
+def test_kernel_is_the_subsequence_sum():
+    def brute(a, b):
+        def phi(s):
+            c = Counter()
+            for i in range(len(s)):
+                for x, y in toxicity.STEPS:
+                    if i + y < len(s):
+                        c[s[i], s[i + x], s[i + y]] += toxicity.DECAY ** (y - 2)
+            return c
+
+        p, q = phi(a), phi(b)
+        dot = lambda x, y: sum(v * y[k] for k, v in x.items())
+        return dot(p, q) / np.sqrt(dot(p, p) * dot(q, q))
+
+    names = ["^idiot$", "^id*iot$", "^banana$", "^nanana$", "^abc$"]
+    got = toxicity.Kernel(names)(names)
+    assert np.allclose(got, [[np.exp(toxicity.SHARP * (brute(a, b) - 1)) for b in names] for a in names])
+
+
+def test_without_drops_and_keeps_one(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", 3), (None, 4)], "k string, v int")
+    part = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
+    got = Counter(r.k for r in common.without(rows, "k", part("a", "b"), part("a")).collect())
+    assert got == Counter({"a": 1, "c": 1, None: 1})
