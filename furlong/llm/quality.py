@@ -97,6 +97,7 @@ def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col
 
 def accepted(docs: DataFrame, model: Discriminant, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score is at least threshold. A null text is scored as an empty one."""
+    common.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     Payloads are compared by SHA-256. A null body is an empty payload, a null url an empty one; line ends in a url become %0D and %0A. Rows
     that repeat the largest id with the same payload are responses too. Rows with a null id are always responses.
     """
+    common.ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.select("*", F.sha2("body", 256).alias("key"))
     heads = rows.where(F.octet_length("body") >= least).groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
@@ -154,6 +155,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     """One row for each response or revisit under path: page_id, payload_bytes, payload_digest (hex SHA-1), record_type,
     refers_to, and payload (binary, null for revisits) if asked for. Fails on a record that is cut short, a missing segment, a
     total length that doesn't fit or a payload that differs from its digest."""
+    common.ship(spark)
     kept = _OUT if with_payload else pa.schema(list(_OUT)[:-1])
     schema = OUT + ", payload binary" * with_payload
     inner = pa.schema([("page", pa.string()), ("kind", pa.string()), ("refers", pa.string()), ("claimed", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
