@@ -104,12 +104,16 @@ def passing(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     return _marked(rows, key, bits).where("_hit").select(*rows.columns)
 
 
+def split(rows: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in the filter, rows whose key may be)."""
+    marked = _marked(rows, key, bits)
+    return marked.where("NOT _hit").select(*rows.columns), marked.where("_hit").select(*rows.columns)
+
+
 def without(rows: DataFrame, key: str, dropped: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """rows without those whose key is in dropped(key); keys in kept(key) too keep one row. Only rows that the filter of
     dropped keys lets pass are shuffled; all others stay where they are."""
-    marked = _marked(rows, key, bit_filter(dropped, key))
-    stay = marked.where("NOT _hit").select(*rows.columns)
-    near = marked.where("_hit").select(*rows.columns)
+    stay, near = split(rows, key, bit_filter(dropped, key))
     clear = near.join(dropped.select(key).distinct(), key, "left_anti").select(*rows.columns)
     out = stay.unionByName(clear)
     if kept is not None:

@@ -92,10 +92,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """
     common.ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
-    rows = rows.select("*", F.sha2("body", 256).alias("key"))
+    rows = rows.withColumn("key", F.sha2("body", 256)).withColumn("mark", F.concat_ws(":", "key", F.col("id").cast("string")))
     heads = rows.where(F.octet_length("body") >= least).groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    narrow = rows.select("id", "key").join(heads, "key").where("id <> first").select("id", "key", "first").distinct()
-    marked = rows.join(narrow, ["id", "key"], "left")
+    revisits = common.stored(rows.select("id", "key", "mark").join(heads, "key").where("id <> first").select("mark", "first").distinct())
+    # only rows that the filter takes for revisits are shuffled with their bodies
+    stay, near = common.split(rows, "mark", common.bit_filter(revisits, "mark"))
+    marked = stay.withColumn("first", F.lit(None).cast("long")).unionByName(near.join(revisits, "mark", "left").select(*stay.columns, "first"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, bodies, firsts in common.rows_of(batches, "id", "url", "body", "first"):
