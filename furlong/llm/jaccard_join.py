@@ -10,6 +10,8 @@ Copies inside a task join their first copy at once. Posting lists of up to SHORT
 only ties each member to one hub, the member of least hashed id, so a group of n copies costs n pairs. What these verify is
 united into components. Longer lists that still span several components are then gone through again, in pairs of different
 components only, with counts over all lists; so no link between components is lost, whatever the sample showed.
+There a pair leaves its task only if it can still reach its count, by what both sets have in lists of other tasks and by the
+most that either shares with any one set in short lists.
 """
 
 from __future__ import annotations
@@ -222,11 +224,12 @@ def _summed(parts: list[tuple]) -> tuple[np.ndarray, ...]:
     return (a[at], b[at], np.add.reduceat(c, at), np.minimum.reduceat(d, at)) if len(a) else (a, b, c, d)
 
 
-_LISTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("needed", pa.int32()), ("token", pa.int64()), ("hub", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
+_LISTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("needed", pa.int32()), ("brief", pa.int32()), ("token", pa.int64()), ("hub", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """A bucket's posting lists: pairs (a, b, shared, needed) of short lists and of hubs, and the postings of long lists."""
+    """A bucket's posting lists: pairs (a, b, shared, needed, brief) of short lists and of hubs, brief being the part of shared
+    from short lists; and the postings of long lists."""
     ids, ns, ps, tokens, who, base = [], [], [], [], [], 0
     for blob in table["blob"]:
         raw = blob.as_py()
@@ -247,6 +250,7 @@ def _lists(table: pa.Table) -> pa.Table:
         rows = who[cut[size == k][:, None] + np.arange(k)]
         i, j = np.triu_indices(k, 1)
         left.append(rows[:, i].ravel()), right.append(rows[:, j].ravel())
+    brief = len(left)
     rank = _mix(ids.view(np.uint64))
     long = np.flatnonzero(size > SHORT)
     spots, hubs = [], []
@@ -255,19 +259,25 @@ def _lists(table: pa.Table) -> pa.Table:
         hub = members[np.argmin(rank[members])]
         left.append(np.full(len(members), hub)), right.append(members)
         spots.append(np.arange(cut[k], cut[k] + size[k])), hubs.append(np.full(len(members), ids[hub]))
-    a, b, count, needed = _counted(np.concatenate(left), np.concatenate(right), ids, ns, ps)
+    counts = [_counted(np.concatenate(x), np.concatenate(y), ids, ns, ps) for x, y in ((left[:brief], right[:brief]), (left[brief:], right[brief:])) if x]
+    a, b, count, needed = (np.concatenate([x[j] for x in counts]) for j in range(4))
+    short = np.where(np.arange(len(a)) < len(counts[0][0]), count, 0)
     at = np.concatenate(spots) if spots else np.zeros(0, np.int64)
-    pairs = [pa.array(a), pa.array(b), pa.array(count, pa.int32()), pa.array(needed, pa.int32())]
+    pairs = [pa.array(a), pa.array(b), pa.array(count, pa.int32()), pa.array(needed, pa.int32()), pa.array(short, pa.int32())]
     posts = [pa.array(tokens[at].view(np.int64)), pa.array(np.concatenate(hubs) if hubs else at), pa.array(ids[who[at]]), pa.array(ns[who[at]], pa.int32()), pa.array(ps[who[at]], pa.int32())]
-    one = pa.Table.from_arrays([*pairs, *[pa.nulls(len(a), t) for t in _LISTS.types[4:]]], schema=_LISTS)
-    two = pa.Table.from_arrays([*[pa.nulls(len(at), t) for t in _LISTS.types[:4]], *posts], schema=_LISTS)
+    one = pa.Table.from_arrays([*pairs, *[pa.nulls(len(a), t) for t in _LISTS.types[5:]]], schema=_LISTS)
+    two = pa.Table.from_arrays([*[pa.nulls(len(at), t) for t in _LISTS.types[:5]], *posts], schema=_LISTS)
     return pa.concat_tables([one, two])
 
 
 def _across(table: pa.Table) -> pa.Table:
     """Pairs of different components in the long lists of a bucket. A list is walked in order of size, each member against
-    those that are not too large for it, in blocks. Lists with one hub lie in one bucket, and their pairs are summed before they leave."""
-    token, ids, n, p, comp = (table[c].to_numpy() for c in ("token", "id", "n", "p", "component"))
+    those that are not too large for it, in blocks. Lists with one hub lie in one bucket, and their pairs are summed before they
+    leave. Of each set, `postings` are all its places in open lists, and `brief` is the most that it shares with one other set
+    in short lists; a pair that cannot reach its count with these is not over the threshold and ends here."""
+    token, ids, n, p, comp, postings, brief = (table[c].to_numpy() for c in ("token", "id", "n", "p", "component", "postings", "brief"))
+    known, at = np.unique(ids, return_index=True)
+    elsewhere, brief = postings[at] - np.bincount(np.searchsorted(known, ids), minlength=len(known)), brief[at]
     order = np.lexsort((n, token))
     token, ids, n, p, comp = token[order], ids[order], n[order].astype(np.int64), p[order].astype(np.int64), comp[order]
     ends = np.searchsorted(token, token, side="right")
@@ -294,6 +304,9 @@ def _across(table: pa.Table) -> pa.Table:
                 flush()
     flush()
     a, b, c, d = _summed(parts)
+    i, j = np.searchsorted(known, a), np.searchsorted(known, b)
+    able = c + np.minimum(elsewhere[i], elsewhere[j]) + np.minimum(brief[i], brief[j]) >= d
+    a, b, c, d = a[able], b[able], c[able], d[able]
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32())], names=["a", "b", "shared", "needed"])
 
 
@@ -328,9 +341,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = common.stored(_index(base, frequent(base), buckets), "kind")
     rows = parts.where("kind = 'd'").select("id", "n", "first")
     packed = parts.where("kind = 'p'").select("bucket", "blob")
-    schema = "a long, b long, shared int, needed int, token long, hub long, id long, n int, p int"
+    schema = "a long, b long, shared int, needed int, brief int, token long, hub long, id long, n int, p int"
     lists = common.stored(packed.groupBy("bucket").applyInArrow(lambda t: _lists(t), schema))
-    near = common.stored(lists.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")))
+    near = common.stored(lists.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"), F.sum("brief").alias("brief")))
     copies = rows.where("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b"))
     links = common.stored(_verified(base, near.where("shared >= needed").select("a", "b")))
     edges = links.unionByName(copies)
@@ -338,10 +351,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posts = lists.where("token is not null").select("token", "hub", "id", "n", "p")
     marked = posts.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_lists = marked.join(mixed, "token", "left_semi")
-    more = open_lists.groupBy(F.pmod(F.xxhash64("hub"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _across(t), "a long, b long, shared int, needed int")
-    short = near.where("shared < needed").select("a", "b", F.col("shared").cast("int"), "needed")
-    # a short count may hold hub ties of long lists, which come again in `more`: counting them twice only adds candidates
+    open_lists = common.stored(marked.join(mixed, "token", "left_semi"))
+    in_short = near.where("brief > 0").select(F.explode(F.array("a", "b")).alias("id"), "brief").groupBy("id").agg(F.max("brief").alias("brief"))
+    places = open_lists.groupBy("id").agg(F.count("*").alias("postings"))
+    bounded = open_lists.join(places, "id").join(in_short, "id", "left").withColumn("brief", F.coalesce("brief", F.lit(0)).cast("long"))
+    more = bounded.groupBy(F.pmod(F.xxhash64("hub"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _across(t), "a long, b long, shared int, needed int")
+    # pairs of different components meet in open lists and in short ones; hub ties, which open lists count again, stay out
+    short = near.where("shared < needed AND brief > 0").select("a", "b", F.col("brief").cast("int").alias("shared"), "needed")
     again = more.unionByName(short).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed")
     side = lambda c: F.coalesce(F.col(f"{c}_component"), F.col(c))
     for c in ("a", "b"):
