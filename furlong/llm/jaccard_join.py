@@ -8,7 +8,8 @@ The number that a pair must share follows from both sizes and prefix lengths and
 
 Copies inside a task join their first copy at once. Posting lists of up to SHORT members give all their pairs. A longer list
 only ties each member to one hub, the member of least hashed id, so a group of n copies costs n pairs. What these verify is
-united into components. Longer lists that still span several components are then gone through again, in pairs of different
+united into components. Longer lists that still span several components tie their members to HUBS more members each, which
+unites more of a large group of near copies at a cost linear in it. Lists open after that are gone through again, in pairs of different
 components only, with counts over all lists; so no link between components is lost, whatever the sample showed.
 There a pair leaves its task only if it can still reach its count, by what both sets have in lists of other tasks and by the
 most that either shares with any one set in short lists.
@@ -31,6 +32,7 @@ WORDS = 5
 SHORT = 24
 LONGEST_EXTRA = 8
 VERIFY_COST = 20.0
+HUBS = 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 _R = 0xD6E8FEB86659FD93
 
@@ -270,9 +272,10 @@ def _lists(table: pa.Table) -> pa.Table:
     return pa.concat_tables([one, two])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of different components in the long lists of a bucket. A list is walked in order of size, each member against
-    those that are not too large for it, in blocks. Lists with one hub lie in one bucket, and their pairs are summed before they
+def _open_pairs(table: pa.Table, across: bool) -> pa.Table:
+    """Pairs of different components in the long lists of a bucket: across, all of them, where a list is walked in order of
+    size, each member against those that are not too large for it, in blocks; else those with one of the HUBS members of a list
+    that come next to its hub by hashed id. Lists with one hub lie in one bucket, and their pairs are summed before they
     leave. Of each set, `postings` are all its places in open lists, and `brief` is the most that it shares with one other set
     in short lists; a pair that cannot reach its count with these is not over the threshold and ends here."""
     token, ids, n, p, comp, postings, brief = (table[c].to_numpy() for c in ("token", "id", "n", "p", "component", "postings", "brief"))
@@ -294,9 +297,18 @@ def _across(table: pa.Table) -> pa.Table:
         if sum(len(x[0]) for x in parts) > 1 << 21 and len(parts) > 1:
             parts[:] = [_summed(parts)]
 
-    for k in range(len(token)):
-        last = k + 1 + int(np.searchsorted(n[k + 1 : ends[k]], n[k] * 4 // 3, side="right"))
-        other = np.arange(k + 1, last)[comp[k + 1 : last] != comp[k]]
+    def ties() -> Iterator[tuple[int, np.ndarray]]:
+        rank = _mix(ids.view(np.uint64))
+        for lo in np.unique(np.searchsorted(token, token)):
+            for k in lo + np.argsort(rank[lo : ends[lo]], kind="stable")[1 : HUBS + 1]:
+                yield k, lo + np.flatnonzero(rank[lo : ends[lo]] > rank[k])
+
+    def walk() -> Iterator[tuple[int, np.ndarray]]:
+        for k in range(len(token)):
+            yield k, np.arange(k + 1, k + 1 + int(np.searchsorted(n[k + 1 : ends[k]], n[k] * 4 // 3, side="right")))
+
+    for k, other in walk() if across else ties():
+        other = other[comp[other] != comp[k]]
         if len(other):
             left.append(np.full(len(other), k)), right.append(other)
             held += len(other)
@@ -310,6 +322,14 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32())], names=["a", "b", "shared", "needed"])
 
 
+def _tied(table: pa.Table) -> pa.Table:
+    return _open_pairs(table, across=False)
+
+
+def _crossing(table: pa.Table) -> pa.Table:
+    return _open_pairs(table, across=True)
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets meet the threshold. A filter of fixed size thins the texts before they are hashed again."""
     bits = common.bit_filter(pairs.select("a").union(pairs.select(F.col("b").alias("a"))), "a")
@@ -349,24 +369,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = links.unionByName(copies)
     found = common.stored(components(edges))
     posts = lists.where("token is not null").select("token", "hub", "id", "n", "p")
-    marked = posts.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_lists = common.stored(marked.join(mixed, "token", "left_semi"))
     in_short = near.where("brief > 0").select(F.explode(F.array("a", "b")).alias("id"), "brief").groupBy("id").agg(F.max("brief").alias("brief"))
-    places = open_lists.groupBy("id").agg(F.count("*").alias("postings"))
-    bounded = open_lists.join(places, "id").join(in_short, "id", "left").withColumn("brief", F.coalesce("brief", F.lit(0)).cast("long"))
-    more = bounded.groupBy(F.pmod(F.xxhash64("hub"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _across(t), "a long, b long, shared int, needed int")
     # pairs of different components meet in open lists and in short ones; hub ties, which open lists count again, stay out
     short = near.where("shared < needed AND brief > 0").select("a", "b", F.col("brief").cast("int").alias("shared"), "needed")
-    again = more.unionByName(short).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed")
+    bucket = F.pmod(F.xxhash64("hub"), F.lit(buckets)).alias("bucket")
     side = lambda c: F.coalesce(F.col(f"{c}_component"), F.col(c))
-    for c in ("a", "b"):
-        again = again.join(found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
-    again = common.stored(again.where(side("a") != side("b")).select("a", "b"))
-    if not again.isEmpty():
-        late = common.stored(_verified(base, again))
-        if not late.isEmpty():
-            found = common.stored(components(edges.unionByName(late)))
+    for step in (_tied, _crossing):
+        marked = posts.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+        open_lists = common.stored(marked.join(mixed, "token", "left_semi"))
+        places = open_lists.groupBy("id").agg(F.count("*").alias("postings"))
+        bounded = open_lists.join(places, "id").join(in_short, "id", "left").withColumn("brief", F.coalesce("brief", F.lit(0)).cast("long"))
+        more = bounded.groupBy(bucket).applyInArrow(step, "a long, b long, shared int, needed int")
+        again = more.unionByName(short).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed")
+        for c in ("a", "b"):
+            again = again.join(found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
+        again = common.stored(again.where(side("a") != side("b")).select("a", "b"))
+        if not again.isEmpty():
+            late = common.stored(_verified(base, again))
+            if not late.isEmpty():
+                edges = edges.unionByName(late)
+                found = common.stored(components(edges))
     return rows.join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
