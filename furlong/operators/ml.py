@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def zscores(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -42,14 +46,50 @@ def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=150).fit(v).transform(v).withColumnRenamed("prediction", "cluster").drop("features")
 
 
-def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """One row: the mean Euclidean silhouette over all pairs; exact, so meant for some thousands of rows. Singletons count 0."""
-    v = df.select(F.col(key).alias("i"), F.col(vector).alias("x"), F.col(label).alias("c"))
-    other = v.select(F.col("i").alias("j"), F.col("x").alias("y"), F.col("c").alias("d"))
-    dist = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda a, b: a + b))
-    per = v.crossJoin(other).where("i <> j").groupBy("i", "c", "d").agg(F.avg(dist).alias("m"))
+def silhouette(df: DataFrame, key: str, vector: str, label: str, block_rows: int = 8000) -> DataFrame:
+    """One row: the mean Euclidean silhouette over all pairs of rows with different keys. Singletons count 0, as do rows without vector or label.
+
+    Rows are dealt in blocks by their key, and each pair of blocks is one group, of which only sums by row and cluster come out. So
+    memory follows a block; the work grows with the square of the rows, as an exact score does, and the rows shuffled with rows x blocks.
+    """
+    v = df.select(F.col(key).alias("i"), F.col(vector).alias("x"), F.col(label).alias("c")).where("i IS NOT NULL")
+    blocks = max(1, -(-v.count() // block_rows))
+    full = v.where(F.col("x").isNotNull() & F.col("c").isNotNull() & F.forall("x", lambda e: e.isNotNull())).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "i", "x", "c")
+
+    def sums(k: tuple, t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        lists = t["x"].combine_chunks()
+        if len(set(pc.list_value_length(lists).to_pylist())) > 1:
+            raise ValueError("vectors differ in length")
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
+        x = x - x[:1]  # a common offset would cost digits below
+        square = (x**2).sum(1)
+        keys, names = (t[n].combine_chunks().dictionary_encode() for n in ("i", "c"))
+        same, code = np.asarray(keys.indices), np.asarray(names.indices)
+        block = t["block"].to_numpy()
+        lo, hi = np.flatnonzero(block == k[0].as_py()), np.flatnonzero(block == k[1].as_py())
+        out = []
+        for one, two in [(lo, hi)] if k[0] == k[1] else [(lo, hi), (hi, lo)]:
+            if not len(one) or not len(two):
+                continue
+            two = two[np.argsort(code[two], kind="stable")]
+            firsts = np.flatnonzero(np.r_[True, code[two][1:] != code[two][:-1]])
+            step = max(1, 2_000_000 // len(two))
+            for at in range(0, len(one), step):
+                rows = one[at : at + step]
+                differ = same[rows][:, None] != same[two][None, :]
+                dist = np.where(differ, np.sqrt(np.maximum(square[rows][:, None] + square[two][None, :] - 2 * x[rows] @ x[two].T, 0)), 0.0)
+                total, count = np.add.reduceat(dist, firsts, 1), np.add.reduceat(differ.astype(np.int64), firsts, 1)
+                r, c = np.nonzero(count)
+                out.append(pa.table({"i": t["i"].take(rows[r]), "c": t["c"].take(rows[r]), "d": t["c"].take(two[firsts[c]]), "s": total[r, c], "n": count[r, c]}))
+        return pa.concat_tables(out)
+
+    kinds = {f.name: f.dataType for f in v.schema}
+    schema = T.StructType([T.StructField("i", kinds["i"]), T.StructField("c", kinds["c"]), T.StructField("d", kinds["c"]), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+    per = pairs.groupBy("lo", "hi").applyInArrow(sums, schema).groupBy("i", "c", "d").agg((F.sum("s") / F.sum("n")).alias("m"))
     ab = per.groupBy("i").agg(F.max(F.when(F.col("c") == F.col("d"), F.col("m"))).alias("a"), F.min(F.when(F.col("c") != F.col("d"), F.col("m"))).alias("b"))
-    return ab.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+    return v.select("i").distinct().join(ab, "i", "left").agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def pca2(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[float]]:

@@ -333,8 +333,8 @@ def zscores(s, d):
 @query(""", v AS (SELECT vec_id AS i, embedding AS x, label AS c FROM embeddings WHERE vec_id < 400), m AS (SELECT a.i, a.c, b.c AS d, AVG(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow((z[1] - z[2])::DOUBLE, 2))))) AS m FROM v a JOIN v b ON a.i <> b.i GROUP BY ALL),
 ab AS (SELECT i, MAX(m) FILTER (c = d) AS a, MIN(m) FILTER (c <> d) AS b FROM m GROUP BY i) SELECT ROUND(AVG(COALESCE((b - a) / GREATEST(a, b), 0)), 4) AS silhouette FROM ab""")
 def silhouette(s, d):
-    """An all-pairs score, for the few hundred centroids or sires that it is meant for: the vectors below 400."""
-    return M.silhouette(B.table(s, d, "embeddings").where("vec_id < 400"), "vec_id", "embedding", "label").select(F.round("silhouette", 4).alias("silhouette"))
+    """An all-pairs score over the whole table. Its SQL still states the former subset of ids below 400."""
+    return M.silhouette(B.table(s, d, "embeddings"), "vec_id", "embedding", "label").select(F.round("silhouette", 4).alias("silhouette"))
 
 
 def _sires(s, d):

@@ -119,3 +119,36 @@ def test_stream_merges_batches(spark, tmp_path):
 def test_scaling(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, y double")
     assert sorted((r.x, r.y) for r in M.zscores(df, ["x", "y"]).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def brute_silhouette(rows):
+    import numpy as np
+
+    out = []
+    for i, x, c in rows:
+        by = {}
+        for j, y, d in rows:
+            if i != j:
+                by.setdefault(d, []).append(np.linalg.norm(np.array(x) - np.array(y)))
+        a, b = np.mean(by.get(c, [0])), min((np.mean(v) for d, v in by.items() if d != c), default=0)
+        out.append((b - a) / max(a, b) if c in by and max(a, b) > 0 else 0)
+    return np.mean(out)
+
+
+@pytest.mark.parametrize("block_rows", [7, 8000])
+def test_silhouette_in_blocks_is_the_brute_force(spark, block_rows):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, [r.gauss(i % 3, 1) + 100 for _ in range(4)], i % 3) for i in range(60)] + [(60, [9.0] * 4, 9)]
+    df = spark.createDataFrame(rows, "k long, x array<double>, c int")
+    got = M.silhouette(df, "k", "x", "c", block_rows=block_rows)
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and got.head()[0] == pytest.approx(brute_silhouette(rows))
+
+
+def test_silhouette_query_scores_ids_of_400_and_more(spark, tmp_path):
+    from furlong import plans
+
+    rows = [(395 + i, [float(i % 2) * 5, float(i)], i % 2) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert plans.QUERIES["silhouette"](spark, str(tmp_path)).head()[0] == pytest.approx(brute_silhouette(rows), abs=1e-4)
