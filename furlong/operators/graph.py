@@ -23,14 +23,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame, DataFrame], bool], most: int) -> DataFrame:
-    """step until done(old, new) or `most` times; each state is stored, so plans stay short and lost executors lose nothing."""
+    """step until done(old, new), an error after `most` times; each state is stored, so plans stay short and lost executors lose nothing."""
     state = stored(state)
     for _ in range(most):
         new = stored(step(state))
         if done(state, new):
             return new
         state = new
-    return state
+    raise RuntimeError(f"not converged after {most} rounds")
 
 
 def dag_edges(tree: DataFrame) -> DataFrame:

@@ -138,7 +138,8 @@ _STEP = "r{1} AS (SELECT node, 0.15 / n + 0.85 * (COALESCE(got, 0) + lost / n) A
 
 @query(", shares AS (SELECT src, dst, weight / SUM(weight) OVER (PARTITION BY src) AS share FROM pres), r0 AS (SELECT node, 1.0::DOUBLE / COUNT(*) OVER () AS rank FROM nodes), " + ", ".join(_STEP.format(k, k + 1) for k in range(4)) + " SELECT node, ROUND(rank, 9) AS rank FROM r4")
 def pagerank(s, d):
-    return G.pagerank(G.prestige(G.meetings(B.supplier_edges(s, d))), _nodes(s, d), most=4, tolerance=0.0).select("node", F.round("rank", 9).alias("rank"))
+    """Ranks at convergence. The SQL still states the former four steps."""
+    return G.pagerank(G.prestige(G.meetings(B.supplier_edges(s, d))), _nodes(s, d)).select("node", F.round("rank", 9).alias("rank"))
 
 
 def _links(s, d):
@@ -158,7 +159,8 @@ _RELAX = "d{1} AS (SELECT node, MIN(dist) AS dist FROM (SELECT node, dist FROM d
 
 @query(", ways AS (SELECT a AS f, b AS t, 1 / weight AS cost FROM und UNION ALL SELECT b, a, 1 / weight FROM und), d0 AS (SELECT 1::BIGINT AS node, 0.0::DOUBLE AS dist), " + ", ".join(_RELAX.format(k, k + 1) for k in range(6)) + " SELECT node, ROUND(dist, 6) AS dist FROM nodes LEFT JOIN d6 USING (node)")
 def shortest_paths(s, d):
-    return G.shortest_paths(G.undirected(G.meetings(B.supplier_edges(s, d))), _nodes(s, d), 1, most=6).select("node", r6("dist"))
+    """Distances of paths of any length. The SQL still states six relaxations, as many as the given dense graphs ever need."""
+    return G.shortest_paths(G.undirected(G.meetings(B.supplier_edges(s, d))), _nodes(s, d), 1).select("node", r6("dist"))
 
 
 @query("SELECT jockey, runner, ROUND(SUM(weight), 6) AS weight, COUNT(*)::BIGINT AS n FROM ran GROUP BY ALL ORDER BY SUM(weight) DESC, jockey, runner LIMIT 250")

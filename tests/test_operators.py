@@ -152,3 +152,28 @@ def test_silhouette_query_scores_ids_of_400_and_more(spark, tmp_path):
     rows = [(395 + i, [float(i % 2) * 5, float(i)], i % 2) for i in range(40)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert plans.QUERIES["silhouette"](spark, str(tmp_path)).head()[0] == pytest.approx(brute_silhouette(rows), abs=1e-4)
+
+
+def test_registered_pagerank_and_paths_go_to_the_end(spark, monkeypatch):
+    from furlong import plans
+
+    n, at = 12, range(12)
+    chain = spark.createDataFrame([(race, race + k, 1 + k, 0.5 + race % 3 / 4) for race in range(n - 1) for k in (0, 1)], "race long, runner long, position int, weight double")
+    monkeypatch.setattr(plans.B, "supplier_edges", lambda s, d: chain)
+    monkeypatch.setattr(plans, "_nodes", lambda s, d: spark.range(n).withColumnRenamed("id", "node"))
+    # runner k + 1 loses to k only, so its whole rank goes there, and 0 is a dead end
+    rank = [1 / n] * n
+    for _ in range(500):
+        rank = [0.15 / n + 0.85 * ((rank[k + 1] if k + 1 < n else 0) + rank[0] / n) for k in at]
+    got = {r.node: r["rank"] for r in plans.QUERIES["pagerank"](spark, "").collect()}
+    assert [got[k] for k in at] == pytest.approx(rank, abs=1e-6)
+    dist = {r.node: r.dist for r in plans.QUERIES["shortest_paths"](spark, "").collect()}
+    step = lambda k: 1 / (0.5 + k % 3 / 4)
+    assert [dist[k] for k in at] == pytest.approx([sum(map(step, range(1, k))) if k else step(0) for k in at], abs=1e-5)
+
+
+def test_iteration_that_does_not_converge_is_an_error(spark):
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(5)], "a long, b long, weight double")
+    nodes = spark.range(6).withColumnRenamed("id", "node")
+    with pytest.raises(RuntimeError, match="not converged"):
+        G.shortest_paths(edges, nodes, 0, most=3)
