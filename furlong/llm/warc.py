@@ -24,8 +24,9 @@ END = "\r\n"
 PARSED = "path string, offset long, kind string, record_id string, origin string, segment int, total long, uri string, refers_to string, payload_digest string, block binary"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}')}>"
+def record_id(page_id: int | None, sha1: str, tag: str | None = None, segment: int = 1) -> str:
+    """tag tells rows with the same id and payload apart; the first of them has none, so that revisits can name it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id} {sha1} {tag} {segment}')}>"
 
 
 def cut(data: bytes, size: int) -> list[bytes]:
@@ -57,14 +58,14 @@ def unchunked(data: bytes) -> bytes:
         at = line + 2 + size + 2
 
 
-def records(page_id: int | None, url: str, payload: bytes, sha1: str, original: int | None, segment_bytes: int) -> Iterator[str]:
+def records(page_id: int | None, url: str, payload: bytes, sha1: str, original: int | None, segment_bytes: int, tag: str | None = None) -> Iterator[str]:
     """The records of one page. original: the page that a revisit refers to."""
-    me = record_id(page_id)
+    me = record_id(page_id, sha1, tag)
     digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
     head = [f"WARC-Target-URI: {url}", "WARC-Date: 2025-01-01T00:00:00Z", f"WARC-Payload-Digest: {digest}", f"X-Page-Id: {'' if page_id is None else page_id}"]
     if original is not None:
         block = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: {len(payload)}{END}{END}".encode()
-        yield _record("revisit", me, [*head, f"WARC-Refers-To: {record_id(original)}", f"X-Refers-To-Page: {original}", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"], block)
+        yield _record("revisit", me, [*head, f"WARC-Refers-To: {record_id(original, sha1)}", f"X-Refers-To-Page: {original}", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"], block)
         return
     if len(payload) <= segment_bytes:
         yield _record("response", me, head, f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: {len(payload)}{END}{END}".encode() + payload)
@@ -76,7 +77,7 @@ def records(page_id: int | None, url: str, payload: bytes, sha1: str, original:
         if k == 0:
             yield _record("response", me, [*head, "WARC-Segment-Number: 1", *last], part)
         else:
-            yield _record("continuation", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id} {k}')}>", ["WARC-Date: 2025-01-01T00:00:00Z", f"WARC-Segment-Origin-ID: {me}", f"WARC-Segment-Number: {k + 1}", *last], part)
+            yield _record("continuation", record_id(page_id, sha1, tag, k + 1), ["WARC-Date: 2025-01-01T00:00:00Z", f"WARC-Segment-Origin-ID: {me}", f"WARC-Segment-Number: {k + 1}", *last], part)
 
 
 def _record(kind: str, rid: str, head: list[str], block: bytes) -> str:
@@ -88,23 +89,33 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     Of rows with equal payloads of at least `least` bytes, the one with the largest id is the response and the others revisit it.
     Payloads are compared by SHA-256. A null body is an empty payload, a null url an empty one; line ends in a url become %0D and %0A. Rows
-    that repeat the largest id with the same payload are responses too. Rows with a null id are always responses.
+    that repeat the largest id with the same payload are responses too. Rows with a null id are always responses. Each record has an
+    identifier of its own, whatever ids repeat.
     """
     common.ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("key", F.sha2("body", 256)).withColumn("mark", F.concat_ws(":", "key", F.col("id").cast("string")))
     heads = rows.where(F.octet_length("body") >= least).groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     revisits = common.stored(rows.select("id", "key", "mark").join(heads, "key").where("id <> first").select("mark", "first").distinct())
+    twins = common.stored(rows.groupBy("mark").count().where("count > 1").select("mark"))
+    rows = rows.withColumn("tag", F.lit(None).cast("string"))
+    if not twins.isEmpty():
+        # rows that repeat an id with its payload are stored with a tag each; the least tag of a mark is left out again
+        single, near = common.split(rows, "mark", common.bit_filter(twins, "mark"))
+        tagged = common.stored(near.join(twins, "mark", "left_semi").select(*rows.columns).withColumn("tag", F.expr("uuid()")))
+        least_tags = tagged.groupBy("mark").agg(F.min("tag").alias("tag")).select("tag", F.lit(True).alias("lead"))
+        apart = tagged.join(least_tags, "tag", "left").withColumn("tag", F.when(F.col("lead").isNull(), F.col("tag"))).select(*rows.columns)
+        rows = single.unionByName(near.join(twins, "mark", "left_anti").select(*rows.columns)).unionByName(apart)
     # only rows that the filter takes for revisits are shuffled with their bodies
     stay, near = common.split(rows, "mark", common.bit_filter(revisits, "mark"))
     marked = stay.withColumn("first", F.lit(None).cast("long")).unionByName(near.join(revisits, "mark", "left").select(*stay.columns, "first"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, urls, bodies, firsts in common.rows_of(batches, "id", "url", "body", "first"):
+        for ids, urls, bodies, firsts, tags in common.rows_of(batches, "id", "url", "body", "first", "tag"):
             out = []
-            for i, u, b, f in zip(ids, urls, bodies, firsts):
+            for i, u, b, f, t in zip(ids, urls, bodies, firsts, tags):
                 data = b.encode()
-                out += records(i, u, data, hashlib.sha1(data).hexdigest(), f, segment_bytes)
+                out += records(i, u, data, hashlib.sha1(data).hexdigest(), f, segment_bytes, t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     marked.mapInArrow(build, "value string").write.option("lineSep", END + END).option("maxRecordsPerFile", records_per_file).text(path)

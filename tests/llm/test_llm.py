@@ -140,6 +140,21 @@ def test_warc_notices_a_missing_segment(spark, tmp_path):
         warc.read(spark, f"file://{tmp_path}/w").collect()
 
 
+def test_warc_with_null_and_repeated_ids(spark, tmp_path):
+    long = [c * 3000 for c in "abcdef"]
+    rows = [(None, long[0]), (None, long[1]), (None, long[1]), (7, long[2]), (7, long[3]), (8, long[4]), (8, long[4]), (3, long[4]), (3, long[4]), (9, "short"), (9, "short"), (None, None)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    path = f"{tmp_path}/w"
+    warc.write(pages, f"file://{path}", segment_bytes=700)
+    got = warc.read(spark, f"file://{path}", with_payload=True).collect()
+    again = lambda i, h: i == 3 and h == long[4]
+    want = Counter((i, "revisit" if again(i, h) else "response", 8 if again(i, h) else None, None if again(i, h) else (h or "").encode()) for i, h in rows)
+    assert Counter((r.page_id, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got) == want
+    text = b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*")).decode()
+    ids = re.findall("WARC-Record-ID: (.*)\r", text)
+    assert len(ids) == len(set(ids)) and set(re.findall("WARC-Refers-To: (.*)\r", text)) <= set(ids)
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs, max_repeats=1.5).collect()
     rows = Counter((r.source, r.n_tokens) for r in got)
