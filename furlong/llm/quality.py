@@ -35,16 +35,28 @@ def features(text: str) -> list[float]:
     ]
 
 
+def weights(y: np.ndarray, counts: dict[int, int] | None) -> np.ndarray:
+    """For each row, how many rows of its class it stands for; 1 without counts."""
+    if not counts:
+        return np.ones(len(y))
+    return np.where(y == 1, counts.get(1, 0) / max((y == 1).sum(), 1), counts.get(0, 0) / max((y == 0).sum(), 1))
+
+
 class Discriminant:
-    def __init__(self, x: np.ndarray, y: np.ndarray, shrink: float = 0.3, ridge: float = 1e-2):
-        """Rows x with classes y in {0, 1}. If a class has no rows, the score is that of the other class for all rows, and 0.5 without any."""
+    def __init__(self, x: np.ndarray, y: np.ndarray, shrink: float = 0.3, ridge: float = 1e-2, counts: dict[int, int] | None = None):
+        """Rows x with classes y in {0, 1}. If a class has no rows, the score is that of the other class for all rows, and 0.5 without any.
+
+        counts: how many rows of each class those of x stand for (if not given, themselves); the priors follow them.
+        """
         self.only = None if {0, 1} <= set(y.tolist()) else (float(y[0]) if len(y) else 0.5)
         if self.only is not None:
             return
-        self.mid, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+        weight = weights(y, counts)
+        self.mid = np.average(x, 0, weight)
+        self.scale = np.maximum(np.sqrt(np.average((x - self.mid) ** 2, 0, weight)), 1e-6)
         z = (x - self.mid) / self.scale
         own = [np.atleast_2d(np.cov(z[y == c].T, bias=True)) for c in (0, 1)]
-        share = np.array([(y == c).mean() for c in (0, 1)])
+        share = np.array([weight[y == c].sum() for c in (0, 1)]) / weight.sum()
         pooled = share[0] * own[0] + share[1] * own[1]
         self.means, self.factors, self.level = [], [], []
         for c in (0, 1):
@@ -63,20 +75,27 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """Texts with labels 0 or 1: at most `most` of each label, those with the smallest hash of their id. Rows with a null id or
-    another label are left out, as are ids with both labels. allowed: a condition on the column _id."""
+def agreed(labels: DataFrame, label_col: str, allowed, id_col: str = "doc_id") -> DataFrame:
+    """(_id, _y) with labels 0 or 1. Rows with a null id or another label are left out, as are ids with both labels. allowed: a
+    condition on the column _id."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & allowed)
-    agreed = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z")
-    ids = common.bounded_ids(agreed.select("_id", "_y"), "_id", ["_y"], most)
+    return known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """Texts with labels 0 or 1, at most `most` of each label, those with the smallest hash of their id; and the counts of all
+    agreed labels, from which the priors come."""
+    known = agreed(labels, label_col, allowed, id_col)
+    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    ids = common.bounded_ids(known, "_id", ["_y"], most)
     rows = common.texts(docs, id_col, text_col).join(F.broadcast(ids), F.col("id") == F.col("_id"))
-    return [(r["text"], r["_y"]) for r in rows.select("id", "text", "_y").orderBy("id", "text").collect()]
+    return [(r["text"], r["_y"]) for r in rows.select("id", "text", "_y").orderBy("id", "text").collect()], counts
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
-    """Fitted on a bounded sample of labelled rows: at most per_class of each label."""
-    rows = sample(docs, labels, "quality", allowed, per_class, id_col, text_col)
-    return Discriminant(np.array([features(t) for t, _ in rows]).reshape(-1, len(FEATURES)), np.array([y for _, y in rows], int))
+    """Fitted on a bounded sample of labelled rows, at most per_class of each label, with the priors of all of them."""
+    rows, counts = sample(docs, labels, "quality", allowed, per_class, id_col, text_col)
+    return Discriminant(np.array([features(t) for t, _ in rows]).reshape(-1, len(FEATURES)), np.array([y for _, y in rows], int), counts=counts)
 
 
 def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

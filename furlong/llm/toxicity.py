@@ -119,8 +119,11 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1
 
 
 class Machine:
-    def __init__(self, rows: list[tuple[str, int]], landmarks: int = 96):
-        """rows: (text, label). Without rows of both labels every score is that of the one label, or 0 without any."""
+    def __init__(self, rows: list[tuple[str, int]], landmarks: int = 96, counts: dict[int, int] | None = None):
+        """rows: (text, label). Without rows of both labels every score is that of the one label, or 0 without any.
+
+        counts: how many texts of each label those of rows stand for (if not given, themselves); the probabilities follow them.
+        """
         self.cache: dict[str, float] = {}
         self.only = None if {y for _, y in rows} == {0, 1} else float(rows[0][1]) if rows else 0.0
         bags = [(sorted({p for s in SENTENCE.split(t) for w in words(s) for p in pieces(w)}), y) for t, y in rows] if self.only is None else []
@@ -171,7 +174,8 @@ class Machine:
             known = dict(zip(new, self.values(new).tolist())) if new else {}
             chosen = [set(b) & witness or set(sorted((w for w in b if w in known), key=lambda w: (-known[w], w))[:1]) for b, y in bags if y]
         tops = np.array([self.values(b).max() for b, _ in bags])
-        self._platt(tops, np.array([y for _, y in bags], float))
+        y = np.array([y for _, y in bags], float)
+        self._platt(tops, y, quality.weights(y, counts))
         self.cache.clear()
 
     @staticmethod
@@ -190,13 +194,14 @@ class Machine:
         self.kernel, self.beta, self.bias = kernel, beta, float(bias)
         self.cache.clear()
 
-    def _platt(self, f: np.ndarray, y: np.ndarray) -> None:
+    def _platt(self, f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         a, b = 1.0, 0.0
         t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
-            v = np.maximum(p * (1 - p), 1e-6)
-            g = np.array([((p - t) * f).sum() + 1e-3 * a, (p - t).sum()])
+            v = weight * np.maximum(p * (1 - p), 1e-6)
+            e = weight * (p - t)
+            g = np.array([(e * f).sum() + 1e-3 * a, e.sum()])
             h = np.array([[(v * f * f).sum() + 1e-3, (v * f).sum()], [(v * f).sum(), v.sum() + 1e-6]])
             step = np.linalg.solve(h, g)
             a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
@@ -238,8 +243,9 @@ class Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fitted on a bounded sample of labelled rows: at most per_class of each label."""
-    return Machine(quality.sample(docs, labels, "toxic", allowed, per_class, id_col, text_col))
+    """Fitted on a bounded sample of labelled rows, at most per_class of each label, with the probabilities of all of them."""
+    rows, counts = quality.sample(docs, labels, "toxic", allowed, per_class, id_col, text_col)
+    return Machine(rows, counts=counts)
 
 
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -274,6 +274,30 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.Machine([]).scores(["x"]) == [0.0]
 
 
+def test_a_cap_on_the_sample_leaves_the_priors(spark):
+    r = np.random.default_rng(1)
+    y = np.r_[np.zeros(2000, int), np.ones(18000, int)]
+    x = r.normal(0, 1, (20000, 15)) + y[:, None] * 0.3
+    few = np.r_[: 4000]  # the larger class capped at 2,000
+    whole, capped = (m.score(x) for m in (quality.Discriminant(x, y), quality.Discriminant(x[few], y[few], counts={0: 2000, 1: 18000})))
+    assert abs((whole >= 0.5).mean() - (capped >= 0.5).mean()) < 0.02
+    rows = spark.createDataFrame([(i, "a b", int(i % 10 > 0)) for i in range(300)], "doc_id long, text string, quality int")
+    sampled, counts = quality.sample(rows.select("doc_id", "text"), rows.select("doc_id", "quality"), "quality", F.col("_id") >= 0, 40)
+    assert Counter(v for _, v in sampled) == {0: 30, 1: 40} and counts == {0: 30, 1: 270}
+
+
+def test_platt_follows_the_true_counts():
+    r = np.random.default_rng(3)
+    y = np.r_[np.zeros(2000), np.ones(200)]
+    f = y + r.normal(0, 1, len(y))
+    few = np.r_[np.arange(200), np.arange(2000, 2200)]  # the clean class capped at 200 of 2,000
+    whole, part = toxicity.Machine([]), toxicity.Machine([])
+    whole._platt(f, y, quality.weights(y, None))
+    part._platt(f[few], y[few], quality.weights(y[few], {0: 2000, 1: 200}))
+    at = lambda m: 1 / (1 + np.exp(-(m.slope * 1.0 + m.shift)))
+    assert abs(at(whole) - at(part)) < 0.05
+
+
 def test_kernel_is_the_subsequence_sum():
     def brute(a, b):
         def phi(s):
