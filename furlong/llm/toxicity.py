@@ -24,7 +24,7 @@ from . import common, quality
 DECAY = 0.5
 STEPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
-SPACED = re.compile(r"(?:(?<=\s)|^)\S(?: \S){2,}(?=\s|$)")
+OTHER = re.compile(r"[\W\d_]+")
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 LONGEST = 24
 SHARP = 6.0
@@ -40,9 +40,23 @@ def pieces(word: str) -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words; letters that stand apart one by one also count as the word they spell."""
-    text = text.lower()
-    return text.split() + [m.group().replace(" ", "") for m in SPACED.finditer(text)]
+    """Lower-case words, each also without its non-letters; three or more short ones in a row, whatever the blanks and signs
+    between them, also count as the word they spell."""
+    found = text.lower().split()
+    more, runs = [], ([], [])
+    for w in [*found, "end"]:
+        bare = w if w.isalpha() else OTHER.sub("", w)
+        if len(bare) > 1 and bare != w:
+            more.append(bare)
+        # runs of single letters, and of words of at most two
+        for most, run in enumerate(runs, 1):
+            if len(bare) <= most:
+                run.append(bare)
+            elif run:
+                if len(run) > 2:
+                    more.append("".join(run))
+                run.clear()
+    return found + more
 
 
 def occurrences(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:

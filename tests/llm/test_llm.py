@@ -274,6 +274,14 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.Machine([]).scores(["x"]) == [0.0]
 
 
+def test_toxicity_sees_through_inserted_characters(spark):
+    rows = labelled(spark, 7).select("text", "toxic").collect()
+    model = toxicity.Machine([(r.text, r.toxic) for r in rows])
+    plain, *hidden = model.scores([f"such an {w} here" for w in ("idiot", "i.d.i.o.t", "i..d..i..o..t", "i-*d-*i-*o-*t", "i  d  i  o  t", "i - d - i - o - t", "i. d. i. o. t.")])
+    assert plain >= 0.3 and min(hidden) == plain
+    assert max(model.scores(["the river of stone", "the r.i.v.e.r of stone"])) < 0.3
+
+
 def test_a_cap_on_the_sample_leaves_the_priors(spark):
     r = np.random.default_rng(1)
     y = np.r_[np.zeros(2000, int), np.ones(18000, int)]
