@@ -355,6 +355,16 @@ def sire_clusters(s, d):
     return out.join(names, "cluster")
 
 
+@query()
+def sire_k_sweep(s, d):
+    """The silhouette of 2 to 7 clusters of sires."""
+    z, out = M.zscores(_sires(s, d), CLUSTER), None
+    for k in range(2, 8):
+        row = M.silhouette(M.kmeans(z, CLUSTER, k).withColumn("x", F.array(*CLUSTER)), "sire", "x", "cluster").select(F.lit(k).alias("k"), "silhouette")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 FEATURES = ["horse_rate", "jockey_rate", "sire_rate", "starts", "distance", "g1"]
 
 
@@ -372,7 +382,7 @@ def classifiers(s, d):
     parts = M.temporal_split(_features(s, d), "year", 1998, 1999)
     train = M.medians_filled(parts["train"], FEATURES)
     train, test = (M.zscores(M.medians_filled(parts[k], FEATURES, parts["train"]), FEATURES, train) for k in ("train", "test"))
-    log, rf = M.logistic(train, FEATURES, "y"), M.forest(train, FEATURES, "y", trees=10)
+    log, rf = M.logistic(train, FEATURES, "y"), M.forest(train, FEATURES, "y")
     both = M.scored(rf, M.scored(log, test, FEATURES, "logistic"), FEATURES, "forest")
     both = both.withColumn("baseline", F.lit(train.agg(F.avg("y")).head()[0] or 0.0))
     out = None
@@ -445,10 +455,14 @@ def underdogs(s, d):
 
 @query()
 def horse_metadata(s, d):
-    """The node table: results, inbreeding, degree and role of each runner."""
+    """The node table: results, inbreeding, weighted degree, PageRank and role of each runner."""
     stats, fx = horse_stats(s, d), G.inbreeding(B.tree(s, d)).withColumnRenamed("horse", "runner")
     born = G.dag_edges(B.tree(s, d)).groupBy(F.col("parent").alias("runner")).agg(F.count("*").alias("progeny"))
-    out = B.pedigree(s, d).join(stats, "runner", "left").join(fx, "runner", "left").join(born, "runner", "left")
+    met, nodes = G.meetings(B.ran(s, d)), B.pedigree(s, d).select(F.col("runner").alias("node")).distinct()
+    degrees, ranks = (x.withColumnRenamed("node", "runner") for x in (G.degree(G.undirected(met), nodes), G.pagerank(G.prestige(met), nodes)))
+    out = B.pedigree(s, d)
+    for more in (stats, fx, born, degrees, ranks.withColumnRenamed("rank", "pagerank")):
+        out = out.join(more, "runner", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.withColumns({"fx_pct": S.round_even(100 * zero(F.col("fx")), 3), "sire": S.or_unknown(F.col("sire")), "role": S.role(zero(F.col("g1_podiums")), zero(F.col("starts")), zero(F.col("progeny"))), "era": S.era(F.col("peak_year"))})
 

@@ -177,3 +177,26 @@ def test_iteration_that_does_not_converge_is_an_error(spark):
     nodes = spark.range(6).withColumnRenamed("id", "node")
     with pytest.raises(RuntimeError, match="not converged"):
         G.shortest_paths(edges, nodes, 0, most=3)
+
+
+def test_forest_sweep_and_node_table_are_whole(spark, monkeypatch):
+    import os
+
+    from furlong import plans
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    assert sorted(r.k for r in plans.QUERIES["sire_k_sweep"](spark, data).collect()) == list(range(2, 8))
+    rows = plans.QUERIES["horse_metadata"](spark, data).select("degree", "pagerank").collect()
+    assert sum(r.pagerank for r in rows) == pytest.approx(1) and max(r.degree for r in rows) > 0
+
+    class Seen(Exception):
+        pass
+
+    def forest(train, cols, target, trees=45):
+        raise Seen(trees)
+
+    monkeypatch.setattr(plans.M, "forest", forest)
+    with pytest.raises(Seen, match="45"):
+        plans.QUERIES["classifiers"](spark, data)
