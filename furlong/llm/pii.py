@@ -80,7 +80,8 @@ def _valid(kind: str, m: Column) -> Column:
 def _found(docs: DataFrame) -> DataFrame:
     """docs with columns base (kind, start, end, m of all base matches, with `good` false where a check fails) and wide."""
     text = F.col("text")
-    digit = text.rlike("[0-9]")
+    # all wide patterns but those of secrets need a digit
+    some = text.rlike("[0-9]|AKIA|password|passwd|secret|token|api_key")
     # separators that do not stand between digits can be no part of a card: a character of the same length takes their place
     chain = F.regexp_replace(text, "(?<![0-9])[ -]|[ -](?![0-9])", "\u0001")
     look = {
@@ -89,7 +90,7 @@ def _found(docs: DataFrame) -> DataFrame:
         "card": _spans(text, CARD, text.rlike("[0-9][ -]?" * 12 + "[0-9]"), chain),
         "phone": _spans(text, PHONE, F.contains(text, F.lit("+"))),
     }
-    out = docs.select("id", "text", *[v.alias(k) for k, v in look.items()], _spans(text, WIDE, digit).alias("wide"))
+    out = docs.select("id", "text", *[v.alias(k) for k, v in look.items()], _spans(text, WIDE, some).alias("wide"))
     kind_of = lambda k: lambda c: F.struct(F.lit(KINDS.index(k)).alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["m"].alias("m"), _valid(k, c["m"]).alias("good"))
     base = F.concat(*[F.transform(F.col(k), kind_of(k)) for k in look])
     return out.select("id", "text", base.alias("base"), "wide")
