@@ -1,22 +1,28 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct 5-word shingles, as 64-bit hashes. All sets are sorted alike: shingles that a bounded
-sample does not show to be frequent come first, the frequent ones last, the most frequent at the very end. Two similar sets
-share many of their first shingles, so only a prefix of each goes into the index. A prefix is as long as the threshold asks
-for, and longer where the estimated cost of candidates says so: with l - 1 more shingles, a candidate must share l.
-The number that a pair must share follows from both sizes and prefix lengths and never drops a pair over the threshold.
+A document is the set of its distinct 5-word shingles, as 64-bit hashes. All sets are sorted alike: shingles that no task saw
+twice come first, the frequent ones last, the most frequent at the very end. Two similar sets share many of their first
+shingles, so only a prefix of each goes into the index. A prefix is as long as the threshold asks for, and longer where the
+estimated cost of candidates says so: with l - 1 more shingles, a candidate must share l. The number that a pair must share
+follows from both sizes and prefix lengths and never drops a pair over the threshold.
 
 Copies inside a task join their first copy at once. Posting lists of up to SHORT members give all their pairs. A longer list
-only ties each member to one hub, the member of least hashed id, so a group of n copies costs n pairs. What these verify is
-united into components. Longer lists that still span several components tie their members to HUBS more members each, which
-unites more of a large group of near copies at a cost linear in it. Lists open after that are gone through again, in pairs of different
-components only, with counts over all lists; so no link between components is lost, whatever the sample showed.
-There a pair leaves its task only if it can still reach its count, by what both sets have in lists of other tasks and by the
-most that either shares with any one set in short lists.
+only ties each member to one hub, the member of least hashed id, so a group of n copies costs n pairs. Lists that are known to
+be very long are never gathered: their hub is an aggregate, and their postings stay rows. What these pairs verify is united
+into components.
+
+Lists that still span several components are gone through again, hub by hub: the documents below one hub are dealt into
+blocks of about BLOCK by hashed id, and two blocks meet in a tile, in which all pairs of different components are counted by a
+product of small matrices. So memory follows BLOCK and never the size of a group, and a large group is spread over many tasks.
+Two rounds take only the blocks with themselves, dealt differently each time, at a cost linear in the group; they unite most of
+a large group of near copies. The last round takes all tiles that still span components, so that no link between components is
+lost, whatever the counts of frequent shingles said. A pair leaves its tile only if it can still reach its count, by what both
+sets have in the lists of other hubs and by the most that either shares with any one set in short lists.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +38,9 @@ WORDS = 5
 SHORT = 24
 LONGEST_EXTRA = 8
 VERIFY_COST = 20.0
-HUBS = 16
+LONG_WORD = 256
+BLOCK = 1024
+HOT = 100_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 _R = 0xD6E8FEB86659FD93
 
@@ -68,6 +76,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         edge = np.diff(np.concatenate([[False], _WORD[data], [False]]).astype(np.int8))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         words = _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+        for k in np.flatnonzero(end - start > LONG_WORD):  # long words could be made to collide in a polynomial
+            words[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes().lower(), digest_size=8).digest(), "little")
         sizes = np.cumsum([len(t.encode()) + 1 for t in texts])
         upto = np.searchsorted(start, sizes)
         runs = words.copy()
@@ -106,7 +116,7 @@ def least_shared(n_a: np.ndarray, n_b: np.ndarray, p_a: np.ndarray, p_b: np.ndar
 
 
 class Frequent:
-    """Shingles that the sample shows to be frequent, with their estimated document counts."""
+    """Shingles that tasks saw more than once, with their document counts."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
@@ -132,39 +142,69 @@ class Frequent:
         return x[: least + int(np.argmin(cost + VERIFY_COST * others / extra))]
 
 
-def frequent(docs: DataFrame, sample_docs: int = 24000, share: float = 0.1, least: int = 2, most: int = 500_000) -> Frequent:
-    """From a sample: a tenth of the documents, but sample_docs at least, those of the smallest hashed ids; shingles in at
-    least `least` of them, at most the `most` most frequent, which bounds what is broadcast. It steers costs only; results do
-    not depend on it."""
-    total = docs.count()
-    if not total:
-        return Frequent(np.zeros(0, np.uint64), np.zeros(0))
-    rate = min(1.0, max(share, sample_docs / total))
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+def _tally(known: tuple[np.ndarray, np.ndarray], more: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """known (sorted keys, counts) with more keys counted in; over `most` keys, the least frequent ones go."""
+    keys, count = np.unique(np.concatenate(more), return_counts=True)
+    both = np.concatenate([known[0], keys])
+    order = np.argsort(both, kind="stable")
+    both, count = both[order], np.concatenate([known[1], count])[order]
+    at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    keys, count = both[at], np.add.reduceat(count, at) if len(at) else count
+    least = 1
+    while len(keys) > most:
+        least += 1
+        keys, count = keys[count >= least], count[count >= least]
+    return keys, count
+
+
+def frequent(docs: DataFrame, per_task: int = 200_000, most: int = 500_000) -> Frequent:
+    """Document counts over all documents: each task counts its shingles, and of those that it saw at least twice the most
+    frequent per_task go on to be summed; the `most` most frequent are kept, which bounds what is broadcast. It steers costs
+    only; results do not depend on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, more, held = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
         for ids, texts in common.rows_of(batches, "id", "text"):
             for _, sets in _in_pieces(ids, texts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
+                more += sets
+                held += sum(map(len, sets))
+                if held > 1 << 21:
+                    known, more, held = _tally(known, more, 1 << 21), [], 0
+        if more:
+            known = _tally(known, more, 1 << 21)
+        keys, count = known[0][known[1] > 1], known[1][known[1] > 1]
+        if len(keys) > per_task:
+            at = np.argsort(-count, kind="stable")[:per_task]
+            keys, count = keys[at], count[at]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(count, pa.int64())], names=["s", "c"])
 
-    top = some.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= least).orderBy(F.desc("count"), "s").limit(most).toArrow()
-    return Frequent(top["s"].to_numpy().view(np.uint64).copy(), top["count"].to_numpy() / rate)
+    top = docs.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(most).toArrow()
+    return Frequent(top["s"].to_numpy().view(np.uint64).copy(), top["c"].to_numpy())
 
 
-_PARTS = "kind string, id long, n int, first long, bucket int, blob binary"
+_PARTS = "kind string, id long, n int, first long, bucket int, blob binary, p int, token long"
 
 
-def _index(docs: DataFrame, freq: Frequent, buckets: int, flush: int = 300_000) -> DataFrame:
-    """kind d: (id, n, first: the copy in the same task that stands for it, or null); kind p: packed postings of a bucket."""
+def _index(docs: DataFrame, freq: Frequent, buckets: int, hot: int, flush: int = 300_000) -> DataFrame:
+    """kind d: (id, n, first: the copy in the same task that stands for it, or null); kind p: packed postings of a bucket; kind
+    h: (token, id, n, p), a posting of a shingle that is in at least `hot` documents."""
     shared = docs.sparkSession.sparkContext.broadcast(freq)
-    schema = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("p", pa.int32()), ("token", pa.int64())])
+    very = freq.keys[freq.counts >= hot]
 
     def out(**cols) -> pa.RecordBatch:
         size = len(next(iter(cols.values())))
         return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-    def pack(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        head = np.array([(i, n, len(x)) for i, n, x in rows], np.int64)
+    def pack(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(x) for _, _, x in rows]
+        if len(very):
+            wide = [np.isin(x, very) for _, _, x in rows]
+            for (i, n, x), on, size in zip(rows, wide, sizes):
+                if on.any():
+                    yield out(kind=["h"] * int(on.sum()), id=[i] * int(on.sum()), n=[n] * int(on.sum()), p=[size] * int(on.sum()), token=x[on].view(np.int64))
+            rows = [(i, n, x[~on]) for (i, n, x), on in zip(rows, wide)]
+        head = np.array([(i, n, size) for (i, n, _), size in zip(rows, sizes)], np.int64)
         table = zlib.compress(np.ascontiguousarray(head.T).tobytes(), 1)
         tokens = np.concatenate([x for _, _, x in rows])
         who = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(x) for _, _, x in rows])
@@ -176,11 +216,9 @@ def _index(docs: DataFrame, freq: Frequent, buckets: int, flush: int = 300_000)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         kept = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
         size = len(table).to_bytes(4, "little")
-        return out(kind=["p"] * len(kept), bucket=kept, blob=[size + table + tokens[cuts[b] : cuts[b + 1]].tobytes() + who[cuts[b] : cuts[b + 1]].tobytes() for b in kept])
+        yield out(kind=["p"] * len(kept), bucket=kept, blob=[size + table + tokens[cuts[b] : cuts[b + 1]].tobytes() + who[cuts[b] : cuts[b + 1]].tobytes() for b in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         f, firsts, rows, held = shared.value, {}, [], 0
         for ids, texts in common.rows_of(batches, "id", "text"):
             for some, sets in _in_pieces(ids, texts):
@@ -196,10 +234,10 @@ def _index(docs: DataFrame, freq: Frequent, buckets: int, flush: int = 300_000)
                     first.append(other)
                 yield out(kind=["d"] * len(some), id=some, n=[len(x) for x in sets], first=first)
                 if held >= flush:
-                    yield pack(rows)
+                    yield from pack(rows)
                     rows, held = [], 0
         if rows:
-            yield pack(rows)
+            yield from pack(rows)
 
     return docs.mapInArrow(run, _PARTS)
 
@@ -215,17 +253,6 @@ def _counted(a: np.ndarray, b: np.ndarray, ids: np.ndarray, n: np.ndarray, p: np
     return ids[a], ids[b], count, least_shared(n[a], n[b], p[a], p[b])
 
 
-def _summed(parts: list[tuple]) -> tuple[np.ndarray, ...]:
-    """Counts of the same pair added up; of several needs the least."""
-    if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    a, b, c, d = (np.concatenate([x[j] for x in parts]) for j in range(4))
-    order = np.lexsort((b, a))
-    a, b, c, d = a[order], b[order], c[order], d[order]
-    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    return (a[at], b[at], np.add.reduceat(c, at), np.minimum.reduceat(d, at)) if len(a) else (a, b, c, d)
-
-
 _LISTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("needed", pa.int32()), ("brief", pa.int32()), ("token", pa.int64()), ("hub", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("p", pa.int32())])
 
 
@@ -272,62 +299,79 @@ def _lists(table: pa.Table) -> pa.Table:
     return pa.concat_tables([one, two])
 
 
-def _open_pairs(table: pa.Table, across: bool) -> pa.Table:
-    """Pairs of different components in the long lists of a bucket: across, all of them, where a list is walked in order of
-    size, each member against those that are not too large for it, in blocks; else those with one of the HUBS members of a list
-    that come next to its hub by hashed id. Lists with one hub lie in one bucket, and their pairs are summed before they
-    leave. Of each set, `postings` are all its places in open lists, and `brief` is the most that it shares with one other set
-    in short lists; a pair that cannot reach its count with these is not over the threshold and ends here."""
-    token, ids, n, p, comp, postings, brief = (table[c].to_numpy() for c in ("token", "id", "n", "p", "component", "postings", "brief"))
-    known, at = np.unique(ids, return_index=True)
-    elsewhere, brief = postings[at] - np.bincount(np.searchsorted(known, ids), minlength=len(known)), brief[at]
-    order = np.lexsort((n, token))
-    token, ids, n, p, comp = token[order], ids[order], n[order].astype(np.int64), p[order].astype(np.int64), comp[order]
-    ends = np.searchsorted(token, token, side="right")
-    left, right, held, parts = [], [], 0, []
-    _, first = np.unique(np.stack([ids, n, p]), axis=1, return_index=True)  # one place for each set, so that counts meet
-    _, back = np.unique(np.stack([ids, n, p]), axis=1, return_inverse=True)
-    first = first[back.ravel()]
-
-    def flush() -> None:
-        nonlocal left, right, held
-        if left:
-            parts.append(_counted(first[np.concatenate(left)], first[np.concatenate(right)], ids, n, p))
-        left, right, held = [], [], 0
-        if sum(len(x[0]) for x in parts) > 1 << 21 and len(parts) > 1:
-            parts[:] = [_summed(parts)]
-
-    def ties() -> Iterator[tuple[int, np.ndarray]]:
-        rank = _mix(ids.view(np.uint64))
-        for lo in np.unique(np.searchsorted(token, token)):
-            for k in lo + np.argsort(rank[lo : ends[lo]], kind="stable")[1 : HUBS + 1]:
-                yield k, lo + np.flatnonzero(rank[lo : ends[lo]] > rank[k])
-
-    def walk() -> Iterator[tuple[int, np.ndarray]]:
-        for k in range(len(token)):
-            yield k, np.arange(k + 1, k + 1 + int(np.searchsorted(n[k + 1 : ends[k]], n[k] * 4 // 3, side="right")))
-
-    for k, other in walk() if across else ties():
-        other = other[comp[other] != comp[k]]
-        if len(other):
-            left.append(np.full(len(other), k)), right.append(other)
-            held += len(other)
-            if held > 1 << 20:
-                flush()
-    flush()
-    a, b, c, d = _summed(parts)
-    i, j = np.searchsorted(known, a), np.searchsorted(known, b)
-    able = c + np.minimum(elsewhere[i], elsewhere[j]) + np.minimum(brief[i], brief[j]) >= d
-    a, b, c, d = a[able], b[able], c[able], d[able]
-    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32())], names=["a", "b", "shared", "needed"])
-
-
-def _tied(table: pa.Table) -> pa.Table:
-    return _open_pairs(table, across=False)
-
-
-def _crossing(table: pa.Table) -> pa.Table:
-    return _open_pairs(table, across=True)
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("needed", pa.int32())])
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """Pairs of different components that share tokens below one hub, for each hub of the table: of blocks lo and hi if these
+    differ, else of all its documents. Of each document, `postings` are all its places in open lists, and `brief` is the most
+    that it shares with one other set in short lists; a pair that cannot reach its count with these is not over the threshold
+    and ends here."""
+    names = ("hub", "token", "id", "n", "p", "component", "postings", "brief", "part", "lo", "hi")
+    cols = {c: table[c].to_numpy() for c in names}
+    order = np.argsort(cols["hub"], kind="stable")
+    cols = {c: x[order].astype(np.int64) for c, x in cols.items()}
+    cuts = np.flatnonzero(np.concatenate([[True], cols["hub"][1:] != cols["hub"][:-1]]))
+    out = []
+    for at, end in zip(cuts, [*cuts[1:], len(order)]):
+        token, ids, n, p, comp, postings, brief, part = (cols[c][at:end] for c in names[1:9])
+        lo, hi = cols["lo"][at], cols["hi"][at]
+        if (comp == comp[0]).all():
+            continue
+        _, first, place = np.unique(np.stack([ids, n, p]), axis=1, return_index=True, return_inverse=True)  # one place for each set
+        place = place.ravel()
+        ids, n, p, comp, brief, part = (x[first] for x in (ids, n, p, comp, brief, part))
+        rest = postings[first] - np.bincount(place, minlength=len(first))
+        left, right = (np.flatnonzero(part == x) if lo != hi else np.arange(len(ids)) for x in (lo, hi))
+        _, code = np.unique(token, return_inverse=True)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for base in range(0, code.max() + 1, BLOCK):
+            some = (code >= base) & (code < base + BLOCK)
+            grid = np.zeros((len(ids), BLOCK), np.float32)
+            np.add.at(grid, (place[some], code[some] - base), 1)
+            shared += grid[left] @ grid[right].T
+        for k in range(0, len(left), 128):
+            i, j = np.nonzero(shared[k : k + 128])
+            i, j, count = left[k + i], right[j], shared[k + i, j].astype(np.int64)
+            ok = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & ((ids[i] < ids[j]) if lo == hi else (ids[i] != ids[j]))
+            i, j, count = i[ok], j[ok], count[ok]
+            needed = least_shared(n[i], n[j], p[i], p[j])
+            able = count + np.minimum(rest[i], rest[j]) + np.minimum(brief[i], brief[j]) >= needed
+            i, j, count, needed = i[able], j[able], count[able], needed[able]
+            if len(i):
+                out.append(pa.Table.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(count, pa.int32()), pa.array(needed, pa.int32())], schema=_PAIRS))
+    return pa.concat_tables(out) if out else _PAIRS.empty_table()
+
+
+def _tiled(open_lists: DataFrame, in_short: DataFrame, buckets: int, block: int, salt: int, across: bool) -> tuple[DataFrame, int]:
+    """(_PAIRS of open lists, number of hubs that were dealt). Hubs with more than `block` documents are dealt into blocks; across, all pairs of blocks meet, else
+    each meets itself. Smaller hubs share a task for each bucket."""
+    places = open_lists.groupBy("id").agg(F.count("*").alias("postings"))
+    large = common.stored(open_lists.groupBy("hub").agg(F.approx_count_distinct("id", 0.02).alias("d")).where(F.col("d") > block).select("hub", F.ceil(F.col("d") / block).cast("int").alias("blocks")))
+    dealt = large.count()
+    if dealt <= 100_000:  # 12 bytes each; more are joined by a shuffle
+        large = F.broadcast(large)
+    bounded = open_lists.join(places, "id").join(in_short, "id", "left").join(large, "hub", "left").withColumn("brief", F.coalesce("brief", F.lit(0)).cast("long"))
+    bounded = bounded.withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    if across:
+        bounded = bounded.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    else:
+        bounded = bounded.withColumn("other", F.col("part"))
+    tile = F.when(F.col("blocks").isNotNull(), F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(buckets)))
+    keyed = bounded.select("hub", "token", "id", "n", "p", "component", "postings", "brief", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), tile.alias("tile"), F.col("blocks").isNotNull().alias("alone"))
+    return keyed.groupBy("alone", "tile", "lo", "hi").applyInArrow(lambda t: _tile(t), "a long, b long, shared int, needed int"), dealt
+
+
+def _hot_lists(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs with hubs, postings) of postings (token, id, n, p) that are too many to gather: a hub is an aggregate, one for each
+    token, and there are no more of these than Frequent keeps."""
+    least = F.min(F.struct(F.xxhash64("id").alias("r"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("p").alias("hub_p")))
+    hubs = hot.groupBy("token").agg(least.alias("x")).select("token", "x.hub", "x.hub_n", "x.hub_p")
+    rows = common.stored(hot.join(F.broadcast(hubs), "token"))
+    needed = F.greatest(F.lit(1), F.expr("(3 * (n + hub_n) + 6) DIV 7") - F.greatest(F.col("n") - F.col("p"), F.col("hub_n") - F.col("hub_p")))
+    near = rows.where("id <> hub AND 4 * least(n, hub_n) >= 3 * greatest(n, hub_n)")
+    pairs = near.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.lit(1).alias("shared"), needed.cast("int").alias("needed"), F.lit(0).alias("brief"))
+    return pairs, rows.select("token", "hub", "id", "n", "p")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -347,40 +391,50 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(100 * shared >= 75 * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _united(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (id, component) with the components that links (a, b) join made one: only components are gone through again."""
+    for c in ("a", "b"):
+        links = links.join(found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component")), c, "left").withColumn(c, F.coalesce(f"{c}_component", c))
+    more = common.stored(components(links.select("a", "b")))
+    moved = found.join(more.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+    return common.stored(moved.unionByName(more.join(found, "id", "left_anti")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (the least id reachable by links, itself included).
 
     Words are runs of other bytes than white space, A-Z in lower case. A text of fewer than five words is one shingle; without
     a word, or null, it has none and links with nothing. Rows that repeat an id are one node with all their texts. A null id
     has component_id null and links with nothing. An empty table gives no rows. Other columns are not read.
     Shingles are compared by 64-bit hashes: two different ones inside a pair agree with a chance of about n^2 / 2^64.
+    hot: shingles in so many documents are not gathered by one task; block: documents that meet in one tile. Both change costs only.
     """
     spark = docs.sparkSession
     base = common.texts(docs, id_col, text_col)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = common.stored(_index(base, frequent(base), buckets), "kind")
+    freq = frequent(base)
+    parts = common.stored(_index(base, freq, buckets, hot), "kind")
     rows = parts.where("kind = 'd'").select("id", "n", "first")
     packed = parts.where("kind = 'p'").select("bucket", "blob")
     schema = "a long, b long, shared int, needed int, brief int, token long, hub long, id long, n int, p int"
     lists = common.stored(packed.groupBy("bucket").applyInArrow(lambda t: _lists(t), schema))
-    near = common.stored(lists.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"), F.sum("brief").alias("brief")))
+    pairs, posts = lists.where("a is not null").select("a", "b", "shared", "needed", "brief"), lists.where("token is not null").select("token", "hub", "id", "n", "p")
+    if (freq.counts >= hot).any():
+        more_pairs, more_posts = _hot_lists(parts.where("kind = 'h'").select("token", "id", "n", "p"))
+        pairs, posts = pairs.unionByName(more_pairs), posts.unionByName(more_posts)
+    near = common.stored(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"), F.sum("brief").alias("brief")))
     copies = rows.where("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b"))
     links = common.stored(_verified(base, near.where("shared >= needed").select("a", "b")))
-    edges = links.unionByName(copies)
-    found = common.stored(components(edges))
-    posts = lists.where("token is not null").select("token", "hub", "id", "n", "p")
+    found = common.stored(components(links.unionByName(copies)))
     in_short = near.where("brief > 0").select(F.explode(F.array("a", "b")).alias("id"), "brief").groupBy("id").agg(F.max("brief").alias("brief"))
     # pairs of different components meet in open lists and in short ones; hub ties, which open lists count again, stay out
     short = near.where("shared < needed AND brief > 0").select("a", "b", F.col("brief").cast("int").alias("shared"), "needed")
-    bucket = F.pmod(F.xxhash64("hub"), F.lit(buckets)).alias("bucket")
     side = lambda c: F.coalesce(F.col(f"{c}_component"), F.col(c))
-    for step in (_tied, _crossing):
+    for salt, across in ((1, False), (2, False), (3, True)):
         marked = posts.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         open_lists = common.stored(marked.join(mixed, "token", "left_semi"))
-        places = open_lists.groupBy("id").agg(F.count("*").alias("postings"))
-        bounded = open_lists.join(places, "id").join(in_short, "id", "left").withColumn("brief", F.coalesce("brief", F.lit(0)).cast("long"))
-        more = bounded.groupBy(bucket).applyInArrow(step, "a long, b long, shared int, needed int")
+        more, dealt = _tiled(open_lists, in_short, buckets, block, salt, across)
         again = more.unionByName(short).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed")
         for c in ("a", "b"):
             again = again.join(found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
@@ -388,8 +442,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not again.isEmpty():
             late = common.stored(_verified(base, again))
             if not late.isEmpty():
-                edges = edges.unionByName(late)
-                found = common.stored(components(edges))
+                found = _united(found, late)
+        if not dealt:  # every pair has met
+            break
     return rows.join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

@@ -110,6 +110,33 @@ def test_jaccard_join(docs, empty, short, monkeypatch):
         assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot, block", [(4, 5), (6, 1000), (10**9, 7)])
+def test_jaccard_join_of_a_large_group_in_tiles(spark, hot, block, monkeypatch):
+    """A group of near copies around the threshold, dealt into many tiles, with lists that are never gathered."""
+    monkeypatch.setattr(jaccard_join, "SHORT", 3)
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            words[at] = f"x{i}y{at}" if rng.random() < 0.7 else f"z{at}"
+        rows.append((i, " ".join(words[int(rng.integers(0, 12)) :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, hot=hot, block=block).collect())
+    assert got == links(rows) and len({c for _, _, c in got}) > 1
+
+
+def test_long_words_that_collide_in_a_polynomial():
+    """Thue-Morse words have equal polynomials modulo 2^64 for every odd base."""
+    word = "a"
+    for _ in range(13):
+        word += word.translate(str.maketrans("ab", "ba"))
+    one, two = (f"one two {w} three four" for w in (word, word.translate(str.maketrans("ab", "ba"))))
+    a, b, c = jaccard_join.shingle_sets([one, two, one.upper()])
+    assert a[0] != b[0] and a[0] == c[0]
+
+
 def test_warc(spark, tmp_path):
     r = random.Random(4)
     bodies = [None, "", "kurz", "日本語" * 2000] + ["".join(r.choice("ab\r\n<é>") for _ in range(r.randrange(900, 6000))) for _ in range(12)]
