@@ -1,6 +1,7 @@
 """Quality by a regularised quadratic discriminant over transformed document statistics.
 
-Each class has its own covariance, shrunk towards the pooled one and a multiple of the identity. A document's score is the
+Each class has its own covariance, shrunk towards the pooled one and a multiple of the identity. It is fitted to all labelled
+rows: executors turn texts into statistics and sum these and their products, so only a few hundred sums reach the driver. A document's score is the
 logistic of the difference of the classes' log densities, whose Mahalanobis terms are solved with Cholesky factors that are
 computed once when the model is fitted.
 """
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,28 +43,33 @@ def weights(y: np.ndarray, counts: dict[int, int] | None) -> np.ndarray:
     return np.where(y == 1, counts.get(1, 0) / max((y == 1).sum(), 1), counts.get(0, 0) / max((y == 0).sum(), 1))
 
 
-class Discriminant:
-    def __init__(self, x: np.ndarray, y: np.ndarray, shrink: float = 0.3, ridge: float = 1e-2, counts: dict[int, int] | None = None):
-        """Rows x with classes y in {0, 1}. If a class has no rows, the score is that of the other class for all rows, and 0.5 without any.
+def moments(x: np.ndarray, y: np.ndarray) -> dict[int, np.ndarray]:
+    """For each class in y the sum of z z' over its rows, z being 1 and the row: the count, the sums and the products."""
+    z = np.c_[np.ones(len(x)), x]
+    return {c: z[y == c].T @ z[y == c] for c in (0, 1) if (y == c).any()}
+
 
-        counts: how many rows of each class those of x stand for (if not given, themselves); the priors follow them.
-        """
-        self.only = None if {0, 1} <= set(y.tolist()) else (float(y[0]) if len(y) else 0.5)
+class Discriminant:
+    def __init__(self, sums: dict[int, np.ndarray], shrink: float = 0.3, ridge: float = 1e-2):
+        """sums: moments() of rows with classes in {0, 1}. If a class has no rows, the score is that of the other class for all rows, and 0.5 without any."""
+        self.only = None if {0, 1} <= set(sums) else float(next(iter(sums), 0.5))
         if self.only is not None:
             return
-        weight = weights(y, counts)
-        self.mid = np.average(x, 0, weight)
-        self.scale = np.maximum(np.sqrt(np.average((x - self.mid) ** 2, 0, weight)), 1e-6)
-        z = (x - self.mid) / self.scale
-        own = [np.atleast_2d(np.cov(z[y == c].T, bias=True)) for c in (0, 1)]
-        share = np.array([weight[y == c].sum() for c in (0, 1)]) / weight.sum()
+        n = {c: sums[c][0, 0] for c in (0, 1)}
+        both = (sums[0] + sums[1]) / (n[0] + n[1])
+        self.mid = both[0, 1:]
+        spread = np.sqrt(np.maximum(np.diag(both)[1:] - self.mid**2, 0))
+        self.scale = np.where(spread < 1e-5, 1.0, spread)  # of a constant, differences of sums leave only rounding
+        means = {c: sums[c][0, 1:] / n[c] for c in (0, 1)}
+        own = {c: (sums[c][1:, 1:] / n[c] - np.outer(means[c], means[c])) / np.outer(self.scale, self.scale) for c in (0, 1)}
+        share = {c: n[c] / (n[0] + n[1]) for c in (0, 1)}
         pooled = share[0] * own[0] + share[1] * own[1]
         self.means, self.factors, self.level = [], [], []
         for c in (0, 1):
             cov = (1 - shrink) * own[c] + shrink * pooled
             cov += ridge * np.trace(cov) / len(cov) * np.eye(len(cov))
             factor = np.linalg.cholesky(cov)
-            self.means.append(z[y == c].mean(0))
+            self.means.append((means[c] - self.mid) / self.scale)
             self.factors.append(np.linalg.inv(factor))
             self.level.append(np.log(share[c]) - np.log(np.diag(factor)).sum())
 
@@ -82,20 +88,49 @@ def agreed(labels: DataFrame, label_col: str, allowed, id_col: str = "doc_id") -
     return known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Texts with labels 0 or 1, at most `most` of each label, those with the smallest hash of their id; and the counts of all
-    agreed labels, from which the priors come."""
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed, most: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 8_000_000) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """Texts with labels 0 or 1, those with the smallest hash of their id: at most `most` of each label, and of each label at most
+    most_chars code points, where texts of over a twentieth of that are not taken; and the counts of all agreed labels, from
+    which the priors come."""
     known = agreed(labels, label_col, allowed, id_col)
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     ids = common.bounded_ids(known, "_id", ["_y"], most)
-    rows = common.texts(docs, id_col, text_col).join(F.broadcast(ids), F.col("id") == F.col("_id"))
+    rows = common.texts(docs, id_col, text_col).join(F.broadcast(ids), F.col("id") == F.col("_id")).where(F.char_length("text") <= most_chars // 20)
+    upto = F.sum(F.char_length("text")).over(Window.partitionBy("_y").orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= most_chars)
     return [(r["text"], r["_y"]) for r in rows.select("id", "text", "_y").orderBy("id", "text").collect()], counts
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed, per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
-    """Fitted on a bounded sample of labelled rows, at most per_class of each label, with the priors of all of them."""
-    rows, counts = sample(docs, labels, "quality", allowed, per_class, id_col, text_col)
-    return Discriminant(np.array([features(t) for t, _ in rows]).reshape(-1, len(FEATURES)), np.array([y for _, y in rows], int), counts=counts)
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x): the statistics of each text; a null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in common.rows_of(batches, "id", "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([features(t) for t in texts], pa.list_(pa.float64()))], names=["id", "x"])
+
+    return common.texts(docs, id_col, text_col).mapInArrow(run, "id long, x array<double>")
+
+
+def fit(statistics: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id") -> Discriminant:
+    """From measured() rows and all allowed labels of them. Only statistics are joined with labels, and each task sums its rows."""
+    known = agreed(labels, "quality", allowed, id_col)
+    width = len(FEATURES) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for x, y in common.rows_of(batches, "x", "_y"):
+            for c, m in moments(np.array(x), np.array(y)).items():
+                total[c] = total.get(c, 0) + m
+        for c, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * width**2, pa.int32()), pa.array(range(width**2), pa.int32()), pa.array(m.ravel())], names=["y", "k", "v"])
+
+    rows = statistics.join(known, F.col("id") == F.col("_id")).select("x", "_y").mapInArrow(run, "y int, k int, v double").groupBy("y", "k").agg(F.sum("v").alias("v")).orderBy("y", "k").collect()
+    return Discriminant({c: np.array([r["v"] for r in rows if r["y"] == c]).reshape(width, width) for c in {r["y"] for r in rows}})
+
+
+def train(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
+    """Fitted to all labelled rows for which allowed, a condition on the column _id, holds."""
+    return fit(measured(docs.where(F.col(id_col).isNotNull()), id_col, text_col), labels, allowed, id_col)
 
 
 def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -104,14 +139,19 @@ def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col
     A null text counts as empty and an empty text is scored by its statistics like any other. Null and repeated ids pass
     through. Only text is read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return scored(measured(docs, id_col, text_col), model, id_col, threshold)
+
+
+def scored(statistics: DataFrame, model: Discriminant, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """score() of measured() rows."""
+    shared = statistics.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.rows_of(batches, "id", "text"):
-            s = shared.value.score(np.array([features(t) for t in texts]))
+        for ids, x in common.rows_of(batches, "id", "x"):
+            s = shared.value.score(np.array(x))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
-    return common.texts(docs, id_col, text_col).mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+    return statistics.mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Discriminant, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -131,9 +171,9 @@ def accepted(docs: DataFrame, model: Discriminant, text_col: str = "text", thres
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
-    model = train(docs, common.read(spark, sf_dir, "labels"), common.crc_mod("_id", 3) != 1)
-    return score(docs, model).select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    statistics = common.stored(measured(common.read(spark, sf_dir, "documents")))
+    model = fit(statistics, common.read(spark, sf_dir, "labels"), common.crc_mod("_id", 3) != 1)
+    return scored(statistics, model).select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
 SQL = None
