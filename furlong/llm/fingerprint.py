@@ -8,6 +8,8 @@ hash, in the tree's order: `;` between sections, `/` between paragraphs, `,` bet
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,17 @@ def differing(a: Column, b: Column) -> Column:
     return F.when(a == b, F.array().cast("array<int>")).otherwise(found)
 
 
+def _range_of(x: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are at most x, looked up in two steps, so the cost follows the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[k : k + size] for k in range(0, len(cuts), size)]
+    at = F.size(F.filter(F.array(*[F.lit(g[0]) for g in groups]), lambda c: c <= x))
+    within = F.get(F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups]), at - 1)
+    return F.when(at == 0, F.lit(0)).otherwise((at - 1) * size + F.size(F.filter(within, lambda c: c <= x)))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, next_text): each row with the text of the next in order of id and text, the last with the first's.
 
@@ -66,19 +79,19 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     base = common.texts(docs, id_col, text_col)
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = base.select(F.percentile_approx("id", [k / parts for k in range(1, parts)], 20 * parts)).head()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     # null ids come first
-    dealt = base.withColumn("part", F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("id")))))
+    dealt = base.withColumn("part", F.when(F.col("id").isNull(), F.lit(0)).otherwise(_range_of(F.col("id"), sorted(set(cuts)))))
     order = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "text")
     heads = dealt.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("at"))).alias("least"))
     heads = heads.select(F.col("part").alias("head_part"), F.when(F.col("least.known"), F.col("least.at")).alias("head_id"))
     first = dealt.join(F.broadcast(heads), (F.col("part") == F.col("head_part")) & F.col("id").eqNullSafe(F.col("head_id"))).groupBy("part").agg(F.min("text").alias("head"))
-    around = Window.orderBy("part")  # one row for each range
-    turn = first.select("part", F.coalesce(F.lead("head").over(around), F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    led = dealt.withColumn("within", F.lead("text").over(order)).withColumn("last", F.row_number().over(order) == F.count("*").over(Window.partitionBy("part")))
-    ends = led.join(F.broadcast(turn), "part")
-    return ends.select("id", "text", F.when(F.col("last"), F.col("after")).otherwise(F.col("within")).alias("next_text"))
+    # texts of heads are joined by shuffle, not broadcast: each range gets that of the next one, the last that of the first
+    places = heads.select(F.col("head_part").alias("part"))
+    around = Window.orderBy("part")  # one number for each range
+    turn = places.select("part", F.coalesce(F.lead("part").over(around), F.first("part").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("from"))
+    after = first.select(F.col("part").alias("from"), F.col("head").alias("after")).hint("merge").join(F.broadcast(turn), "from").select("part", "after")
+    led = dealt.withColumn("within", F.lead("text").over(order)).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
+    return led.join(after.hint("merge"), "part").select("id", "text", F.when(F.col("last"), F.col("after")).otherwise(F.col("within")).alias("next_text"))
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
