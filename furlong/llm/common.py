@@ -70,53 +70,72 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list]:
             yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+SMALL = 100_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are stored or aggregated and no more than SMALL; else as they are, for a join by shuffle."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
 def bounded_ids(rows: DataFrame, id_col: str, key_cols: list[str], most: int) -> DataFrame:
     """At most `most` rows of each key, those of the smallest hash of their id. The counts are aggregated first, and only the
-    few rows under a key's hash threshold are sorted, so a key that holds a third of all rows costs no more than any other."""
-    counts = rows.groupBy(*key_cols).count()
+    few rows under a key's hash threshold are shuffled and sorted, so a key that holds a third of all rows costs no more than any
+    other. rows may have more columns; they are returned too."""
+    counts = rows.groupBy(*key_cols).agg(F.count("*").alias("_count"))
     drawn = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    joined = rows.join(counts, key_cols)
-    near = joined.withColumn("_u", drawn).where(F.col("_u") * F.col("count") <= 1.5 * most + 50)
+    near = rows.join(small(counts), key_cols).withColumn("_u", drawn).where(F.col("_u") * F.col("_count") <= 1.5 * most + 50)
     order = Window.partitionBy(*key_cols).orderBy("_u", id_col)
-    return near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select(id_col, *key_cols)
+    return near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select(*rows.columns)
 
 
-BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
-def bit_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A filter of fixed size (at most 256 rows of 4 kB) over the hashed keys; false hits cost work later, never results."""
-    slot = F.pmod(F.xxhash64(key), F.lit(BITS)).cast("long")
-    return keys.select(slot.alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
+class BitFilter:
+    """A filter over hashed keys; false hits cost work later, never results. It has about 16 slots a key, and at most MOST_BITS
+    (16 MB), which bounds what is broadcast: beyond 30 million keys ever more rows pass that have no such key."""
 
+    def __init__(self, keys: DataFrame, key: str):
+        n = keys.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, 16 * n - 1).bit_length()))
+        slot = F.pmod(F.xxhash64(key), F.lit(self.bits)).cast("long")
+        self.rows = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
 
-def _marked(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """rows with _hit: whether the key may be in the filter. The filter's size is fixed by BITS, so it is safe to broadcast."""
-    slot = F.pmod(F.xxhash64(key), F.lit(BITS)).cast("long")
-    near = rows.withColumn("_s", slot).withColumn("_b", F.bitmap_bucket_number("_s")).join(F.broadcast(bits), "_b", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(bitmap_bit_position(_s) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    mask = F.expr("shiftleft(1, CAST(bitmap_bit_position(_s) % 8 AS INT))")
-    return near.withColumn("_hit", F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False)))
+    def marked(self, rows: DataFrame, key: str | Column) -> DataFrame:
+        """(row, key, hit): each row as a struct, so no column of it can clash, and whether its key may be in the filter."""
+        key = F.col(key) if isinstance(key, str) else key
+        kept = rows.select(F.struct("*").alias("row"), key.alias("key")).withColumn("s", F.pmod(F.xxhash64("key"), F.lit(self.bits)).cast("long"))
+        near = kept.withColumn("b", F.bitmap_bucket_number("s")).join(F.broadcast(self.rows), "b", "left")
+        byte = F.conv(F.hex(F.expr("substring(bits, CAST(bitmap_bit_position(s) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+        mask = F.expr("shiftleft(1, CAST(bitmap_bit_position(s) % 8 AS INT))")
+        return near.select("row", "key", F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False)).alias("hit"))
 
 
-def passing(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """Rows whose key may be in the filter."""
-    return _marked(rows, key, bits).where("_hit").select(*rows.columns)
+def bit_filter(keys: DataFrame, key: str) -> BitFilter:
+    return BitFilter(keys, key)
 
 
-def split(rows: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key is surely not in the filter, rows whose key may be)."""
-    marked = _marked(rows, key, bits)
-    return marked.where("NOT _hit").select(*rows.columns), marked.where("_hit").select(*rows.columns)
+def passing(rows: DataFrame, key: str | Column, bits: BitFilter) -> DataFrame:
+    """Rows whose key may be in the filter."""
+    return bits.marked(rows, key).where("hit").select("row.*")
 
 
-def without(rows: DataFrame, key: str, dropped: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """rows without those whose key is in dropped(key); keys in kept(key) too keep one row. Only rows that the filter of
-    dropped keys lets pass are shuffled; all others stay where they are."""
-    stay, near = split(rows, key, bit_filter(dropped, key))
-    clear = near.join(dropped.select(key).distinct(), key, "left_anti").select(*rows.columns)
-    out = stay.unionByName(clear)
+def split(rows: DataFrame, key: str | Column, bits: BitFilter) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in the filter, rows whose key may be)."""
+    marked = bits.marked(rows, key)
+    return marked.where("NOT hit").select("row.*"), marked.where("hit").select("row.*")
+
+
+def without(rows: DataFrame, key: str | Column, dropped: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """rows without those whose key is in dropped, a table of one column; keys that are also in kept keep one row. Rows with a
+    null key stay. Only rows that the filter of dropped keys lets pass are shuffled; all others stay where they are. Columns of
+    rows may have any names."""
+    name = dropped.columns[0]
+    marked = bit_filter(dropped, name).marked(rows, key)
+    near, gone = marked.where("hit"), dropped.select(F.col(name).alias("key")).distinct()
+    out = marked.where("NOT hit").select("row.*").unionByName(near.join(gone, "key", "left_anti").select("row.*"))
     if kept is not None:
-        both = kept.select(key).join(dropped.select(key), key, "left_semi").distinct()
-        out = out.unionByName(near.join(both, key, "left_semi").dropDuplicates([key]).select(*rows.columns))
+        both = kept.select(F.col(kept.columns[0]).alias("key")).join(gone, "key", "left_semi").distinct()
+        out = out.unionByName(near.join(both, "key", "left_semi").dropDuplicates(["key"]).select("row.*"))
     return out

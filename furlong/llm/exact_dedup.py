@@ -3,8 +3,8 @@
 Memtables hold the texts of one task until they reach a byte limit; a text whose digest is already there is compared byte by
 byte and joins that entry. A full memtable flushes as a run sorted by digest, in which a text stands once however often it
 came, so a text that fills a third of all rows costs one entry per run. Compaction merges the runs by digest and keeps the
-identifier asked for (the smallest or the largest). Digests that are in several runs pass a bit filter of fixed size over
-the texts; what passes is compared byte by byte across runs. Texts that share a digest but not their bytes are told apart
+identifier asked for (the smallest or the largest). Of digests that are in several runs, one text of each run
+passes a bit filter over the texts; what passes is compared byte by byte across runs. Texts that share a digest but not their bytes are told apart
 by a grouping on the text itself.
 """
 
@@ -66,12 +66,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep_max = keep == "max"
     entries = common.stored(base.select("id", "text", key.alias("digest"), sha.alias("sha")).mapInArrow(_runs(memtable_bytes, keep_max), ENTRY))
     merged = entries.groupBy("digest").agg(F.count("*").alias("entries"), F.max("variant").alias("variants"))
-    hits = merged.where((F.col("entries") > 1) & (F.col("variants") == 0)).select("digest")
-    bits = common.bit_filter(hits, "digest")
-    first = entries.select("digest", F.col("ids")[0].alias("id"))
-    again = common.passing(base.select("id", "text", key.alias("digest")), "digest", bits).join(hits, "digest", "left_semi")
-    # one text of each run is enough: inside a run the memtable has compared all of them
-    sides = again.alias("a").join(first.alias("f"), (F.col("a.digest") == F.col("f.digest")) & F.col("a.id").eqNullSafe(F.col("f.id")), "left_semi")
+    hits = common.stored(merged.where((F.col("entries") > 1) & (F.col("variants") == 0)).select("digest"))
+    # one text of each run is enough: inside a run the memtable has compared all of them; only these texts are shuffled
+    mark = lambda d, i: F.concat_ws(":", d, i.cast("string"))
+    firsts = common.stored(entries.join(hits, "digest", "left_semi").select(mark(F.col("digest"), F.col("ids")[0]).alias("mark")).distinct())
+    marked = base.select("text", key.alias("digest"), mark(key, F.col("id")).alias("mark"))
+    sides = common.passing(marked, "mark", common.bit_filter(firsts, "mark")).join(firsts, "mark", "left_semi")
     differ = sides.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where(F.col("lo") != F.col("hi")).select("digest")
     clash = common.stored(merged.where("variants > 0").select("digest").union(differ))
     best = F.max if keep_max else F.min

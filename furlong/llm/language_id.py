@@ -205,12 +205,13 @@ class Model:
         return langs, [float(s) if ok else 0.0 for s, ok in zip(score, letters)], own
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> Model | None:
-    """From a bounded sample: at most per_language documents of each language, those with the smallest hash of their id.
-    None if no row has both a text with a letter and a language."""
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = common.bounded_ids(rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")), "_id", ["_lang"], per_language).select("_id").distinct()
-    picked = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").collect()
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, longest: int = 100_000) -> Model | None:
+    """From a bounded sample: at most per_language documents of each language, those with the smallest hash of their id among
+    those of at most `longest` code points. None if no row has both a text with a letter and a language."""
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.char_length(text_col) <= longest))
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    ids = common.bounded_ids(rows.select("_id", "_lang"), "_id", ["_lang"], per_language).select("_id").distinct()
+    picked = rows.join(F.broadcast(ids), "_id").collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["_lang"], r["_id"], r["_text"])):
         if any(map(str.isalpha, r["_text"])):

@@ -90,16 +90,17 @@ def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 1.25,
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as mix() takes it. Equal rows share their copies evenly."""
+    """The rows of docs, with all their columns, whatever these are called, each as often as mix() takes it. Rows of equal id
+    and text share their copies evenly."""
     plan = mix(docs, id_col=id_col, text_col=text_col, with_md5=True, **options)
-    taken = plan.groupBy(F.col(id_col).alias("_i"), F.col("text_md5").alias("_m")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_r")).where("_c > 0")
-    marked = docs.withColumn("_d", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    rows = marked.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_d") == F.col("_m")))
-    single, several = rows.where("_r = 1"), rows.where("_r > 1")
-    nth = F.row_number().over(Window.partitionBy("_i", "_m").orderBy("_d"))
-    each = several.withColumn("_n", F.floor((F.col("_c") + F.col("_r") - nth) / F.col("_r")))
-    both = single.withColumn("_n", F.col("_c")).unionByName(each).where("_n > 0")
-    return both.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).select(*docs.columns)
+    taken = plan.groupBy(F.col(id_col).alias("i"), F.col("text_md5").alias("m")).agg(F.sum("copies").alias("c"), F.count("*").alias("r")).where("c > 0")
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("d"))
+    rows = marked.join(taken, F.col("id").eqNullSafe(F.col("i")) & (F.col("d") == F.col("m")))
+    single, several = rows.where("r = 1"), rows.where("r > 1")
+    nth = F.row_number().over(Window.partitionBy("i", "m").orderBy("d"))
+    each = several.withColumn("n", F.floor((F.col("c") + F.col("r") - nth) / F.col("r")).cast("long"))
+    both = single.withColumn("n", F.col("c")).unionByName(each).where("n > 0")
+    return both.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,6 +274,49 @@ def test_language(spark, docs, empty):
     assert (total <= 1 + 1e-5).all() and (total > 0.9).all() and len(x) == 4 + 9
 
 
+def kneser_ney(texts):
+    """Cross-entropy of a folded text by an interpolated Kneser-Ney model over dictionaries, the alphabet's size given."""
+    order, seen = language_id.ORDER, [Counter() for _ in range(language_id.ORDER + 1)]
+    for t in texts:
+        x = tuple(language_id.folded(t).tolist())
+        for i in range(order - 1, len(x)):
+            for k in range(1, order + 1):
+                seen[k][x[i - k + 1 : i + 1]] += 1
+    count = {order: seen[order]}
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in seen[k + 1])
+    def of(gram, k, alphabet):
+        if not k:
+            return 1 / alphabet
+        c, ctx = count[k], gram[:-1]
+        kinds = {g: v for g, v in c.items() if g[:-1] == ctx}
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d, total = (n1 / (n1 + 2 * n2) if n1 and n2 else 0.5), sum(kinds.values())
+        low = of(gram[1:], k - 1, alphabet)
+        return low if not total else max(c.get(gram, 0) - d, 0) / total + (min(1.0, d * len(kinds) / total) * low)
+
+    return lambda x, alphabet: -float(np.mean([np.log(of(tuple(x[i - order + 1 : i + 1].tolist()), order, alphabet)) for i in range(order - 1, len(x))]))
+
+
+def test_language_models_are_interpolated_kneser_ney():
+    samples = {"a": ["the river and the house", "the other river", "a house by the river"], "b": ["der fluss und das haus", "das andere haus am fluss"]}
+    model = language_id.Model(samples)
+    brute = {lang: kneser_ney(texts) for lang, texts in samples.items()}
+    for text in ("the river", "das haus", "the zebra of haus", "q"):
+        x = language_id.folded(text)
+        got = model.entropies([x])[0][0]
+        assert np.allclose(got, [brute[lang](x, model.alphabet) for lang in model.langs], atol=1e-4), text
+
+
+def test_language_rejection(spark):
+    """A score under the limit is rejected; the limit changes nothing else."""
+    rows = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate([("the river and the house", "en"), ("der fluss und das haus", "de")] * 20)], "doc_id long, text string, lang string")
+    model = language_id.train(rows)
+    test = spark.createDataFrame([(1, "the house"), (2, "zzkq xvvw qqkz wxxz")], "doc_id long, text string")
+    free, strict = ({r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(test, model, reject_below=x).collect()} for x in (0.0, 0.5))
+    assert free[2][0] != "und" and strict[2][0] == "und" and strict[1][0] == "en" and free[1] == strict[1] and free[2][1] == strict[2][1] < 0.5
+
+
 def labelled(spark, seed):
     r = random.Random(seed)
     rows = []
@@ -293,7 +336,28 @@ def test_quality(spark, docs, empty):
     assert np.mean([r.predicted == r.quality for r in got]) > 0.98
     assert quality.score(docs, model).count() == docs.count() and quality.score(empty, model).count() == 0
     assert quality.accepted(docs, model).columns == docs.columns
-    assert quality.Discriminant(np.zeros((0, 15)), np.zeros(0, int)).score(np.zeros((2, 15))).tolist() == [0.5, 0.5]
+    assert quality.Discriminant({}).score(np.zeros((2, 15))).tolist() == [0.5, 0.5]
+
+
+def test_quality_is_the_discriminant_of_all_labelled_rows(spark):
+    """Scores against densities computed from the rows themselves, with classes of very different size."""
+    rows = labelled(spark, 9)
+    model = quality.train(rows.select("doc_id", "text").repartition(7), rows.select("doc_id", "quality"), F.col("_id") % 3 != 1)
+    got = {r.doc_id: r.score for r in quality.score(rows.select("doc_id", "text"), model).collect()}
+    all_rows = rows.collect()
+    x, y = np.array([quality.features(r.text) for r in all_rows]), np.array([r.quality for r in all_rows])
+    fit = np.array([r.doc_id % 3 != 1 for r in all_rows])
+    mid, scale = x[fit].mean(0), np.where(x[fit].std(0) < 1e-5, 1.0, x[fit].std(0))
+    z, density = (x - mid) / scale, []
+    share = [np.mean(y[fit] == c) for c in (0, 1)]
+    own = [np.cov(z[fit & (y == c)].T, bias=True) for c in (0, 1)]
+    for c in (0, 1):
+        cov = 0.7 * own[c] + 0.3 * (share[0] * own[0] + share[1] * own[1])
+        cov += 0.01 * np.trace(cov) / 15 * np.eye(15)
+        d = z - z[fit & (y == c)].mean(0)
+        density.append(np.log(share[c]) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    want = 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
+    assert np.allclose([got[r.doc_id] for r in all_rows], want, atol=1e-6)
 
 
 def test_toxicity(spark, docs, empty):
@@ -315,16 +379,12 @@ def test_toxicity_sees_through_inserted_characters(spark):
     assert max(model.scores(["the river of stone", "the r.i.v.e.r of stone"])) < 0.3
 
 
-def test_a_cap_on_the_sample_leaves_the_priors(spark):
-    r = np.random.default_rng(1)
-    y = np.r_[np.zeros(2000, int), np.ones(18000, int)]
-    x = r.normal(0, 1, (20000, 15)) + y[:, None] * 0.3
-    few = np.r_[: 4000]  # the larger class capped at 2,000
-    whole, capped = (m.score(x) for m in (quality.Discriminant(x, y), quality.Discriminant(x[few], y[few], counts={0: 2000, 1: 18000})))
-    assert abs((whole >= 0.5).mean() - (capped >= 0.5).mean()) < 0.02
-    rows = spark.createDataFrame([(i, "a b", int(i % 10 > 0)) for i in range(300)], "doc_id long, text string, quality int")
-    sampled, counts = quality.sample(rows.select("doc_id", "text"), rows.select("doc_id", "quality"), "quality", F.col("_id") >= 0, 40)
-    assert Counter(v for _, v in sampled) == {0: 30, 1: 40} and counts == {0: 30, 1: 270}
+def test_a_cap_on_the_sample_leaves_the_counts(spark):
+    rows = spark.createDataFrame([(i, "a b", int(i % 10 > 0)) for i in range(300)] + [(301, "long " * 2000, 0)], "doc_id long, text string, quality int")
+    of = lambda **k: quality.sample(rows.select("doc_id", "text"), rows.select("doc_id", "quality"), "quality", F.col("_id") >= 0, 40, **k)
+    sampled, counts = of()
+    assert Counter(v for _, v in sampled) == {0: 31, 1: 40} and counts == {0: 31, 1: 270}
+    assert Counter(v for _, v in of(most_chars=60)[0]) == {0: 20, 1: 20}  # of three code points each, none too long
 
 
 def test_platt_follows_the_true_counts():
