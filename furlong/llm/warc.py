@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from . import common
 
 END = "\r\n"
-PARSED = "path string, offset long, kind string, record_id string, origin string, segment int, total long, uri string, refers_to string, payload_digest string, block binary"
 
 
 def record_id(page_id: int | None, sha1: str, tag: str | None = None, segment: int = 1) -> str:
@@ -84,11 +83,12 @@ def _record(kind: str, rid: str, head: list[str], block: bytes) -> str:
     return END.join(["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", *head, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]) + block.decode()
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, segment_bytes: int = 16384, records_per_file: int = 20000) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, segment_bytes: int = 16384, records_per_file: int = 6000) -> None:
     """Writes one response or revisit for each row under path, as text files.
 
     Of rows with equal payloads of at least `least` bytes, the one with the largest id is the response and the others revisit it.
-    Payloads are compared by SHA-256. A null body is an empty payload, a null url an empty one; line ends in a url become %0D and %0A. Rows
+    A file has at most records_per_file records of at most segment_bytes each and their headers, about 100 MB, so a task that reads
+    one holds no more. Payloads are compared by SHA-256. A null body is an empty payload, a null url an empty one; line ends in a url become %0D and %0A. Rows
     that repeat the largest id with the same payload are responses too. Rows with a null id are always responses. Each record has an
     identifier of its own, whatever ids repeat.
     """
@@ -122,7 +122,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """(offset, kind, record_id, origin, segment, total, uri, refers_to, payload_digest, block) of each record of an archive."""
+    """(offset, kind, record_id, origin, segment, total, uri, refers_to, payload_digest, block, page, refers_id) of each record of an
+    archive; white space between records is skipped."""
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
@@ -137,7 +138,7 @@ def parse(data: bytes) -> Iterator[tuple]:
         if end > len(data):
             raise ValueError(f"the record at byte {at} is cut short")
         number = lambda k: int(head[k]) if head.get(k) else None
-        yield at, head["warc-type"], head["warc-record-id"], head.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), head.get("warc-target-uri"), head.get("x-refers-to-page"), head.get("warc-payload-digest"), data[body:end], head.get("x-page-id")
+        yield at, head["warc-type"], head["warc-record-id"], head.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), head.get("warc-target-uri"), head.get("x-refers-to-page"), head.get("warc-payload-digest"), data[body:end], head.get("x-page-id"), head.get("warc-refers-to")
         at = end
 
 
@@ -149,29 +150,48 @@ def _payload(block: bytes) -> tuple[bytes, int | None]:
     return body, int(fields[b"content-length"]) if b"content-length" in fields else None
 
 
-def _result(page: str | None, kind: str, refers: str | None, claimed: str | None, block: bytes) -> tuple:
+def _sha1(claimed: str | None) -> bytes | None:
+    """A SHA-1 in Base32 or hex; None for another algorithm or none at all."""
+    algorithm, _, value = (claimed or "").partition(":")
+    if algorithm.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    value = value.strip()
+    return bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+
+
+def _number(x: str | None) -> int | None:
+    return int(x) if x and x.strip().lstrip("-").isdigit() else None
+
+
+def _result(rid: str, page: str | None, kind: str, refers: str | None, refers_id: str | None, claimed: str | None, uri: str | None, block: bytes) -> tuple:
     body, length = _payload(block)
-    own = claimed.partition(":")[2] if claimed else None
+    own = _sha1(claimed)
     if kind == "revisit":
-        return (int(page) if page else None), length, base64.b32decode(own).hex(), kind, int(refers), None
+        return _number(page), length, own.hex() if own else None, kind, _number(refers), rid, refers_id, uri, None
     sha1 = hashlib.sha1(body).digest()
-    if own and base64.b32decode(own) != sha1:
-        raise ValueError(f"the payload of page {page} differs from its digest")
-    return (int(page) if page else None), len(body), sha1.hex(), kind, None, body
+    if own and own != sha1:
+        raise ValueError(f"the payload of record {rid} differs from its digest")
+    return _number(page), len(body), sha1.hex(), kind, None, rid, None, uri, body
 
 
-OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-_OUT = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+KINDS = ("response", "revisit", "continuation")
+OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, uri string"
+_OUT = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("uri", pa.string()), ("payload", pa.binary())])
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row for each response or revisit under path: page_id, payload_bytes, payload_digest (hex SHA-1), record_type,
-    refers_to, and payload (binary, null for revisits) if asked for. Fails on a record that is cut short, a missing segment, a
-    total length that doesn't fit or a payload that differs from its digest."""
+    refers_to, record_id, refers_to_id, uri, and payload (binary, null for revisits) if asked for. Records of other types
+    (warcinfo, request, metadata and so on) are passed over.
+
+    Archives of other writers: page_id is null without our own header; refers_to of a revisit then is the page_id of the record
+    that WARC-Refers-To names, null if that is not there; a payload without a SHA-1 digest is not checked, and a revisit
+    without one has payload_digest null. Fails on a record that is cut short, a missing segment, a total length that doesn't
+    fit or a payload that differs from its digest."""
     common.ship(spark)
     kept = _OUT if with_payload else pa.schema(list(_OUT)[:-1])
     schema = OUT + ", payload binary" * with_payload
-    inner = pa.schema([("page", pa.string()), ("kind", pa.string()), ("refers", pa.string()), ("claimed", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+    inner = pa.schema([("page", pa.string()), ("kind", pa.string()), ("refers", pa.string()), ("refers_id", pa.string()), ("claimed", pa.string()), ("target", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
     # records in one piece are finished here; pieces keep their block
     both = pa.schema([*kept, *inner])
 
@@ -180,12 +200,14 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
             for data in batch.column(batch.schema.get_field_index("content")):
                 rows: list[tuple] = []
                 held = 0
-                for _, kind, rid, origin, segment, total, _, refers, claimed, block, page in parse(data.as_py()):
+                for _, kind, rid, origin, segment, total, uri, refers, claimed, block, page, refers_id in parse(data.as_py()):
+                    if kind not in KINDS:
+                        continue
                     if segment is None:
-                        rows.append((*_result(page, kind, refers, claimed, block)[: len(kept)], *[None] * 8))
+                        rows.append((*_result(rid, page, kind, refers, refers_id, claimed, uri, block)[: len(kept)], *[None] * len(inner)))
                     else:
-                        rows.append((*[None] * len(kept), page, kind, refers, claimed, origin or rid, segment, total, block))
-                        held += len(block)
+                        rows.append((*[None] * len(kept), page, kind, refers, refers_id, claimed, uri, origin or rid, segment, total, block))
+                    held += len(block)
                     if len(rows) >= 2000 or held > 8 << 20:
                         yield _batch(rows, both)
                         rows, held = [], 0
@@ -193,25 +215,30 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                     yield _batch(rows, both)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pages, kinds, refers, claims, totals, blocks, ns in common.rows_of(batches, "page", "kind", "refers", "claimed", "total", "blocks", "numbers"):
+        for origins, pages, kinds, refers, ids, claims, uris, totals, blocks, ns in common.rows_of(batches, "origin", "page", "kind", "refers", "refers_id", "claimed", "target", "total", "blocks", "numbers"):
             rows = []
-            for page, kind, ref, claim, total, block, n in zip(pages, kinds, refers, claims, totals, blocks, ns):
-                if n != list(range(1, len(n) + 1)):
-                    raise ValueError(f"page {page} lacks a segment")
+            for rid, page, kind, ref, ref_id, claim, uri, total, block, n in zip(origins, pages, kinds, refers, ids, claims, uris, totals, blocks, ns):
+                if kind == "continuation" and n[0] != 1 or n != list(range(1, len(n) + 1)):
+                    raise ValueError(f"record {rid} lacks a segment")
                 whole = b"".join(block)
                 if len(whole) != total:
-                    raise ValueError(f"page {page} has {len(whole)} bytes in its segments, not {total}")
-                rows.append(_result(page, kind, ref, claim, whole)[: len(kept)])
+                    raise ValueError(f"record {rid} has {len(whole)} bytes in its segments, not {total}")
+                rows.append(_result(rid, page, kind, ref, ref_id, claim, uri, whole)[: len(kept)])
             yield _batch(rows, kept)
 
-    parsed = common.stored(spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, f"{schema}, page string, kind string, refers string, claimed string, origin string, segment int, total long, block binary"))
+    fields = "page string, kind string, refers string, refers_id string, claimed string, target string, origin string, segment int, total long, block binary"
+    parsed = common.stored(spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, f"{schema}, {fields}"))
     pieces = parsed.where(F.col("segment").isNotNull())
     one = F.struct("segment", "block")
-    # a record's segments are as many as its payload's size asks for, and repeated pages repeat them: keep one of each number
-    grouped = pieces.groupBy("origin").agg(F.max("page").alias("page"), F.max_by("kind", -F.col("segment")).alias("kind"), F.max("refers").alias("refers"), F.max("claimed").alias("claimed"), F.max("total").alias("total"), F.array_sort(F.collect_set(one)).alias("parts"), F.sum((F.col("segment") == 1).cast("int")).alias("times"))
-    whole = grouped.select("page", "kind", "refers", "claimed", "total", "times", F.col("parts.block").alias("blocks"), F.col("parts.segment").alias("numbers"))
+    # a record's segments are as many as its payload's size asks for; an archive that is there twice repeats them: one of each number
+    grouped = pieces.groupBy("origin").agg(*[F.max(c).alias(c) for c in ("page", "refers", "refers_id", "claimed", "target", "total")], F.max_by("kind", -F.col("segment")).alias("kind"), F.array_sort(F.collect_set(one)).alias("parts"), F.sum((F.col("segment") == 1).cast("int")).alias("times"))
+    whole = grouped.select("origin", "page", "kind", "refers", "refers_id", "claimed", "target", "total", "times", F.col("parts.block").alias("blocks"), F.col("parts.segment").alias("numbers"))
     joined = whole.withColumn("times", F.explode(F.sequence(F.lit(1), F.greatest("times", F.lit(1))))).mapInArrow(join, schema)
-    return parsed.where(F.col("segment").isNull()).select(*joined.columns).unionByName(joined)
+    out = parsed.where(F.col("segment").isNull()).select(*joined.columns).unionByName(joined)
+    if parsed.where("kind IS NULL AND record_type = 'revisit' AND refers_to IS NULL AND refers_to_id IS NOT NULL").isEmpty():
+        return out
+    ids = out.where("record_type = 'response'").groupBy(F.col("record_id").alias("named")).agg(F.min("page_id").alias("named_page"))
+    return out.join(ids, F.col("refers_to_id") == F.col("named"), "left").withColumn("refers_to", F.coalesce("refers_to", F.when(F.col("record_type") == "revisit", F.col("named_page")))).select(*joined.columns)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -221,7 +248,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}-warc"
     write(common.read(spark, sf_dir, "pages"), path)
-    return read(spark, path)
+    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

@@ -182,6 +182,29 @@ def test_warc_with_null_and_repeated_ids(spark, tmp_path):
     assert len(ids) == len(set(ids)) and set(re.findall("WARC-Refers-To: (.*)\r", text)) <= set(ids)
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Other record types, hex and missing digests, revisits without our headers, and a revisit of a record that is not there."""
+    def record(kind, rid, block, *head):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{rid}>", *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    http, body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", b"<p>caf\xe9</p>"
+    data = record("warcinfo", "w", b"software: x\r\n") + record("request", "q", b"GET / HTTP/1.1\r\n\r\n")
+    data += record("response", "a", http + body, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{hashlib.sha1(body).hexdigest()}", "X-Page-Id: 7")
+    data += record("response", "b", http + body, "WARC-Payload-Digest: md5:00")
+    data += record("revisit", "c", http, "WARC-Refers-To: <urn:a>") + record("revisit", "d", http, "WARC-Refers-To: <urn:none>", "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode())
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "one.warc").write_bytes(data)
+    got = {r.record_id[5:-1]: (r.page_id, r.payload_digest, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read(spark, str(tmp_path / "x"), with_payload=True).collect()}
+    sha = hashlib.sha1(body).hexdigest()
+    assert got == {"a": (7, sha, "response", None, body), "b": (None, sha, "response", None, body), "c": (None, None, "revisit", 7, None), "d": (None, sha, "revisit", None, None)}
+
+
+def test_warc_of_an_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "e"))
+    assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs, max_repeats=1.5).collect()
     rows = Counter((r.source, r.n_tokens) for r in got)
