@@ -25,7 +25,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone", "secret", "ssn", "iban"]
 WIDE = "|".join([
     r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    r"(?<![A-Za-z])(?:password|passwd|secret|token|api_key) ?[=:] ?\x22?[A-Za-z0-9_+/-]{8,}\x22?",
+    r"(?<![A-Za-z])(?i:password|passwd|secret|token|api_key) ?[=:] ?\x22?[A-Za-z0-9_+/-]{8,}\x22?",
     r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
@@ -81,7 +81,7 @@ def _found(docs: DataFrame) -> DataFrame:
     """docs with columns base (kind, start, end, m of all base matches, with `good` false where a check fails) and wide."""
     text = F.col("text")
     # all wide patterns but those of secrets need a digit
-    some = text.rlike("[0-9]|AKIA|password|passwd|secret|token|api_key")
+    some = text.rlike("[0-9]|AKIA|(?i:password|passwd|secret|token|api_key)")
     # separators that do not stand between digits can be no part of a card: a character of the same length takes their place
     chain = F.regexp_replace(text, "(?<![0-9])[ -]|[ -](?![0-9])", "\u0001")
     look = {
@@ -97,15 +97,22 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def _kind_of(m: Column) -> Column:
-    return F.when(m.rlike("^(AKIA|[a-z])"), KINDS.index("secret")).when(m.rlike("^[A-Z]"), KINDS.index("iban")).when(m.rlike("^[0-9]{3}-[0-9]{2}-"), KINDS.index("ssn")).otherwise(KINDS.index("phone"))
+    return F.when(m.rlike("^(AKIA|(?i:password|passwd|secret|token|api_key))"), KINDS.index("secret")).when(m.rlike("^[A-Z]"), KINDS.index("iban")).when(m.rlike("^[0-9]{3}-[0-9]{2}-"), KINDS.index("ssn")).otherwise(KINDS.index("phone"))
+
+
+def _before(start: Column) -> Column:
+    return F.lower(F.substring(F.col("text"), F.greatest(start - 39, F.lit(1)), F.least(start, F.lit(40))))
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """found with column cand: the wide matches that overlap no valid base span, with their kinds and the text before them."""
+    """(id, base, cand): the base matches, and the wide matches that overlap no valid one of them, each as its kind, place, whether
+    it passes its check (null for wide ones) and the votes on it. No text is kept."""
     free = F.filter("wide", lambda c: ~F.exists(F.filter("base", lambda b: b["good"]), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    before = lambda s: F.lower(F.substring(F.col("text"), F.greatest(s - 39, F.lit(1)), F.least(s, F.lit(40))))
-    wide = F.transform(free, lambda c: F.struct(_kind_of(c["m"]).alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["m"].alias("m"), F.lit(None).cast("boolean").alias("good"), before(c["start"]).alias("before")))
-    return found.withColumn("cand", wide)
+    full = lambda k, c, good: F.struct(k.alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["m"].alias("m"), good.alias("good"), _before(c["start"]).alias("before"))
+    voted = lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["good"].alias("good"), *[v.cast("int").alias(n) for v, n in zip(votes(c), LABELERS)])
+    wide = F.transform(free, lambda c: full(_kind_of(c["m"]), c, F.lit(None).cast("boolean")))
+    base = F.transform("base", lambda b: full(b["k"], b, b["good"]))
+    return found.select("id", F.transform(base, voted).alias("base"), F.transform(wide, voted).alias("cand"))
 
 
 def _by_kind(k: Column, of: dict[str, Column], default: Column) -> Column:
@@ -122,7 +129,7 @@ def votes(c: Column) -> list[Column]:
     checked = F.when(good, 1).when(~good, -1)
     value = F.regexp_extract(m, "([A-Za-z0-9_+/-]+)\x22?$", 1)
     shape = F.coalesce(checked, _by_kind(k, {"secret": yes(F.char_length(value) >= 16), "phone": yes(m.startswith("(")), "ssn": yes(~m.rlike("^(000|666|9)"), -1), "iban": yes(F.char_length(m).between(15, 34), -1)}, F.lit(0)))
-    gazetteer = _by_kind(k, {"email": yes(F.substring_index(F.lower(m), ".", -1).isin(DOMAINS)), "secret": yes(m.rlike("^(AKIA|password|token)")), "phone": F.when(good.isNotNull(), 0).otherwise(yes(_digits(m).rlike("^[2-9][0-8]"), -1)), "iban": yes(F.substring(m, 1, 2).isin(COUNTRIES), -1)}, F.lit(0))
+    gazetteer = _by_kind(k, {"email": yes(F.substring_index(F.lower(m), ".", -1).isin(DOMAINS)), "secret": yes(m.rlike("^(AKIA|(?i:password|token))")), "phone": F.when(good.isNotNull(), 0).otherwise(yes(_digits(m).rlike("^[2-9][0-8]"), -1)), "iban": yes(F.substring(m, 1, 2).isin(COUNTRIES), -1)}, F.lit(0))
     context = F.when(c["before"].rlike(f"(?:{AGAINST})\\W*$"), -1).otherwise(_by_kind(k, {x: yes(c["before"].rlike(f"\\b(?:{cue})")) for x, cue in CUES.items()}, F.lit(0)))
     check = F.coalesce(checked, _by_kind(k, {"secret": yes(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), -1), "phone": yes(F.char_length(_digits(m)) == 10, -1), "ssn": yes(~m.rlike("-00-|-0000$"), -1), "iban": yes(F.char_length(_digits(m)) * 2 >= F.char_length(m))}, F.lit(0)))
     return [shape, gazetteer, context, check]
@@ -160,7 +167,7 @@ def fit(patterns: list[tuple[int, tuple[int, ...], int]], truth: list[float], ro
 
 
 def _score(c: Column, w: list[float]) -> Column:
-    vs, out = votes(c), F.lit(w[0])
+    vs, out = [c[n] for n in LABELERS], F.lit(w[0])
     for j, v in enumerate(vs):
         out = out + F.when(v == 1, w[1 + j]).when(v == -1, w[1 + len(vs) + j]).otherwise(0.0)
     for k in range(4, len(KINDS)):
@@ -170,30 +177,33 @@ def _score(c: Column, w: list[float]) -> Column:
 
 def patterns_of(cands: DataFrame) -> list[tuple[int, tuple[int, ...], int]]:
     """Counts of (kind, votes) over all candidates and base matches: at most len(KINDS) * 3 ** len(LABELERS) rows."""
-    base = F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["start"].alias("start"), b["end"].alias("end"), b["m"].alias("m"), b["good"].alias("good"), F.lower(F.substring(F.col("text"), F.greatest(b["start"] - 39, F.lit(1)), F.least(b["start"], F.lit(40)))).alias("before")))
-    both = cands.select(F.explode(F.concat(base, F.col("cand"))).alias("c"))
-    rows = both.select(F.col("c.k").alias("k"), *[v.alias(n) for v, n in zip(votes(F.col("c")), LABELERS)]).groupBy("k", *LABELERS).count().collect()
+    both = cands.select(F.explode(F.concat("base", "cand")).alias("c"))
+    rows = both.select("c.k", *[F.col(f"c.{n}") for n in LABELERS]).groupBy("k", *LABELERS).count().collect()
     return sorted((r["k"], tuple(r[n] for n in LABELERS), r["count"]) for r in rows)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per input row: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_secret, n_ssn, n_iban.
 
     spans: `kind:start:end` of base and added spans by kind, then start, in code points, end exclusive, joined by commas; an
-    added span overlaps no base span. A null text counts as empty and has no spans. Null and repeated ids pass through, each
-    row for itself. Other columns are not read.
+    added span overlaps no base span. n_spans counts all of them, n_secret, n_ssn and n_iban added ones; an added phone number is
+    in n_spans only. A null text counts as empty and has no spans. Null and repeated ids pass through, each row for itself. Other
+    columns are not read. Texts are gone through once; places and votes are stored for the count of votes and the decision.
     """
-    found = _candidates(_found(common.texts(docs, id_col, text_col)))
+    found = common.stored(_candidates(_found(common.texts(docs, id_col, text_col))))
     counted = patterns_of(found)
     _, truth = estimate(counted)
     w = fit(counted, truth)
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    good = F.transform(F.filter("base", lambda b: b["good"]), lambda b: F.struct(b["k"].alias("k"), b["start"].alias("start"), b["end"].alias("end")))
-    added = F.transform(F.filter("cand", lambda c: _score(c, w) >= 0), lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end")))
+    place = lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end"))
+    good = F.transform(F.filter("base", lambda b: b["good"]), place)
+    added = F.transform(F.filter("cand", lambda c: _score(c, w) >= 0), place)
     said = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kinds, s["k"]), s["start"], s["end"])), ",")
     rows = found.select("id", good.alias("good"), added.alias("added"))
-    count = lambda k: F.size(F.filter("good", lambda b: b["k"] == k)).cast("long")
-    return rows.select(F.col("id").alias(id_col), *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(said(F.col("good")), 256).alias("base_sha256"), said(F.concat("good", "added")).alias("spans"))
+    count = lambda of, k: F.size(F.filter(of, lambda b: b["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return rows.select(
+        F.col("id").alias(id_col), *[count("good", k) for k in range(4)], F.sha2(said(F.col("good")), 256).alias("base_sha256"), said(F.concat("good", "added")).alias("spans"),
+        (F.size("good") + F.size("added")).cast("long").alias("n_spans"), *[count("added", k) for k in range(4, len(KINDS))])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
