@@ -195,16 +195,10 @@ class Tokenised:
         return out
 
 
-_MADE: dict[tuple, PrefixBPE] = {}
-
-
 def load(vocabulary: bytes, pattern: str) -> PrefixBPE:
-    """From the bytes of a .tiktoken file; kept per process."""
-    key = (hashlib.md5(vocabulary).digest(), pattern)
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = PrefixBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}, pattern)
-    return _MADE[key]
+    """From the bytes of a .tiktoken file; kept per process until another operator runs in it."""
+    made = lambda: PrefixBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}, pattern)
+    return common.held("bpe", (hashlib.md5(vocabulary).digest(), pattern), made)
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -221,7 +215,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(raw.value, pattern)
-        for ids, texts in common.rows_of(batches, "id", "text"):
+        for ids, texts in common.rows_of(batches, "id", "text", owner="bpe"):
             rows = []
             for i, text in zip(ids, texts):
                 packed = bpe.encode_packed(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 
 
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once an application; Spark's own file server carries it."""
+    """Gives the executors this package, once an application; Spark's own file server carries it. Unless the session says
+    otherwise, Arrow batches have at most 512 rows, so that both sides of a Python worker hold a few texts and not thousands."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(BATCH[0]) == "10000":  # Spark's own default
+        spark.conf.set(*BATCH)
     if app not in _SHIPPED:
         _SHIPPED.add(app)
         root = Path(__file__).resolve().parents[2]
@@ -62,12 +68,26 @@ def crc_mod(id_col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list]:
-    """Batches as lists of Python columns, at most 512 rows at once, so memory follows a few texts and not the batch."""
+_HELD: dict[str, tuple] = {}
+
+
+def held(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What make() returns, kept in this process under its owner for as long as the key is the same."""
+    if _HELD.get(owner, (None,))[0] != key:
+        _HELD[owner] = (key, make())
+    return _HELD[owner][1]
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], *names: str, owner: str = "") -> Iterator[list]:
+    """Batches as lists of Python columns, at most 512 rows at once, so memory follows a few texts and not the batch. Python
+    workers serve one operator after another: what others than owner have held goes first, and freed buffers go back at the end."""
+    for other in set(_HELD) - {owner}:
+        del _HELD[other]
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
+    pa.default_memory_pool().release_unused()
 
 
 SMALL = 100_000

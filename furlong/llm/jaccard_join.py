@@ -100,7 +100,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _in_pieces(ids: list, texts: list[str], most: int = 1 << 20) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _in_pieces(ids: list, texts: list[str], most: int = 1 << 18) -> Iterator[tuple[list, list[np.ndarray]]]:
     at, held = 0, 0
     for k, t in enumerate(texts):
         held += len(t)
@@ -168,10 +168,10 @@ def frequent(docs: DataFrame, per_task: int = 200_000, most: int = 500_000) -> F
             for _, sets in _in_pieces(ids, texts):
                 more += sets
                 held += sum(map(len, sets))
-                if held > 1 << 21:
-                    known, more, held = _tally(known, more, 1 << 21), [], 0
+                if held > 1 << 19:
+                    known, more, held = _tally(known, more, 1 << 19), [], 0
         if more:
-            known = _tally(known, more, 1 << 21)
+            known = _tally(known, more, 1 << 19)
         keys, count = known[0][known[1] > 1], known[1][known[1] > 1]
         if len(keys) > per_task:
             at = np.argsort(-count, kind="stable")[:per_task]

@@ -130,7 +130,7 @@ def fit(statistics: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id
 
 def train(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
     """Fitted to all labelled rows for which allowed, a condition on the column _id, holds."""
-    return fit(measured(docs.where(F.col(id_col).isNotNull()), id_col, text_col), labels, allowed, id_col)
+    return fit(common.stored(measured(docs.where(F.col(id_col).isNotNull()), id_col, text_col)), labels, allowed, id_col)
 
 
 def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
