@@ -78,18 +78,17 @@ def lowest_common_ancestor(depths: DataFrame, pairs: DataFrame) -> DataFrame:
 def crosses(tree: DataFrame) -> DataFrame:
     """(horse, ancestor, s, d, share) of the minimal pairs of a sire-side and a dam-side path to one ancestor.
 
-    A pair is not minimal if another ancestor of the horse is met by paths that both are beginnings of these.
+    A pair is not minimal if another ancestor of the horse is met by paths that both are beginnings of these. A horse has at most
+    62 paths, so they are gathered once by horse and all pairs are found inside its row.
     """
-    t = tree.select("horse", "ancestor", "line")
-    s = t.where(F.col("line").startswith("S")).select("horse", "ancestor", F.col("line").alias("s"))
-    d = t.where(F.col("line").startswith("D")).select("horse", "ancestor", F.col("line").alias("d"))
-    met = s.join(d, ["horse", "ancestor"])
-    # beginnings of two paths that meet: looked up by equality, at most 4 x 4 for each pair
-    heads = met.select("horse", "s", "d", F.explode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substring("s", F.lit(1), i))).alias("s2"))
-    heads = heads.select("horse", "s", "d", "s2", F.explode(F.transform(F.sequence(F.lit(1), F.length("d")), lambda i: F.substring("d", F.lit(1), i))).alias("d2")).where("s2 <> s OR d2 <> d")
-    known = met.select("horse", F.col("s").alias("s2"), F.col("d").alias("d2")).distinct()
-    more = heads.join(known, ["horse", "s2", "d2"], "left_semi").select("horse", "s", "d").distinct()
-    return met.join(more, ["horse", "s", "d"], "left_anti").withColumn("share", F.pow(F.lit(0.5), F.length("s") + F.length("d") - 1)).select("horse", "ancestor", "s", "d", "share")
+    rows = tree.where("horse IS NOT NULL AND ancestor IS NOT NULL").groupBy("horse").agg(F.collect_set(F.struct("line", "ancestor")).alias("paths"))
+    side = lambda x: F.filter("paths", lambda p: p["line"].startswith(x))
+    pair = lambda x: lambda y: F.struct(x["ancestor"].alias("ancestor"), x["line"].alias("s"), y["line"].alias("d"))
+    met = F.flatten(F.transform(side("S"), lambda x: F.transform(F.filter(side("D"), lambda y: y["ancestor"] == x["ancestor"]), pair(x))))
+    shorter = lambda m: lambda o: m["s"].startswith(o["s"]) & m["d"].startswith(o["d"]) & ((m["s"] != o["s"]) | (m["d"] != o["d"]))
+    least = F.filter("met", lambda m: ~F.exists("met", shorter(m)))
+    found = rows.select("horse", met.alias("met")).select("horse", F.explode(least).alias("m"))
+    return found.select("horse", "m.ancestor", "m.s", "m.d", F.pow(F.lit(0.5), F.length("m.s") + F.length("m.d") - 1).alias("share"))
 
 
 def inbreeding(tree: DataFrame) -> DataFrame:
@@ -101,9 +100,10 @@ def inbreeding(tree: DataFrame) -> DataFrame:
 def meetings(entries: DataFrame) -> DataFrame:
     """(a, b, weight, sign) of each pair a < b of one race (race, runner, position, weight): sign 1 if a is ahead, -1 behind, 0 level.
 
-    A race has few runners, so the pairs of a race are few; the race is the equality key and the order a residual condition.
+    Positions below 1, from 90 on (not finished) and null take no part. A race has few runners, so the pairs of a race are few;
+    the race is the equality key and the order a residual condition.
     """
-    e = entries.select("race", "runner", "position", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    e = entries.where(F.col("position").between(1, 89)).select("race", "runner", "position", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     a = e.select("race", F.col("runner").alias("a"), F.col("position").alias("pa"), "weight")
     b = e.select("race", F.col("runner").alias("b"), F.col("position").alias("pb"))
     return a.join(b, "race").where("a < b").select("a", "b", "weight", F.signum(F.col("pb") - F.col("pa")).cast("int").alias("sign"))

@@ -47,7 +47,8 @@ def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 42) -> DataFrame:
 
 
 def silhouette(df: DataFrame, key: str, vector: str, label: str, block_rows: int = 8000) -> DataFrame:
-    """One row: the mean Euclidean silhouette over all pairs of rows with different keys. Singletons count 0, as do rows without vector or label.
+    """One row: the mean Euclidean silhouette over all pairs of rows with different keys. A singleton
+    has mean distance 0 to its own cluster, so it scores 1; without a second cluster all score 0, as do rows without vector or label.
 
     Rows are dealt in blocks by their key, and each pair of blocks is one group, of which only sums by row and cluster come out. So
     memory follows a block; the work grows with the square of the rows, as an exact score does, and the rows shuffled with rows x blocks.
@@ -89,7 +90,7 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str, block_rows: int
     schema = T.StructType([T.StructField("i", kinds["i"]), T.StructField("c", kinds["c"]), T.StructField("d", kinds["c"]), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
     per = pairs.groupBy("lo", "hi").applyInArrow(sums, schema).groupBy("i", "c", "d").agg((F.sum("s") / F.sum("n")).alias("m"))
     ab = per.groupBy("i").agg(F.max(F.when(F.col("c") == F.col("d"), F.col("m"))).alias("a"), F.min(F.when(F.col("c") != F.col("d"), F.col("m"))).alias("b"))
-    return v.select("i").distinct().join(ab, "i", "left").agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+    return v.select("i").distinct().join(ab, "i", "left").agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.coalesce("a", F.lit(0.0)), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def pca2(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[float]]:

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {B.SQL} {sql}"
+            SQL[f.__name__] = f"WITH RECURSIVE {B.SQL} {sql}"
         return f
 
     return add
@@ -62,10 +62,14 @@ def horse_stats(s, d):
     return out.withColumn("peak_year", S.peak_year(F.col("y"), F.lit(None).cast("int"))).withColumn("half", F.when(F.col("peak_year") <= 1997, "early").otherwise("late")).drop("y")
 
 
-@query("""SELECT COALESCE(sire, 'Total') AS sire, COALESCE(surface, 'Total') AS surface, COUNT(*)::BIGINT AS n FROM ran JOIN pedigree USING (runner) GROUP BY CUBE (sire, surface)""")
+@query("""SELECT CASE WHEN GROUPING(sire) = 1 THEN 'Total' ELSE sire END AS sire, CASE WHEN GROUPING(surface) = 1 THEN 'Total' ELSE surface END AS surface, COUNT(*)::BIGINT AS n
+FROM ran JOIN pedigree USING (runner) WHERE sire IS NOT NULL AND surface IS NOT NULL GROUP BY CUBE (sire, surface)""")
 def contingency_margins(s, d):
-    rows = B.ran(s, d).join(B.pedigree(s, d), "runner")
-    return rows.cube("sire", "surface").count().select(F.coalesce("sire", F.lit("Total")).alias("sire"), F.coalesce("surface", F.lit("Total")).alias("surface"), big("count", "n"))
+    """Rows with a null key are in no cell and no margin."""
+    rows = B.ran(s, d).join(B.pedigree(s, d), "runner").where("sire IS NOT NULL AND surface IS NOT NULL")
+    name = lambda c: F.when(F.grouping(c) == 1, "Total").otherwise(F.col(c)).alias(c + "_")
+    out = rows.cube("sire", "surface").agg(name("sire"), name("surface"), F.count("*").alias("n"))
+    return out.select(F.col("sire_").alias("sire"), F.col("surface_").alias("surface"), "n").orderBy(F.desc("n"), "sire", "surface")
 
 
 @query("""SELECT sire, COUNT(*) FILTER (surface = 'Turf')::BIGINT AS turf, COUNT(*) FILTER (surface = 'Dirt')::BIGINT AS dirt, COUNT(*) FILTER (surface = 'Obstacle')::BIGINT AS obstacle,
@@ -133,12 +137,18 @@ def head_to_head(s, d):
     return G.head_to_head(G.meetings(B.supplier_edges(s, d)), 1, 2).select(big("a", "a"), big("b", "b"), r6("weight"), r6("wins_a"), r6("wins_b"))
 
 
-_STEP = "r{1} AS (SELECT node, 0.15 / n + 0.85 * (COALESCE(got, 0) + lost / n) AS rank FROM nodes LEFT JOIN (SELECT dst AS node, SUM(rank * share) AS got FROM r{0} JOIN shares ON node = src GROUP BY dst) USING (node), (SELECT COUNT(*) AS n FROM nodes), (SELECT COALESCE(SUM(rank), 0) AS lost FROM r{0} WHERE node NOT IN (SELECT src FROM pres)))"
+_RANKS = """, shares AS (SELECT src, dst, weight / SUM(weight) OVER (PARTITION BY src) AS share FROM pres), sizes AS (SELECT COUNT(*) AS n FROM nodes),
+ends AS (SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM pres)),
+ranks(step, node, rank, moved) AS (SELECT 0, node, 1.0::DOUBLE / n, 1.0::DOUBLE FROM nodes, sizes UNION ALL SELECT * FROM (
+  WITH now AS (SELECT * FROM ranks), lost AS (SELECT COALESCE(SUM(rank), 0) AS lost FROM now WHERE node IN (FROM ends)),
+  new AS (SELECT now.step + 1 AS step, now.node, 0.15 / n + 0.85 * (COALESCE(got, 0) + lost / n) AS rank, now.rank AS was FROM now CROSS JOIN sizes CROSS JOIN lost
+          LEFT JOIN (SELECT dst, SUM(rank * share) AS got FROM now JOIN shares ON node = src GROUP BY dst) g ON g.dst = now.node)
+  SELECT step, node, rank, SUM(ABS(rank - was)) OVER () AS moved FROM new WHERE (SELECT MAX(moved) FROM now) >= 1e-7 AND step <= 100))"""
 
 
-@query(", shares AS (SELECT src, dst, weight / SUM(weight) OVER (PARTITION BY src) AS share FROM pres), r0 AS (SELECT node, 1.0::DOUBLE / COUNT(*) OVER () AS rank FROM nodes), " + ", ".join(_STEP.format(k, k + 1) for k in range(4)) + " SELECT node, ROUND(rank, 9) AS rank FROM r4")
+@query(_RANKS + " SELECT node, ROUND(rank, 9) AS rank FROM ranks WHERE step = (SELECT MAX(step) FROM ranks)")
 def pagerank(s, d):
-    """Ranks at convergence. The SQL still states the former four steps."""
+    """Ranks at convergence: the first round that moves less than 1e-7 in all."""
     return G.pagerank(G.prestige(G.meetings(B.supplier_edges(s, d))), _nodes(s, d)).select("node", F.round("rank", 9).alias("rank"))
 
 
@@ -154,12 +164,13 @@ def components(s, d):
     return G.components(*_links(s, d))
 
 
-_RELAX = "d{1} AS (SELECT node, MIN(dist) AS dist FROM (SELECT node, dist FROM d{0} UNION ALL SELECT t AS node, dist + cost FROM d{0} JOIN ways ON node = f) GROUP BY node)"
-
-
-@query(", ways AS (SELECT a AS f, b AS t, 1 / weight AS cost FROM und UNION ALL SELECT b, a, 1 / weight FROM und), d0 AS (SELECT 1::BIGINT AS node, 0.0::DOUBLE AS dist), " + ", ".join(_RELAX.format(k, k + 1) for k in range(6)) + " SELECT node, ROUND(dist, 6) AS dist FROM nodes LEFT JOIN d6 USING (node)")
+@query(""", ways AS (SELECT a AS f, b AS t, 1 / weight AS cost FROM und UNION ALL SELECT b, a, 1 / weight FROM und),
+reach(step, node, dist, better) AS (SELECT 0, 1::BIGINT, 0.0::DOUBLE, true UNION ALL SELECT * FROM (
+  WITH now AS (SELECT * FROM reach), offers AS (SELECT node, dist FROM now UNION ALL SELECT t, dist + cost FROM now JOIN ways ON node = f WHERE better)
+  SELECT (SELECT MAX(step) FROM now) + 1, o.node, MIN(o.dist), MIN(o.dist) < COALESCE(MIN(n.dist), 'infinity'::DOUBLE) FROM offers o LEFT JOIN now n USING (node) WHERE (SELECT BOOL_OR(better) FROM now) GROUP BY o.node))
+SELECT node, ROUND(dist, 6) AS dist FROM nodes LEFT JOIN (SELECT node, dist FROM reach WHERE step = (SELECT MAX(step) FROM reach)) USING (node)""")
 def shortest_paths(s, d):
-    """Distances of paths of any length. The SQL still states six relaxations, as many as the given dense graphs ever need."""
+    """Distances of paths of any length."""
     return G.shortest_paths(G.undirected(G.meetings(B.supplier_edges(s, d))), _nodes(s, d), 1).select("node", r6("dist"))
 
 
@@ -289,7 +300,7 @@ def anova(s, d):
     return T.anova(B.ran(s, d).where("position = 1").join(B.pedigree(s, d), "runner"), "sire", "distance").select(r6("f"), F.round("eta2", 9).alias("eta2"), big("df_between", "df_between"), big("df_within", "df_within"))
 
 
-@query(", v AS (SELECT sire, distance FROM ran JOIN pedigree USING (runner) WHERE position = 1), k AS (SELECT sire, RANK() OVER (ORDER BY distance) + (COUNT(*) OVER (PARTITION BY distance) - 1) / 2.0::DOUBLE AS r FROM v), g AS (SELECT COUNT(*) AS n, SUM(r) AS r FROM k GROUP BY sire) SELECT ROUND(12.0::DOUBLE / (SUM(n) * (SUM(n) + 1)) * SUM(r * r / n) - 3 * (SUM(n) + 1), 4) AS h, (COUNT(*) - 1)::BIGINT AS dof FROM g")
+@query(", v AS (SELECT sire, distance FROM ran JOIN pedigree USING (runner) WHERE position = 1 QUALIFY COUNT(*) OVER (PARTITION BY sire) >= 5), k AS (SELECT sire, RANK() OVER (ORDER BY distance) + (COUNT(*) OVER (PARTITION BY distance) - 1) / 2.0::DOUBLE AS r FROM v), g AS (SELECT COUNT(*) AS n, SUM(r) AS r FROM k GROUP BY sire) SELECT ROUND(12.0::DOUBLE / (SUM(n) * (SUM(n) + 1)) * SUM(r * r / n) - 3 * (SUM(n) + 1), 4) AS h, (COUNT(*) - 1)::BIGINT AS dof FROM g")
 def kruskal(s, d):
     return T.kruskal(B.ran(s, d).where("position = 1").join(B.pedigree(s, d), "runner"), "sire", "distance").select(F.round("h", 4).alias("h"), big("dof", "dof"))
 
@@ -324,7 +335,7 @@ def average_precision(s, d):
 
 @query()
 def bootstrap_auc(s, d):
-    return T.bootstrap_auc(_judged(s, d), "y", "p")
+    return T.bootstrap_auc(_judged(s, d), "y", "p", "doc_id")
 
 
 @query("SELECT c_custkey, ROUND((c_acctbal - AVG(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) AS z FROM customer")
@@ -332,10 +343,10 @@ def zscores(s, d):
     return M.zscores(B.table(s, d, "customer"), ["c_acctbal"]).select("c_custkey", r6("c_acctbal", "z"))
 
 
-@query(""", v AS (SELECT vec_id AS i, embedding AS x, label AS c FROM embeddings WHERE vec_id < 400), m AS (SELECT a.i, a.c, b.c AS d, AVG(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow((z[1] - z[2])::DOUBLE, 2))))) AS m FROM v a JOIN v b ON a.i <> b.i GROUP BY ALL),
-ab AS (SELECT i, MAX(m) FILTER (c = d) AS a, MIN(m) FILTER (c <> d) AS b FROM m GROUP BY i) SELECT ROUND(AVG(COALESCE((b - a) / GREATEST(a, b), 0)), 4) AS silhouette FROM ab""")
+@query(""", v AS (SELECT vec_id AS i, embedding AS x, label AS c FROM embeddings), m AS (SELECT a.i, a.c, b.c AS d, AVG(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow((z[1] - z[2])::DOUBLE, 2))))) AS m FROM v a JOIN v b ON a.i <> b.i GROUP BY ALL),
+ab AS (SELECT i, MAX(m) FILTER (c = d) AS a, MIN(m) FILTER (c <> d) AS b FROM m GROUP BY i) SELECT ROUND(AVG(COALESCE((b - COALESCE(a, 0)) / GREATEST(COALESCE(a, 0), b), 0)), 4) AS silhouette FROM ab""")
 def silhouette(s, d):
-    """An all-pairs score over the whole table. Its SQL still states the former subset of ids below 400."""
+    """An all-pairs score over the whole table."""
     return M.silhouette(B.table(s, d, "embeddings"), "vec_id", "embedding", "label").select(F.round("silhouette", 4).alias("silhouette"))
 
 
