@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import generation_weight, role, sire_group
+
 
 def stored(df: DataFrame) -> DataFrame:
     """df written below spark.checkpoint.dir (a local folder only where that is unset) and read again, which cuts its lineage."""
@@ -185,6 +187,27 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, source: object, most: int
     return iterate(state, step, lambda _, new: new.where("changed").isEmpty(), most).select("node", "dist", "prev")
 
 
+def lineage(tree: DataFrame, generations: int = 3) -> DataFrame:
+    """(src, dst, relation, generation_step, weight) from ancestor to descendant over the first generations of a tree (horse,
+    line, ancestor); steps weigh 3, 2 and 1."""
+    t = tree.where((F.length("line") <= generations) & F.col("ancestor").isNotNull())
+    child = t.select("horse", F.col("line").alias("up"), F.col("ancestor").alias("c"))
+    up = t.withColumn("up", F.expr("substr(line, 1, length(line) - 1)")).join(child, ["horse", "up"], "left")
+    dst, step = F.when(F.length("line") == 1, F.col("horse")).otherwise(F.col("c")), F.length("line")
+    edges = up.select(F.col("ancestor").alias("src"), dst.alias("dst"), F.when(F.col("line").endswith("S"), "Sire Line").otherwise("Dam Line").alias("relation"), step.alias("generation_step"), generation_weight(step).cast("double").alias("weight"))
+    return edges.where("dst IS NOT NULL AND src <> dst").distinct()
+
+
+def lineage_nodes(nodes: DataFrame, meta: DataFrame, progeny: DataFrame) -> DataFrame:
+    """nodes (node) with their role and what the horse table (horse_name and so on) has of them; a node that is in no race is a
+    foundation with ten progeny (parent, progeny) or more."""
+    rows = nodes.join(meta, F.col("node") == F.col("horse_name"), "left").join(progeny.select(F.col("parent").alias("_p"), "progeny"), F.col("node") == F.col("_p"), "left")
+    zero = lambda c, kind="long": F.coalesce(F.col(c), F.lit(0)).cast(kind)
+    return rows.select(
+        "node", role(F.col("horse_name").isNotNull(), F.col("g1_wins"), zero("progeny")).alias("node_role"), zero("g1_wins").alias("g1_wins"), zero("graded_wins").alias("graded_wins"), zero("total_earnings_m_yen", "double").alias("earnings_m_yen"),
+        F.coalesce("pagerank_scaled", F.lit(1.0)).alias("pagerank_score"), zero("progeny").alias("progeny_in_dag"), F.coalesce("sire_group", sire_group(F.col("node").cast("string"), "Foundation Bloodline")).alias("sire_group"), zero("inbreeding_fx_pct", "double").alias("inbreeding_fx_pct"))
+
+
 def ties(df: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.sum(weight).alias("weight"), F.count("*").alias("n"))
 

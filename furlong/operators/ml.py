@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -118,6 +118,11 @@ def logistic(train: DataFrame, cols: list[str], target: str, l2: float = 0.005):
     return LogisticRegression(featuresCol="features", labelCol=target, weightCol="weight", regParam=l2, standardization=False, maxIter=500).fit(_vector(with_balance(train, target), cols))
 
 
+def tree(train: DataFrame, cols: list[str], target: str, depth: int = 6, leaf: int = 25, seed: int = 42):
+    """One tree by weighted Gini impurity; candidate thresholds are seven for each feature, at its quantiles."""
+    return DecisionTreeClassifier(featuresCol="features", labelCol=target, weightCol="weight", maxDepth=depth, minInstancesPerNode=leaf, maxBins=8, seed=seed).fit(_vector(with_balance(train, target), cols))
+
+
 def forest(train: DataFrame, cols: list[str], target: str, trees: int = 45, depth: int = 6, leaf: int = 25, seed: int = 42):
     subset = str(max(3, round(len(cols) ** 0.5 * 1.3)))
     return RandomForestClassifier(featuresCol="features", labelCol=target, weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy=subset if int(subset) <= len(cols) else "all", seed=seed).fit(_vector(with_balance(train, target), cols))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +12,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: bool = True) -> DataFrame:
-    """Rows of both, one for each key; a new row replaces an old one, or is ignored."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], replace: bool = True, order: list[str] | None = None) -> DataFrame:
+    """Rows of both, one for each key; a new row replaces an old one, or is ignored. Of new rows with one key the last in order
+    counts if they replace, else the first; without an order, in that of all their columns."""
+    order = order or [c for c in new.columns if c not in keys]
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return keep_first(both, keys, [F.desc("_new") if replace else F.asc("_new")]).drop("_new")
+    sort = (F.desc_nulls_last if replace else F.asc_nulls_first)
+    return keep_first(both, keys, [F.desc("_new") if replace else F.asc("_new"), *[sort(c) for c in order]]).drop("_new")
 
 
 def not_loaded(new: DataFrame, loaded: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,9 +97,33 @@ def prior_count(df: DataFrame, key: str, order: list[str], name: str) -> DataFra
 
 
 def unique_suffix(df: DataFrame, candidate: str, order: str, name: str) -> DataFrame:
-    """Colliding names get _2, _3 and so on in order."""
-    k = F.row_number().over(Window.partitionBy(candidate).orderBy(order))
-    return df.withColumn(name, F.when(k > 1, F.concat_ws("_", F.col(candidate), k.cast("string"))).otherwise(F.col(candidate)))
+    """df with a unique name: rows are taken in order, and one whose candidate is in use gets the first free one of _2, _3 and so on.
+
+    Most candidates have no other that looks like them with a suffix, and there a rank is enough. Candidates that differ only in
+    numbers at their ends are gone through one after another, family by family.
+    """
+    rows = df.withColumns({"_root": F.regexp_replace(candidate, "(_[0-9]+)+$", ""), "_c": F.col(candidate)})
+    families = rows.groupBy("_root").agg((F.min("_c") != F.max("_c")).alias("_mixed"))
+    marked = rows.join(families, "_root")
+    k = F.row_number().over(Window.partitionBy("_c").orderBy(order))
+    plain = marked.where("NOT _mixed").withColumn(name, F.when(k > 1, F.concat_ws("_", F.col("_c"), k.cast("string"))).otherwise(F.col("_c"))).drop("_root", "_c", "_mixed")
+
+    names = plain.columns
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        used, following, out = set(), {}, []
+        rows = rows.sort_values(order)
+        for c in rows["_c"]:
+            at, new = following.get(c, 2), c
+            while new in used:
+                new, at = f"{c}_{at}", at + 1
+            following[c] = at
+            used.add(new)
+            out.append(new)
+        return rows.assign(**{name: out})[names]
+
+    mixed = marked.where("_mixed").groupBy("_root").applyInPandas(settle, plain.schema)
+    return plain.unionByName(mixed)
 
 
 def purge(tables: dict[str, tuple[DataFrame, str]], bad: DataFrame, key: str) -> dict[str, DataFrame]:
@@ -103,7 +131,15 @@ def purge(tables: dict[str, tuple[DataFrame, str]], bad: DataFrame, key: str) ->
     return {n: df.join(bad.select(F.col(key).alias("_b")), F.col(c) == F.col("_b"), "left_anti") for n, (df, c) in tables.items()}
 
 
+def merged_aliases(aliases: DataFrame, entries: DataFrame, horses: DataFrame, pedigree: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, horses, pedigree) after horses that turned out to be one: entries go to the id that stays, the rows of the old
+    ids go. aliases: (old_id, id), each old_id once."""
+    old = aliases.select(F.col("old_id").alias(key))
+    return repoint(entries, aliases, key), horses.join(old, key, "left_anti"), pedigree.join(old, key, "left_anti")
+
+
 def repoint(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
     """df with old ids replaced; aliases: (old_id, id)."""
     names = df.columns
-    return df.join(aliases, df[column] == aliases["old_id"], "left").withColumn(column, F.coalesce("id", column)).select(*names)
+    table = aliases.select(F.col("old_id").alias("_old"), F.col("id").alias("_new"))
+    return df.join(table, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).select(*names)

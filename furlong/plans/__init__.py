@@ -42,23 +42,23 @@ def _n(cond):
 
 
 @query("""SELECT sire, COUNT(*)::BIGINT AS total_entries, COUNT(DISTINCT runner)::BIGINT AS unique_progeny, COUNT(*) FILTER (position = 1)::BIGINT AS wins, COUNT(*) FILTER (position = 1 AND grade = 'G1')::BIGINT AS g1_wins,
-COUNT(*) FILTER (position <= 3)::BIGINT AS podiums, ROUND(100.0::DOUBLE * COUNT(*) FILTER (position = 1) / COUNT(*), 6) AS win_rate_pct, ROUND(100.0::DOUBLE * COUNT(*) FILTER (position <= 3) / COUNT(*), 6) AS podium_rate_pct,
+COUNT(*) FILTER (position <= 3)::BIGINT AS podiums, ROUND(100.0::DOUBLE * COUNT(*) FILTER (position = 1) / COUNT(*), 2) AS win_rate_pct, ROUND(100.0::DOUBLE * COUNT(*) FILTER (position <= 3) / COUNT(*), 2) AS podium_rate_pct, ROUND(100.0::DOUBLE * COUNT(*) FILTER (surface = 'Turf') / COUNT(*), 1) AS turf_share_pct,
 COUNT(*) FILTER (surface = 'Turf')::BIGINT AS turf_entries, COUNT(*) FILTER (surface = 'Dirt')::BIGINT AS dirt_entries, COUNT(*) FILTER (surface = 'Obstacle')::BIGINT AS obstacle_entries,
-ROUND(AVG(distance), 6) AS avg_distance_m, ROUND(AVG(CASE WHEN position = 1 THEN distance END), 6) AS avg_winning_distance_m FROM ran JOIN pedigree USING (runner) WHERE position < 90 AND sire <> '' GROUP BY sire HAVING COUNT(*) >= 50""")
+ROUND(AVG(distance), 1) AS avg_distance_m, ROUND(AVG(CASE WHEN position = 1 THEN distance END), 1) AS avg_winning_distance_m FROM ran JOIN pedigree USING (runner) WHERE position < 90 AND sire <> '' GROUP BY sire HAVING COUNT(*) >= 50""")
 def sire_specialisation(s, d):
     rows = B.ran(s, d).where("position < 90").join(B.pedigree(s, d).where(~S.is_blank(F.col("sire"))), "runner")
     won, podium = F.col("position") == 1, F.col("position") <= 3
     out = rows.groupBy("sire").agg(F.count("*").alias("total_entries"), F.countDistinct("runner").alias("unique_progeny"), _n(won).alias("wins"), _n(won & (F.col("grade") == "G1")).alias("g1_wins"), _n(podium).alias("podiums"),
-        *[_n(F.col("surface") == x).alias(f"{x.lower()}_entries") for x in ("Turf", "Dirt", "Obstacle")], r6(F.avg("distance"), "avg_distance_m"), r6(F.avg(F.when(won, F.col("distance"))), "avg_winning_distance_m")).where("total_entries >= 50")
-    pct = lambda c: r6(100.0 * F.col(c) / F.col("total_entries"), {"wins": "win_rate_pct", "podiums": "podium_rate_pct"}[c])
-    return out.select("*", pct("wins"), pct("podiums")).orderBy(F.desc("wins"), F.desc("total_entries"), "sire")
+        *[_n(F.col("surface") == x).alias(f"{x.lower()}_entries") for x in ("Turf", "Dirt", "Obstacle")], F.round(F.avg("distance"), 1).alias("avg_distance_m"), F.round(F.avg(F.when(won, F.col("distance"))), 1).alias("avg_winning_distance_m")).where("total_entries >= 50")
+    pct = lambda c, name, digits: F.round(100.0 * F.col(c) / F.col("total_entries"), digits).alias(name)
+    return out.select("*", pct("wins", "win_rate_pct", 2), pct("podiums", "podium_rate_pct", 2), pct("turf_entries", "turf_share_pct", 1)).orderBy(F.desc("wins"), F.desc("total_entries"), "sire")
 
 
-@query("""SELECT runner, COUNT(*)::BIGINT AS starts, COUNT(*) FILTER (position = 1)::BIGINT AS wins, COUNT(*) FILTER (position = 2 AND grade = 'G1')::BIGINT AS g1_seconds, COUNT(*) FILTER (position <= 3 AND grade = 'G1')::BIGINT AS g1_podiums,
+@query("""SELECT runner, COUNT(*)::BIGINT AS starts, COUNT(*) FILTER (position = 1)::BIGINT AS wins, COUNT(*) FILTER (position = 1 AND grade = 'G1')::BIGINT AS g1_wins, COUNT(*) FILTER (position = 2 AND grade = 'G1')::BIGINT AS g1_seconds, COUNT(*) FILTER (position <= 3 AND grade = 'G1')::BIGINT AS g1_podiums, COUNT(*) FILTER (position <= 3)::BIGINT AS podiums,
 ROUND(AVG(year))::INTEGER AS peak_year, CASE WHEN ROUND(AVG(year)) <= 1997 THEN 'early' ELSE 'late' END AS half FROM ran WHERE position < 90 GROUP BY runner""")
 def horse_stats(s, d):
     g1 = F.col("grade") == "G1"
-    out = B.ran(s, d).where("position < 90").groupBy("runner").agg(F.count("*").alias("starts"), _n(F.col("position") == 1).alias("wins"), _n((F.col("position") == 2) & g1).alias("g1_seconds"), _n((F.col("position") <= 3) & g1).alias("g1_podiums"), F.round(F.avg("year")).cast("int").alias("y"))
+    out = B.ran(s, d).where("position < 90").groupBy("runner").agg(F.count("*").alias("starts"), _n(F.col("position") == 1).alias("wins"), _n((F.col("position") == 1) & g1).alias("g1_wins"), _n((F.col("position") == 2) & g1).alias("g1_seconds"), _n((F.col("position") <= 3) & g1).alias("g1_podiums"), _n(F.col("position") <= 3).alias("podiums"), F.round(F.avg("year")).cast("int").alias("y"))
     return out.withColumn("peak_year", S.peak_year(F.col("y"), F.lit(None).cast("int"))).withColumn("half", F.when(F.col("peak_year") <= 1997, "early").otherwise("late")).drop("y")
 
 
@@ -235,9 +235,11 @@ def inbreeding(s, d):
     return G.inbreeding(B.tree(s, d)).select("horse", F.round("fx", 9).alias("fx"), big("crosses", "crosses"))
 
 
-@query(f", {_CROSS} SELECT ancestor, COUNT(*)::BIGINT AS crosses FROM cross2 GROUP BY ancestor ORDER BY crosses DESC, ancestor LIMIT 30")
+@query(f", {_CROSS} SELECT ancestor, COUNT(*)::BIGINT AS crosses, COALESCE(SUM(w), 0)::BIGINT AS wins FROM cross2 LEFT JOIN (SELECT runner AS horse, COUNT(*) AS w FROM ran WHERE position = 1 GROUP BY runner) USING (horse) GROUP BY ancestor ORDER BY crosses DESC, ancestor LIMIT 30")
 def frequent_crosses(s, d):
-    return G.top(G.crosses(B.tree(s, d)).groupBy("ancestor").agg(F.count("*").alias("crosses")), "crosses", ["ancestor"], 30)
+    wins = B.ran(s, d).where("position = 1").groupBy(F.col("runner").alias("horse")).agg(F.count("*").alias("w"))
+    rows = G.crosses(B.tree(s, d)).join(wins, "horse", "left").groupBy("ancestor").agg(F.count("*").alias("crosses"), F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("wins"))
+    return G.top(rows, "crosses", ["ancestor"], 30)
 
 
 @query("""SELECT DISTINCT CASE WHEN length(t.line) = 1 THEN t.horse ELSE c.ancestor END AS child, t.ancestor AS parent, (CASE length(t.line) WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END)::INTEGER AS weight FROM tree t LEFT JOIN tree c ON c.horse = t.horse AND c.line = left(t.line, -1)
@@ -350,62 +352,10 @@ def silhouette(s, d):
     return M.silhouette(B.table(s, d, "embeddings"), "vec_id", "embedding", "label").select(F.round("silhouette", 4).alias("silhouette"))
 
 
-def _sires(s, d):
-    t = sire_specialisation(s, d)
-    return t.select("sire", *[F.col(c).cast("double") for c in ("win_rate_pct", "podium_rate_pct", "avg_distance_m", "unique_progeny")], (100.0 * F.col("turf_entries") / F.col("total_entries")).alias("turf_share"))
-
-
-CLUSTER = ["win_rate_pct", "podium_rate_pct", "avg_distance_m", "turf_share"]
-
-
-@query()
-def sire_clusters(s, d):
-    z = M.zscores(_sires(s, d), CLUSTER)
-    out = M.kmeans(M.pca2(z, CLUSTER)[0], CLUSTER, 4)
-    names = M.centroid_names(out, "cluster", [("win_rate_pct", "Elite", True), ("avg_distance_m", "Stamina", True), ("turf_share", "Turf", True), ("podium_rate_pct", "Other", False)])
-    return out.join(names, "cluster")
-
-
-@query()
-def sire_k_sweep(s, d):
-    """The silhouette of 2 to 7 clusters of sires."""
-    z, out = M.zscores(_sires(s, d), CLUSTER), None
-    for k in range(2, 8):
-        row = M.silhouette(M.kmeans(z, CLUSTER, k).withColumn("x", F.array(*CLUSTER)), "sire", "x", "cluster").select(F.lit(k).alias("k"), "silhouette")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-FEATURES = ["horse_rate", "jockey_rate", "sire_rate", "starts", "distance", "g1"]
-
-
-def _features(s, d):
-    rows = B.ran(s, d).join(B.pedigree(s, d), "runner", "left").withColumn("y", S.indicator(F.col("position") <= 2))
-    order = ["year", "race", "runner"]
-    for key, w, name in (("runner", 3, "horse_rate"), ("jockey", 15, "jockey_rate"), ("sire", 20, "sire_rate")):
-        rows = R.prior_rate(rows, key, "y", order, w, name)
-    return R.prior_count(rows, "runner", order, "starts").withColumn("g1", S.indicator(F.col("grade") == "G1"))
-
-
-@query()
-def classifiers(s, d):
-    """Out-of-time scores of the three models."""
-    parts = M.temporal_split(_features(s, d), "year", 1998, 1999)
-    train = M.medians_filled(parts["train"], FEATURES)
-    train, test = (M.zscores(M.medians_filled(parts[k], FEATURES, parts["train"]), FEATURES, train) for k in ("train", "test"))
-    log, rf = M.logistic(train, FEATURES, "y"), M.forest(train, FEATURES, "y")
-    both = M.scored(rf, M.scored(log, test, FEATURES, "logistic"), FEATURES, "forest")
-    both = both.withColumn("baseline", F.lit(train.agg(F.avg("y")).head()[0] or 0.0))
-    out = None
-    for m in ("baseline", "logistic", "forest"):
-        row = T.binary_metrics(both, "y", m, 0.5 if m == "baseline" else 0.52).crossJoin(T.roc_auc(both, "y", m)).withColumn("model", F.lit(m))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def orphans(s, d):
-    return R.orphans(B.table(s, d, "customer"), B.table(s, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+    """Customers without an urgent order."""
+    return R.orphans(B.table(s, d, "customer"), B.table(s, d, "orders").where("o_orderpriority = '1-URGENT'"), "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON c_custkey = o_custkey")
@@ -464,17 +414,8 @@ def underdogs(s, d):
     return G.top(rows.where("wins = 0 AND podiums >= 2"), "podiums", ["runner"], 50).select("runner", "starts", "podiums")
 
 
-@query()
-def horse_metadata(s, d):
-    """The node table: results, inbreeding, weighted degree, PageRank and role of each runner."""
-    stats, fx = horse_stats(s, d), G.inbreeding(B.tree(s, d)).withColumnRenamed("horse", "runner")
-    born = G.dag_edges(B.tree(s, d)).groupBy(F.col("parent").alias("runner")).agg(F.count("*").alias("progeny"))
-    met, nodes = G.meetings(B.ran(s, d)), B.pedigree(s, d).select(F.col("runner").alias("node")).distinct()
-    degrees, ranks = (x.withColumnRenamed("node", "runner") for x in (G.degree(G.undirected(met), nodes), G.pagerank(G.prestige(met), nodes)))
-    out = B.pedigree(s, d)
-    for more in (stats, fx, born, degrees, ranks.withColumnRenamed("rank", "pagerank")):
-        out = out.join(more, "runner", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.withColumns({"fx_pct": S.round_even(100 * zero(F.col("fx")), 3), "sire": S.or_unknown(F.col("sire")), "role": S.role(zero(F.col("g1_podiums")), zero(F.col("starts")), zero(F.col("progeny"))), "era": S.era(F.col("peak_year"))})
-
+from . import mart, text  # noqa: E402
 
+for part in (mart, text):
+    QUERIES.update(part.QUERIES)
+    SQL.update(part.SQL)

@@ -27,6 +27,15 @@ def pedigree(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("runner"), F.col("p_brand").alias("sire"), F.col("p_type").alias("dam"), F.col("p_size").alias("birth"))
 
 
+def horses(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles and parents: every fifth horse has no colour, every seventh no sex, and one in eleven no year of birth."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select(
+        p.alias("runner"), F.when(p % 7 == 0, "").when(p % 2 == 0, "Male").otherwise("Female").alias("sex"), F.when(p % 11 == 0, 0).otherwise(1985 + size % 12).cast("int").alias("birth_year"),
+        F.when(p % 5 == 0, "").otherwise(F.col("p_type")).alias("color"), (F.round(F.col("p_retailprice") * 100).cast("long") * 10000).alias("total_earnings"),
+        F.when(p % 13 == 0, "").otherwise(F.col("p_brand")).alias("sire"), F.col("p_name").alias("dam"), F.col("p_type").alias("dam_sire"))
+
+
 def tree(spark: SparkSession, d: str, depth: int = 5) -> DataFrame:
     """(horse, line, ancestor): the sire of part p is p div 2, its dam p div 3, as long as that is at least 1."""
     level = table(spark, d, "part").select(F.col("p_partkey").alias("horse"), F.lit("").alias("line"), F.col("p_partkey").alias("ancestor"))
@@ -56,6 +65,8 @@ races AS (SELECT o_orderkey AS race, o_custkey AS stable, year(o_orderdate)::INT
   CASE o_orderstatus WHEN 'F' THEN 'Turf' WHEN 'O' THEN 'Dirt' ELSE 'Obstacle' END AS surface, 1000 + 200 * (o_orderkey % 13) AS distance FROM orders),
 pedigree AS (SELECT p_partkey AS runner, p_brand AS sire, p_type AS dam, p_size AS birth FROM part),
 ran AS (SELECT * FROM entries JOIN races USING (race)),
+horses AS (SELECT p_partkey AS runner, CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS sex, (CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 1985 + p_size % 12 END)::INTEGER AS birth_year,
+  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END AS color, ROUND(p_retailprice * 100)::BIGINT * 10000 AS total_earnings, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_brand END AS sire, p_name AS dam, p_type AS dam_sire FROM part),
 tree AS (WITH RECURSIVE t(horse, line, ancestor) AS (
   SELECT p_partkey, '', p_partkey FROM part
   UNION ALL SELECT horse, line || s, CASE s WHEN 'S' THEN ancestor // 2 ELSE ancestor // 3 END FROM t, (VALUES ('S'), ('D')) v(s)
