@@ -1,17 +1,21 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
-
-The kernel compares two words, with marks at their ends, by the subsequences of three characters that they share; a
-subsequence may skip up to two characters, each at a factor of DECAY, so an insult with gaps or inserted characters stays
-close to itself. A sentence is as toxic as its worst word, a text as its worst sentence. Labels are for texts, so the
-machine learns which words bear them: it starts from words that toxic texts have and clean ones lack, and then alternates
-between fitting and choosing the worst word of each toxic text. The fitted function is a sum of kernels with the landmarks;
-scoring looks a word's subsequences up in the table of theirs, once for each distinct word.
+"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks, trained on sentences.
+
+Two words, with marks at their ends, are compared by the subsequences of three characters that they share; a subsequence may
+skip up to two characters, each at a factor of DECAY, so an insult with gaps or inserted characters stays close to itself. Two
+sentences are compared by the sum of this over the pairs of their distinct words, a convolution kernel; sentences of more than
+WINDOW words count as several. Seen through the landmarks, a sentence is the sum of its words' kernels with them, and the
+machine is a linear one on these sums.
+
+Labels are for texts: all sentences of clean texts are clean, and each toxic text has at least one toxic sentence. The machine
+learns which: it starts from the sentence with the word that most tells toxic from clean texts, and alternates between fitting
+and choosing the worst sentence of each toxic text and the clean sentences that are hardest. A text is as toxic as its worst
+sentence. Probabilities are fitted to texts that were held back. Scoring sums the values of a sentence's words, which are
+computed once for each distinct word.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +27,14 @@ from . import common, quality
 
 DECAY = 0.5
 STEPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
-SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 OTHER = re.compile(r"[\W\d_]+")
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 LONGEST = 24
+WINDOW = 32
+ROUNDS = 3
 SHARP = 6.0
+EMPTY = -9.0
+MARGIN = 1.5
 
 
 def pieces(word: str) -> list[str]:
@@ -39,24 +46,43 @@ def pieces(word: str) -> list[str]:
     return [whole[k : k + LONGEST] for k in range(0, len(whole) - LONGEST // 2, LONGEST // 2)]
 
 
-def words(text: str) -> list[str]:
-    """Lower-case words, each also without its non-letters; three or more short ones in a row, whatever the blanks and signs
-    between them, also count as the word they spell."""
-    found = text.lower().split()
-    more, runs = [], ([], [])
-    for w in [*found, "end"]:
-        bare = w if w.isalpha() else OTHER.sub("", w)
-        if len(bare) > 1 and bare != w:
-            more.append(bare)
+def sentences(text: str) -> list[list[str]]:
+    """The sentences of a text as lists of lower-case words without signs at their ends; of more than WINDOW words, several.
+
+    Words with signs inside also count without them, and three or more short words in a row, whatever the blanks and signs
+    between them, as the word that they spell; these stand in sentences of their own.
+    """
+    out, now, more, ones, twos = [], [], [], [], []
+    for w in text.lower().split():
+        if w.isalpha():
+            bare, last = w, False
+            now.append(w)
+        else:
+            plain, bare, last = ENDS.sub("", w), OTHER.sub("", w), w[-1] in ".!?"
+            if plain:
+                now.append(plain)
+            if len(bare) > 1 and bare != plain:
+                more.append(bare)
         # runs of single letters, and of words of at most two
-        for most, run in enumerate(runs, 1):
-            if len(bare) <= most:
-                run.append(bare)
-            elif run:
-                if len(run) > 2:
-                    more.append("".join(run))
-                run.clear()
-    return found + more
+        if len(bare) <= 2:
+            twos.append(bare)
+        elif twos:
+            if len(twos) > 2:
+                more.append("".join(twos))
+            twos = []
+        if len(bare) <= 1:
+            ones.append(bare)
+        elif ones:
+            if len(ones) > 2:
+                more.append("".join(ones))
+            ones = []
+        if last or len(now) >= WINDOW:
+            out.append(now)
+            now = []
+    more += ["".join(run) for run in (ones, twos) if len(run) > 2]
+    out.append(now)
+    out += [more[k : k + WINDOW] for k in range(0, len(more), WINDOW)]
+    return [x for x in out if x]
 
 
 def occurrences(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +121,7 @@ class Kernel:
     """Kernels of strings with the landmarks: exp(SHARP (k - 1)) of the normalised subsequence kernel k, itself a kernel."""
 
     def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
         keys, value = summed(landmarks)
         self.table = np.unique(keys[value > 0])
         self.dense = np.zeros((len(self.table) + 1, len(landmarks)))
@@ -132,30 +159,81 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1
     return w
 
 
+class Bags:
+    """Sentences of texts as pairs of sentence and word numbers."""
+
+    def __init__(self, texts: list[str]):
+        names: dict[str, int] = {}
+        self.text_of, sent, word = [], [], []
+        for k, t in enumerate(texts):
+            for s in sentences(t):
+                own = {names.setdefault(p, len(names)) for w in s for p in pieces(w)}
+                sent += [len(self.text_of)] * len(own)
+                word += own
+                self.text_of.append(k)
+        self.words, self.texts = list(names), len(texts)
+        self.sent, self.word, self.text_of = np.array(sent, np.int64), np.array(word, np.int64), np.array(self.text_of, np.int64)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of each sentence, the sum of its words' values."""
+        return np.bincount(self.sent, values[self.word], len(self.text_of))
+
+    def worst(self, values: np.ndarray) -> np.ndarray:
+        """Of each text, the place of the sentence with the highest value; -1 without one."""
+        out = np.full(self.texts, -1)
+        order = np.argsort(values, kind="stable")
+        out[self.text_of[order]] = order
+        return out
+
+    def seen(self, kernel: Kernel, some: np.ndarray) -> np.ndarray:
+        """Some sentences through the landmarks."""
+        place = np.full(len(self.text_of), -1)
+        place[some] = np.arange(len(some))
+        on = place[self.sent] >= 0
+        rows, words = place[self.sent[on]], self.word[on]
+        used, at = np.unique(words, return_inverse=True)
+        k = kernel([self.words[w] for w in used])
+        order = np.argsort(rows, kind="stable")
+        out = np.zeros((len(some), k.shape[1]))
+        rows, at = rows[order], at[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+        for j in range(0, len(first), 4000):
+            lo, hi = first[j], first[j + 4000] if j + 4000 < len(first) else len(rows)
+            out[rows[first[j : j + 4000]]] = np.add.reduceat(k[at[lo:hi]], first[j : j + 4000] - lo, axis=0)
+        return out
+
+
 class Machine:
-    def __init__(self, rows: list[tuple[str, int]], landmarks: int = 96, counts: dict[int, int] | None = None):
+    def __init__(self, rows: list[tuple[str, int]], landmarks: int = 144, counts: dict[int, int] | None = None, active: int = 6000):
         """rows: (text, label). Without rows of both labels every score is that of the one label, or 0 without any.
 
         counts: how many texts of each label those of rows stand for (if not given, themselves); the probabilities follow them.
+        active: how many clean sentences take part in a fit: half of them drawn, half those that scored highest in the fit before,
+        of all that there are.
         """
         self.cache: dict[str, float] = {}
         self.only = None if {y for _, y in rows} == {0, 1} else float(rows[0][1]) if rows else 0.0
-        bags = [(sorted({p for s in SENTENCE.split(t) for w in words(s) for p in pieces(w)}), y) for t, y in rows] if self.only is None else []
-        bags = [(b, y) for b, y in bags if b]
-        if self.only is None and {y for _, y in bags} != {0, 1}:
-            self.only = 0.0
         if self.only is not None:
             return
-        bad, good = Counter(), Counter()
-        for b, y in bags:
-            (bad if y else good).update(b)
-        n = [max(1, sum(y == c for _, y in bags)) for c in (0, 1)]
-        odds = lambda w: np.log((bad[w] + 0.1) / n[1]) - np.log((good[w] + 0.1) / n[0])
-        rank = {w: odds(w) * np.sqrt(bad[w]) for w in bad}
-        best = sorted(rank, key=lambda w: (-rank[w], w))[: landmarks * 3]
-        usual = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[: landmarks // 4]]
+        y = np.array([y for _, y in rows])
+        nth = np.array([(y[:k] == v).sum() for k, v in enumerate(y)])
+        held = (nth % 5 == 4) if min((y == 0).sum(), (y == 1).sum()) >= 20 else np.zeros(len(y), bool)
+        bags = Bags([t for (t, _), h in zip(rows, held) if not h])
+        label = y[~held]
+        if not (label[bags.text_of] == 1).any():
+            self.only = 0.0
+            return
+        text_word = np.unique(np.stack([bags.text_of[bags.sent], bags.word]), axis=1)
+        bad, good = (np.bincount(text_word[1][label[text_word[0]] == v], minlength=len(bags.words)) for v in (1, 0))
+        n = [max(1, int((label == v).sum())) for v in (0, 1)]
+        odds = np.log((bad + 0.1) / n[1]) - np.log((good + 0.1) / n[0])
+        rank = np.where(bad > 0, odds * np.sqrt(bad), -99.0)
+        named = lambda at: [bags.words[k] for k in at]
+        by = lambda x, on: [k for k in np.lexsort((np.array(bags.words), -x)) if on[k]]
+        best = named(by(rank, bad > 0)[: landmarks * 3])
+        often = named(by(good.astype(float), good > 0))
         marks = self._spread(best, landmarks // 2)
-        often = [w for w in sorted(good, key=lambda w: (-good[w], w))[:20000] if w not in set(usual)]
+        usual = often[: landmarks // 4]
         like = Kernel(marks)(often).max(1)
         # clean words close to the worst ones, so that the border between them can be drawn
         usual += self._spread([often[k] for k in np.argsort(-like, kind="stable")[:200]], landmarks // 4)
@@ -163,33 +241,36 @@ class Machine:
         kernel = Kernel(marks)
         value, vector = np.linalg.eigh(kernel(marks))
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T  # K^(-1/2)
-        view = lambda s: np.c_[kernel(s) @ root, np.ones(len(s))]
-        least = max(3.0, 0.015 * n[1])
-        witness = {w for w in bad if bad[w] >= least and odds(w) > 2.5}
-        chosen = [set(b) & witness for b, y in bags if y]
-        clean = sorted(good, key=lambda w: (-good[w], w))
-        clean = [*clean[:8000], *(clean[k] for k in np.random.default_rng(7).permutation(np.arange(8000, len(clean)))[:8000])]
-        clean = [w for w in clean if w not in witness]
-        for _ in range(3):
-            toxic = Counter(w for c in chosen for w in c)
-            if not toxic:
-                toxic = Counter(best[:1])
-            names = [*toxic, *clean]
-            y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
-            weight = np.r_[[v * (1.0 if w in witness else 0.3) for w, v in toxic.items()], [good[w] ** 0.5 for w in clean]]
-            for c in (1, -1):
-                weight[y == c] *= (1000 if c > 0 else 6000) / weight[y == c].sum()
-            w = squared_hinge(view(names), y, weight)
+        clean = np.flatnonzero(label[bags.text_of] == 0)
+        drawn = np.random.default_rng(7).permutation(clean)[: active // 2]
+        strong = (bad >= max(3.0, 0.015 * n[1])) & (odds > 2.5)
+        marked = np.zeros(len(bags.text_of), bool)
+        marked[bags.sent[strong[bags.word]]] = True
+        seeds = np.flatnonzero(marked & (label[bags.text_of] == 1))
+        seeded = np.bincount(bags.text_of[seeds], minlength=bags.texts)
+        score = np.full(len(bags.text_of), -99.0)
+        np.maximum.at(score, bags.sent, rank[bags.word])
+        hard = drawn[:0]
+        for _ in range(ROUNDS):
+            # toxic texts without a telling word take part with their worst sentence, and count little until it scores as toxic
+            others = bags.worst(score)[(label == 1) & (seeded == 0)]
+            others = others[others >= 0]
+            some = np.r_[seeds, others, np.union1d(drawn, hard)]
+            sign = np.r_[np.ones(len(seeds) + len(others)), -np.ones(len(some) - len(seeds) - len(others))]
+            weight = np.r_[1.0 / seeded[bags.text_of[seeds]], np.where(score[others] > 0, 0.5, 0.05), np.ones(len(some) - len(seeds) - len(others))]
+            for c, total in ((1, 1000), (-1, 6000)):
+                weight[sign == c] *= total / max(weight[sign == c].sum(), 1e-9)
+            x = np.c_[bags.seen(kernel, some) @ root, np.ones(len(some))]
+            w = squared_hinge(x, sign, weight)
             self._linear(kernel, root @ w[:-1], w[-1])
-            rest = sorted(set(good).difference(clean, witness))
-            f = self.values(rest) if rest else np.zeros(0)
-            clean += [rest[k] for k in np.argsort(-f, kind="stable")[:3000] if f[k] > -0.5]
-            new = sorted({w for b, y in bags if y and not witness & set(b) for w in b if w not in good})
-            known = dict(zip(new, self.values(new).tolist())) if new else {}
-            chosen = [set(b) & witness or set(sorted((w for w in b if w in known), key=lambda w: (-known[w], w))[:1]) for b, y in bags if y]
-        tops = np.array([self.values(b).max() for b, _ in bags])
-        y = np.array([y for _, y in bags], float)
-        self._platt(tops, y, quality.weights(y, counts))
+            score = bags.sums(self.values(bags.words)) + self.bias
+            hard = clean[np.argsort(-score[clean], kind="stable")[: active // 2]]
+        if held.any():
+            tops, label = np.array(self.tops([t for (t, _), h in zip(rows, held) if h])), y[held]
+        else:
+            at = bags.worst(score)
+            tops = np.where(at >= 0, score[at], EMPTY)
+        self._platt(np.clip(tops, -MARGIN, MARGIN), label.astype(float), quality.weights(label, counts))
         self.cache.clear()
 
     @staticmethod
@@ -227,36 +308,38 @@ class Machine:
         return self.cache[piece]
 
     def values(self, strings: list[str]) -> np.ndarray:
-        return self.kernel(strings) @ self.beta + self.bias
+        """What each word adds to its sentence's score."""
+        return self.kernel(strings) @ self.beta
 
     def learn(self, unknown: list[str]) -> None:
-        """Puts words in the cache, which is of bounded size."""
+        """Puts words in the cache; a word in several pieces has the value of its worst one."""
         cut = [pieces(w) for w in unknown]
         flat = sorted({p for c in cut for p in c}, key=len)
         known = dict(zip(flat, self.values(flat).tolist())) if flat else {}
-        if len(self.cache) > 400_000:
-            self.cache.clear()
         for w, c in zip(unknown, cut):
-            self.cache[w] = max((known[p] for p in c), default=-9.0)
+            self.cache[w] = max((known[p] for p in c), default=0.0)
+
+    def tops(self, texts: list[str]) -> list[float]:
+        """The score of each text's worst sentence."""
+        out: list[float] = []
+        for at in range(0, len(texts), 64):
+            if len(self.cache) > 300_000:  # bounds the cache; what goes is computed again
+                self.cache.clear()
+            some = [list(map(set, sentences(t))) for t in texts[at : at + 64]]
+            unknown = {w for t in some for s in t for w in s}.difference(self.cache)
+            if unknown:
+                self.learn(list(unknown))
+            of = self.cache.__getitem__
+            out += [max((sum(map(of, s)) for s in t), default=EMPTY - self.bias) + self.bias for t in some]
+        return out
 
     def scores(self, texts: list[str]) -> list[float]:
         if self.only is not None:
             return [self.only] * len(texts)
-        bags = [words(t) for t in texts]
-        if len(self.cache) > 300_000:
-            self.cache.clear()
-        for at in range(0, len(bags), 64):
-            some = bags[at : at + 64]
-            unknown = {w for b in some for w in b}.difference(self.cache)
-            if unknown:
-                keep = {w: self.cache[w] for b in some for w in b if w in self.cache} if len(self.cache) > 400_000 else None
-                self.learn(list(unknown))
-                self.cache.update(keep or {})
-            bags[at : at + 64] = [max(map(self.cache.__getitem__, b), default=-9.0) for b in some]
-        return (1 / (1 + np.exp(-np.clip(self.slope * np.array(bags) + self.shift, -30, 30)))).tolist()
+        return (1 / (1 + np.exp(-np.clip(self.slope * np.clip(self.tops(texts), -MARGIN, MARGIN) + self.shift, -30, 30)))).tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed, per_class: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, allowed, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Fitted on a bounded sample of labelled rows, at most per_class of each label, with the probabilities of all of them."""
     rows, counts = quality.sample(docs, labels, "toxic", allowed, per_class, id_col, text_col)
     return Machine(rows, counts=counts)

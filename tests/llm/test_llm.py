@@ -427,7 +427,7 @@ def test_toxicity_sees_through_inserted_characters(spark):
     rows = labelled(spark, 7).select("text", "toxic").collect()
     model = toxicity.Machine([(r.text, r.toxic) for r in rows])
     plain, *hidden = model.scores([f"such an {w} here" for w in ("idiot", "i.d.i.o.t", "i..d..i..o..t", "i-*d-*i-*o-*t", "i  d  i  o  t", "i - d - i - o - t", "i. d. i. o. t.")])
-    assert plain >= 0.3 and min(hidden) == plain
+    assert plain >= 0.3 and min(hidden) >= 0.3 and plain - min(hidden) < 0.1  # sums over sentences that differ in their other words
     assert max(model.scores(["the river of stone", "the r.i.v.e.r of stone"])) < 0.3
 
 
@@ -451,6 +451,40 @@ def test_platt_follows_the_true_counts():
     assert abs(at(whole) - at(part)) < 0.05
 
 
+def subsequences(word):
+    c = Counter()
+    for i in range(len(word)):
+        for x, y in toxicity.STEPS:
+            if i + y < len(word):
+                c[word[i], word[i + x], word[i + y]] += toxicity.DECAY ** (y - 2)
+    return c
+
+
+def test_scores_are_sums_of_kernels_with_the_landmarks(spark):
+    """The score of a text from its words' subsequences one by one: the worst sentence's sum over its distinct words."""
+    model = toxicity.Machine([(r.text, r.toxic) for r in labelled(spark, 7).select("text", "toxic").collect()])
+    dot = lambda a, b: sum(v * b[k] for k, v in a.items())
+    marks = [(subsequences(m), w) for m, w in zip(model.kernel.landmarks, model.beta)]
+
+    def value(word):
+        a = subsequences(f"^{word}$")
+        return sum(w * np.exp(toxicity.SHARP * (dot(a, b) / np.sqrt(dot(a, a) * dot(b, b)) - 1)) for b, w in marks)
+
+    for text, parts in (("The river and the river. You idiot here!", [["the", "river", "and"], ["you", "idiot", "here"]]), ("such mo-ron stone", [["such", "mo-ron", "stone"], ["moron"]]), ("idixot lamp", [["idixot", "lamp"]])):
+        top = max(sum(map(value, p)) for p in parts) + model.bias
+        want = 1 / (1 + np.exp(-(model.slope * np.clip(top, -toxicity.MARGIN, toxicity.MARGIN) + model.shift)))
+        assert model.scores([text])[0] == pytest.approx(want, abs=1e-6)
+    clean, gap = model.scores(["the river lamp", "the id_xiot lamp"])
+    assert clean < gap
+
+
+def test_sentences():
+    assert toxicity.sentences("One two. THREE, four!\n") == [["one", "two"], ["three", "four"]] and toxicity.sentences("") == [] == toxicity.sentences("...")
+    assert toxicity.sentences("a b c dd") == [["a", "b", "c", "dd"], ["abc", "abcdd"]]
+    long = toxicity.sentences("word " * 100)
+    assert [len(x) for x in long] == [32, 32, 32, 4]
+
+
 def test_kernel_is_the_subsequence_sum():
     def brute(a, b):
         def phi(s):
