@@ -59,8 +59,8 @@ def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 1.25,
     budget: tokens of the mix, as a multiple of all tokens. Tokens are words, runs of other characters than white space. A null
     text counts as empty; rows without tokens cost nothing, take part in each whole pass and in the blocks they fall into. A
     null source is a source of its own. A source's budget is rounded down to a whole token. Equal ids are ordered by text. An
-    empty table gives no rows. blocks: of each source, permuted by a hash of seed and number; only the block in which the
-    budget ends is sorted by document, and the number of blocks is the only bound on that sort.
+    empty table gives no rows. blocks: of each source, permuted by a hash of seed and number; of the block in which the budget
+    ends only one in 65,536 parts, by the leading digits of a hash of the id, is sorted by document.
     """
     base = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("key"), F.col(source_col).cast("string").alias("src"),
@@ -82,10 +82,18 @@ def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 1.25,
     ends = in_blocks.withColumn("upto", F.sum("tokens").over(order)).join(plan, "key", "left").select(
         "key", "block", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce("rest", F.lit(0)).alias("rest"), F.col("upto"), (F.col("upto") - F.col("tokens")).alias("before"))
     rows = base.join(ends, ["key", "block"])
-    within = Window.partitionBy("key", "block").orderBy("h", "id", "digest")
     cut = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("upto"))
     whole = rows.where(~cut).withColumn("extra", (F.col("upto") <= F.col("rest")).cast("int"))
-    part = rows.where(cut).withColumn("extra", (F.col("before") + F.sum("n_tokens").over(within) <= F.col("rest")).cast("int"))
+    # the block in which the budget ends goes by h: first by its leading digits, then row by row where these end
+    cells = rows.where(cut).withColumn("cell", F.substring("h", 1, 4))
+    sums = cells.groupBy("key", "block", "cell").agg(F.sum("n_tokens").alias("own"))
+    sums = sums.withColumn("from", F.sum("own").over(Window.partitionBy("key", "block").orderBy("cell")) - F.col("own"))
+    placed = cells.join(sums, ["key", "block", "cell"]).withColumn("from", F.col("before") + F.col("from"))
+    split = (F.col("from") <= F.col("rest")) & (F.col("rest") < F.col("from") + F.col("own"))
+    within = Window.partitionBy("key", "block", "cell").orderBy("h", "id", "digest")
+    even = placed.where(~split).withColumn("extra", (F.col("from") + F.col("own") <= F.col("rest")).cast("int"))
+    odd = placed.where(split).withColumn("extra", (F.col("from") + F.sum("n_tokens").over(within) <= F.col("rest")).cast("int"))
+    part = even.unionByName(odd).select(*whole.columns)
     return whole.unionByName(part).select(F.col("id").alias(id_col), F.col("src").alias("source"), "n_tokens", F.round("weight", 9).alias("weight"), (F.col("passes") + F.col("extra")).cast("long").alias("copies"), *[F.col("digest").alias("text_md5")] * with_md5)
 
 
