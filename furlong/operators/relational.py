@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,21 +65,53 @@ def average_rank(df: DataFrame, value: str, name: str, keys: list[str] = ()) ->
     return df.join(ranks.select(*keys, value, name), [*keys, value])
 
 
-def running_total(df: DataFrame, order: list[Column], value: str, name: str, parts: int = 64) -> DataFrame:
-    """df with the running total of a column in a total order of the whole table: rows are dealt in ranges, each range is summed
-    by itself, and the sums of the ranges before it are added."""
+def dealt(df: DataFrame, order: list[Column], name: str = "_part") -> DataFrame:
+    """df with the number of its range in a total order of the whole table: ranges of about equal size, as many as there are shuffle
+    partitions. The bounds are one broadcast row, looked up in two steps, so the cost follows the root of their number."""
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    step = math.isqrt(parts) + 1
     key = F.struct(*[c.alias(f"_o{k}") for k, c in enumerate(order)]) if len(order) > 1 else order[0]
     head = df.withColumn("_key", key)
-    cuts = head.select("_key").repartitionByRange(parts, "_key").withColumn("_part", F.spark_partition_id()).groupBy("_part").agg(F.min("_key").alias("lo"))
-    edges = cuts.agg(F.sort_array(F.collect_list("lo")).alias("_los"))
-    placed = head.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter("_los", lambda x: x <= F.col("_key")))).drop("_los")
+    cuts = head.select("_key").repartitionByRange(parts, "_key").withColumn("_p", F.spark_partition_id()).groupBy("_p").agg(F.min("_key").alias("lo"))
+    edges = cuts.agg(F.sort_array(F.collect_list("lo")).alias("_los")).withColumn("_tops", F.filter("_los", lambda x, i: i % step == 0))
+    at = F.size(F.filter("_tops", lambda x: x <= F.col("_key")))
+    near = F.slice("_los", (F.greatest(at, F.lit(1)) - 1) * step + 1, F.lit(step))
+    found = F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + F.size(F.filter(near, lambda x: x <= F.col("_key"))))
+    return head.crossJoin(F.broadcast(edges)).withColumn(name, found).drop("_los", "_tops")
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the running total of a column in a total order of the whole table: rows are dealt in ranges, each range is summed
+    by itself, and the sums of the ranges before it are added."""
+    placed = dealt(df, order)
     sums = placed.groupBy("_part").agg(F.sum(value).alias("_s"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     inner = F.sum(value).over(Window.partitionBy("_part").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
     return placed.withColumn("_in", inner).join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before", "_part", "_key")
 
 
-def prior_rate(df: DataFrame, key: str, target: str, order: list[str], weight: float, name: str, prior: float = 0.2, strict: str | None = None) -> DataFrame:
+LARGE_KEY = 2_000_000
+
+
+def _earlier(df: DataFrame, key: str, value: Column, order: list[str], most: int) -> DataFrame:
+    """df with _y and _n, the sum of a value and the number of earlier rows of the same key. If a key has more than `most` rows,
+    rows are dealt in ranges of key and order; a range adds what ranges before it have of its first key, so no task sees a whole key."""
+    back = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_v", value)
+    if (rows.groupBy(key).count().agg(F.max("count")).head()[0] or 0) <= most:
+        return rows.withColumns({"_y": F.coalesce(F.sum("_v").over(back(key)), F.lit(0)), "_n": F.count("_v").over(back(key))}).drop("_v")
+    placed = dealt(rows.where(F.col(key).isNotNull()), [F.col(key), *map(F.col, order)]).drop("_key")
+    sums = placed.groupBy("_part", key).agg(F.sum("_v").alias("_ys"), F.count("_v").alias("_ns"))
+    w = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # only the first key of a range can have come before it, so these are no more rows than ranges
+    before = sums.select("_part", key, F.sum("_ys").over(w).alias("_yb"), F.sum("_ns").over(w).alias("_nb")).where("_nb IS NOT NULL")
+    out = placed.withColumns({"_y": F.sum("_v").over(back("_part", key)), "_n": F.count("_v").over(back("_part", key))}).join(F.broadcast(before), ["_part", key], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = out.withColumns({"_y": zero("_y") + zero("_yb"), "_n": zero("_n") + zero("_nb")}).select(*df.columns, "_y", "_n")
+    return out.unionByName(df.where(F.col(key).isNull()).withColumns({"_y": F.lit(0), "_n": F.lit(0)}))
+
+
+def prior_rate(df: DataFrame, key: str, target: str, order: list[str], weight: float, name: str, prior: float = 0.2, strict: str | None = None, most: int = LARGE_KEY) -> DataFrame:
     """df with the smoothed share of `target` in earlier rows of the same key; null for a null key.
 
     Rows of one race see each other, in the given order; with strict, the column of the race, none of them does.
@@ -87,13 +121,13 @@ def prior_rate(df: DataFrame, key: str, target: str, order: list[str], weight: f
         w = Window.partitionBy(key).orderBy(*[c for c in order if c != strict][:1], strict).rowsBetween(Window.unboundedPreceding, -1)
         rate = (F.coalesce(F.sum("_y").over(w), F.lit(0)) + weight * prior) / (F.coalesce(F.sum("_n").over(w), F.lit(0)) + weight)
         return df.join(per.select(key, strict, rate.alias(name)), [key, strict], "left")
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rate = (F.coalesce(F.sum(target).over(w), F.lit(0)) + weight * prior) / (F.count(target).over(w) + weight)
-    return df.withColumn(name, F.when(F.col(key).isNotNull(), rate))
+    rows = _earlier(df, key, F.col(target), order, most)
+    return rows.withColumn(name, F.when(F.col(key).isNotNull(), (F.col("_y") + weight * prior) / (F.col("_n") + weight))).drop("_y", "_n")
 
 
-def prior_count(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    return df.withColumn(name, F.when(F.col(key).isNotNull(), F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1))
+def prior_count(df: DataFrame, key: str, order: list[str], name: str, most: int = LARGE_KEY) -> DataFrame:
+    """df with the number of earlier rows of the same key; null for a null key."""
+    return _earlier(df, key, F.lit(1), order, most).withColumn(name, F.when(F.col(key).isNotNull(), F.col("_n"))).drop("_y", "_n")
 
 
 def unique_suffix(df: DataFrame, candidate: str, order: str, name: str) -> DataFrame:

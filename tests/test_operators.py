@@ -57,6 +57,17 @@ def test_average_rank_and_prior_rate(spark):
     assert got[1] == pytest.approx(0.2) and got[2] == pytest.approx(0.4) and got[3] == pytest.approx(0.32) and got[4] is None
 
 
+def test_prior_rates_of_large_keys_are_the_same(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.choice(["a"] * 8 + ["b", "c", None]), r.randrange(2), r.randrange(50)) for i in range(400)]
+    df = spark.createDataFrame(rows, "t int, k string, y int, year int").repartition(7)
+    for f in (lambda m: R.prior_rate(df, "k", "y", ["year", "t"], 3, "x", most=m), lambda m: R.prior_count(df, "k", ["year", "t"], "x", most=m)):
+        one, two = ({q.t: q.x for q in f(m).collect()} for m in (10**6, 5))
+        assert one == pytest.approx(two) and len(one) == 400 and sum(v is None for v in one.values()) == sum(k is None for _, k, _, _ in rows)
+
+
 def test_texts(spark):
     c = F.col("c")
     assert [one(spark, S.distance_band(F.lit(x).cast("int")), c=1)[:4] for x in (1400, 1600, 2200, 2201, None)] == ["Spri", "Mile", "Inte", "Long", "Long"]
