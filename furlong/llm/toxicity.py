@@ -16,7 +16,8 @@ computed once for each distinct word.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,7 @@ class Kernel:
         self.landmarks = landmarks
         keys, value = summed(landmarks)
         self.table = np.unique(keys[value > 0])
-        self.dense = np.zeros((len(self.table) + 1, len(landmarks)))
+        self.dense = np.zeros((len(self.table) + 1, len(landmarks)), np.float32)
         for k in range(len(landmarks)):
             ok = value[k] > 0
             self.dense[np.searchsorted(self.table, keys[k][ok]), k] = value[k][ok]
@@ -134,15 +135,23 @@ class Kernel:
         return np.where(self.table[at] == keys, at, len(self.table))
 
     def __call__(self, strings: list[str]) -> np.ndarray:
-        out = np.zeros((len(strings), self.dense.shape[1]))
-        for k in range(0, len(strings), 1000):
-            keys, value = summed(strings[k : k + 1000])
+        out = np.zeros((len(strings), self.dense.shape[1]), np.float32)
+        for k in range(0, len(strings), 250):  # so that what is gathered stays in the processor's cache
+            keys, value = summed(strings[k : k + 250])
             at = self.places(keys)
             rows, cols = np.nonzero((value > 0) & (at < len(self.table)))
             if len(rows):
                 first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                out[k + rows[first]] = np.add.reduceat(value[rows, cols][:, None] * self.dense[at[rows, cols]], first, axis=0)
-        return np.exp(SHARP * (out - 1))
+                found = self.dense[at[rows, cols]]
+                found *= value[rows, cols].astype(np.float32)[:, None]
+                out[k + rows[first]] = np.add.reduceat(found, first, axis=0)
+        out -= 1
+        out *= SHARP
+        return np.exp(out, out=out)
+
+    def each(self, strings: list[str], f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """f of the strings' rows of kernels, of which no more than a few thousand are held."""
+        return np.concatenate([f(self(strings[k : k + 4000])) for k in range(0, len(strings), 4000)]) if strings else np.zeros(0)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0) -> np.ndarray:
@@ -164,15 +173,15 @@ class Bags:
 
     def __init__(self, texts: list[str]):
         names: dict[str, int] = {}
-        self.text_of, sent, word = [], [], []
+        text_of, sent, word = array("i"), array("i"), array("i")
         for k, t in enumerate(texts):
             for s in sentences(t):
                 own = {names.setdefault(p, len(names)) for w in s for p in pieces(w)}
-                sent += [len(self.text_of)] * len(own)
-                word += own
-                self.text_of.append(k)
+                sent.extend([len(text_of)] * len(own))
+                word.extend(own)
+                text_of.append(k)
         self.words, self.texts = list(names), len(texts)
-        self.sent, self.word, self.text_of = np.array(sent, np.int64), np.array(word, np.int64), np.array(self.text_of, np.int64)
+        self.sent, self.word, self.text_of = (np.array(x, np.int32) for x in (sent, word, text_of))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Of each sentence, the sum of its words' values."""
@@ -186,25 +195,22 @@ class Bags:
         return out
 
     def seen(self, kernel: Kernel, some: np.ndarray) -> np.ndarray:
-        """Some sentences through the landmarks."""
-        place = np.full(len(self.text_of), -1)
-        place[some] = np.arange(len(some))
-        on = place[self.sent] >= 0
-        rows, words = place[self.sent[on]], self.word[on]
-        used, at = np.unique(words, return_inverse=True)
-        k = kernel([self.words[w] for w in used])
-        order = np.argsort(rows, kind="stable")
-        out = np.zeros((len(some), k.shape[1]))
-        rows, at = rows[order], at[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
-        for j in range(0, len(first), 4000):
-            lo, hi = first[j], first[j + 4000] if j + 4000 < len(first) else len(rows)
-            out[rows[first[j : j + 4000]]] = np.add.reduceat(k[at[lo:hi]], first[j : j + 4000] - lo, axis=0)
+        """Some sentences through the landmarks, a thousand at a time."""
+        first = np.searchsorted(self.sent, np.arange(len(self.text_of) + 1))
+        out = np.zeros((len(some), len(kernel.landmarks)))
+        for lo in range(0, len(some), 1000):
+            part = [self.word[first[k] : first[k + 1]] for k in some[lo : lo + 1000]]
+            used, at = np.unique(np.concatenate(part), return_inverse=True)
+            k = kernel([self.words[w] for w in used])
+            size = np.array([len(x) for x in part])
+            starts = np.cumsum(size) - size
+            full = size > 0
+            out[lo : lo + len(part)][full] = np.add.reduceat(k[at], starts[full], axis=0)
         return out
 
 
 class Machine:
-    def __init__(self, rows: list[tuple[str, int]], landmarks: int = 144, counts: dict[int, int] | None = None, active: int = 6000):
+    def __init__(self, rows: list[tuple[str, int]], landmarks: int = 128, counts: dict[int, int] | None = None, active: int = 6000):
         """rows: (text, label). Without rows of both labels every score is that of the one label, or 0 without any.
 
         counts: how many texts of each label those of rows stand for (if not given, themselves); the probabilities follow them.
@@ -223,8 +229,9 @@ class Machine:
         if not (label[bags.text_of] == 1).any():
             self.only = 0.0
             return
-        text_word = np.unique(np.stack([bags.text_of[bags.sent], bags.word]), axis=1)
-        bad, good = (np.bincount(text_word[1][label[text_word[0]] == v], minlength=len(bags.words)) for v in (1, 0))
+        in_text = np.unique(bags.text_of[bags.sent].astype(np.int64) * len(bags.words) + bags.word)
+        of, word = np.divmod(in_text, len(bags.words))
+        bad, good = (np.bincount(word[label[of] == v], minlength=len(bags.words)) for v in (1, 0))
         n = [max(1, int((label == v).sum())) for v in (0, 1)]
         odds = np.log((bad + 0.1) / n[1]) - np.log((good + 0.1) / n[0])
         rank = np.where(bad > 0, odds * np.sqrt(bad), -99.0)
@@ -234,12 +241,12 @@ class Machine:
         often = named(by(good.astype(float), good > 0))
         marks = self._spread(best, landmarks // 2)
         usual = often[: landmarks // 4]
-        like = Kernel(marks)(often).max(1)
+        like = Kernel(marks).each(often, lambda k: k.max(1))
         # clean words close to the worst ones, so that the border between them can be drawn
         usual += self._spread([often[k] for k in np.argsort(-like, kind="stable")[:200]], landmarks // 4)
         marks += [w for w in usual if w not in marks]
         kernel = Kernel(marks)
-        value, vector = np.linalg.eigh(kernel(marks))
+        value, vector = np.linalg.eigh(kernel(marks).astype(np.float64))
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T  # K^(-1/2)
         clean = np.flatnonzero(label[bags.text_of] == 0)
         drawn = np.random.default_rng(7).permutation(clean)[: active // 2]
@@ -309,7 +316,7 @@ class Machine:
 
     def values(self, strings: list[str]) -> np.ndarray:
         """What each word adds to its sentence's score."""
-        return self.kernel(strings) @ self.beta
+        return self.kernel.each(strings, lambda k: k @ self.beta.astype(np.float32)).astype(np.float64)
 
     def learn(self, unknown: list[str]) -> None:
         """Puts words in the cache; a word in several pieces has the value of its worst one."""

@@ -473,7 +473,7 @@ def test_scores_are_sums_of_kernels_with_the_landmarks(spark):
     for text, parts in (("The river and the river. You idiot here!", [["the", "river", "and"], ["you", "idiot", "here"]]), ("such mo-ron stone", [["such", "mo-ron", "stone"], ["moron"]]), ("idixot lamp", [["idixot", "lamp"]])):
         top = max(sum(map(value, p)) for p in parts) + model.bias
         want = 1 / (1 + np.exp(-(model.slope * np.clip(top, -toxicity.MARGIN, toxicity.MARGIN) + model.shift)))
-        assert model.scores([text])[0] == pytest.approx(want, abs=1e-6)
+        assert model.scores([text])[0] == pytest.approx(want, abs=1e-4)  # kernels are single floats
     clean, gap = model.scores(["the river lamp", "the id_xiot lamp"])
     assert clean < gap
 
