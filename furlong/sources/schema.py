@@ -47,5 +47,7 @@ def copy(spark: SparkSession, source: str, target: str, change: dict | None = No
     spark.sql(f"DROP DATABASE IF EXISTS {target} CASCADE")
     spark.sql(f"CREATE DATABASE {target}")
     for t in spark.catalog.listTables(source):
+        if t.isTemporary:
+            continue
         rows = spark.table(f"{source}.{t.name}")
         (change or {}).get(t.name, lambda x: x)(rows).write.format("parquet").saveAsTable(f"{target}.{t.name}")
