@@ -452,4 +452,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.read(spark, sf_dir, "documents"))
 
 
-SQL = None
+SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM worded
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * COUNT(*) >= 75 * (MIN(x.n) + MIN(y.n) - COUNT(*))
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT doc_id, len(s) AS n_shingles, (SELECT MIN(other) FROM reached r WHERE r.doc_id = sets.doc_id) AS component_id FROM sets
+"""
