@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Digests of so many runs are joined by broadcast, at 100 bytes each.
+WIDE = 10_000
 ENTRY = "digest string, sha string, run long, variant int, ids array<bigint>, best long, n long"
 
 
@@ -53,6 +55,22 @@ def _runs(memtable_bytes: int, keep_max: bool) -> Callable[[Iterator[pa.RecordBa
     return build
 
 
+def _compacted(entries: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries whose digest is in one run, the others with what `several` says of their digest). Entries carry the ids of their
+    copies, so those that the filter lets by are never shuffled; nor are those of the WIDE digests of the most runs, to which
+    the result is broadcast. Any other digest has at most one of WIDE parts of all entries, and goes to one task."""
+    alone, near = common.split(entries, "digest", common.bit_filter(several, "digest"))
+    wide = common.stored(several.orderBy(F.desc("entries"), "digest").limit(WIDE))
+    hot = near.join(F.broadcast(wide), "digest")
+    cold = near.join(F.broadcast(wide.select("digest")), "digest", "left_anti").join(several, "digest", "left")
+    own = {"entries": F.lit(1), "variants": F.lit(0), "keep_id": F.col("best"), "first_run": F.col("run"), "group_size": F.col("n")}
+    missed = F.col("entries").isNull()  # the filter let it pass, but no other run has the digest
+    cold = cold.select(*entries.columns, *[F.when(missed, v).otherwise(F.col(c)).alias(c) for c, v in own.items()])
+    columns = ["digest", "sha", "run", "ids", "keep_id", "first_run", "group_size"]
+    met = common.stored(hot.unionByName(cold).select(*columns, "entries", "variants"))
+    return alone.withColumns({c: own[c] for c in columns[4:]}).select(*columns), met
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", memtable_bytes: int = 24 << 20, digest: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -65,23 +83,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = digest(F.col("text")) if digest else sha
     keep_max = keep == "max"
     entries = common.stored(base.select("id", "text", key.alias("digest"), sha.alias("sha")).mapInArrow(_runs(memtable_bytes, keep_max), ENTRY))
-    merged = entries.groupBy("digest").agg(F.count("*").alias("entries"), F.max("variant").alias("variants"))
-    hits = common.stored(merged.where((F.col("entries") > 1) & (F.col("variants") == 0)).select("digest"))
+    best, best_run = (F.max, F.max_by) if keep_max else (F.min, F.min_by)
+    merged = entries.groupBy("digest").agg(
+        F.count("*").alias("entries"), F.max("variant").alias("variants"), best("best").alias("keep_id"),
+        F.coalesce(best_run("run", "best"), F.min("run")).alias("first_run"), F.sum("n").alias("group_size"))
+    several = common.stored(merged.where("entries > 1 OR variants > 0"))
+    alone, met = _compacted(entries, several)
     # one text of each run is enough: inside a run the memtable has compared all of them; only these texts are shuffled
     mark = lambda d, i: F.concat_ws(":", d, i.cast("string"))
-    firsts = common.stored(entries.join(hits, "digest", "left_semi").select(mark(F.col("digest"), F.col("ids")[0]).alias("mark")).distinct())
+    firsts = met.where("entries > 1 AND variants = 0").select(mark(F.col("digest"), F.col("ids")[0]).alias("mark"))
     marked = base.select("text", key.alias("digest"), mark(key, F.col("id")).alias("mark"))
     sides = common.passing(marked, "mark", common.bit_filter(firsts, "mark")).join(firsts, "mark", "left_semi")
     differ = sides.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where(F.col("lo") != F.col("hi")).select("digest")
-    clash = common.stored(merged.where("variants > 0").select("digest").union(differ))
-    best = F.max if keep_max else F.min
-    wins = entries.groupBy("digest").agg(best("best").alias("keep_id"), F.sum("n").alias("group_size"))
-    lead = entries.join(wins, "digest").withColumn("lead", F.col("best").eqNullSafe(F.col("keep_id")))
-    runs = lead.where("lead").groupBy("digest").agg(F.min("run").alias("first_run"))
-    whole = lead.join(runs, "digest", "left")
-    at = F.when(F.col("keep_id").isNull(), F.lit(0)).otherwise(F.array_position("ids", F.col("keep_id")) - 1)
+    clash = common.stored(several.where("variants > 0").select("digest").union(differ))
     if not clash.isEmpty():
-        whole = whole.join(clash, "digest", "left_anti")
+        met = met.join(clash, "digest", "left_anti")
+    whole = alone.unionByName(met.select(*alone.columns))
+    at = F.when(F.col("keep_id").isNull(), F.lit(0)).otherwise(F.array_position("ids", F.col("keep_id")) - 1)
     rows = whole.select("keep_id", "group_size", "sha", "run", "first_run", at.alias("at"), F.posexplode("ids").alias("pos", "id")).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("run") == F.col("first_run")) & (F.col("pos") == F.col("at"))).alias("kept"), F.col("sha").alias("text_sha256"))
     if clash.isEmpty():

@@ -37,7 +37,9 @@ def frame(docs):
 
 @pytest.mark.parametrize("weak", [False, True])
 @pytest.mark.parametrize("keep", ["max", "min"])
-def test_exact_dedup(docs, empty, keep, weak):
+@pytest.mark.parametrize("wide", [2, 10_000])
+def test_exact_dedup(docs, empty, keep, weak, wide, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "WIDE", wide)
     digest = (lambda c: F.substring(F.sha2(c, 256), 1, 1)) if weak else None
     got = exact_dedup.exact_dedup(docs, keep=keep, memtable_bytes=2000, digest=digest).collect()
     rows = frame(docs)
@@ -509,3 +511,13 @@ def test_without_drops_and_keeps_one(spark):
     part = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
     got = Counter(r.k for r in common.without(rows, "k", part("a", "b"), part("a")).collect())
     assert got == Counter({"a": 1, "c": 1, None: 1})
+
+
+def test_jaccard_join_equals_its_sql(docs):
+    import duckdb
+
+    with duckdb.connect() as con:
+        con.register("documents", docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text").toArrow())
+        want = Counter(con.execute(jaccard_join.SQL).fetchall())
+    one = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(one).collect()) == want
