@@ -125,7 +125,26 @@ def test_stream_merges_batches(spark, tmp_path):
         spark.createDataFrame([(1, v)], "k int, v string").write.mode("append").parquet(src)
         q = U.merge_stream(spark.readStream.schema("k int, v string").parquet(src), out, ["k"], str(tmp_path / "ck"))
         q.awaitTermination()
-    assert [r.v for r in U.latest(spark, out).collect()] == ["new"]
+    assert [r.v for r in U.latest(spark, out, ["k"]).collect()] == ["new"]
+
+
+@pytest.mark.parametrize("replace", [True, False])
+def test_streamed_batches_are_merged_in_their_order(spark, tmp_path, replace):
+    import os
+
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    assert U.latest(spark, out, ["k"], replace) is None
+    want = {}
+    for n in range(8):
+        rows = [(k, at, f"{n}.{at}") for k in (n, n // 2, None) for at in (2, 1, 3)]
+        spark.createDataFrame(rows, "k int, at int, v string").coalesce(1).write.mode("append").parquet(src)
+        U.merge_stream(spark.readStream.schema("k int, at int, v string").parquet(src), out, ["k"], str(tmp_path / "ck"), replace, ["at"], compact_every=3).awaitTermination()
+        for k in (n, n // 2, None):
+            want[k] = f"{n}.3" if replace else want.get(k, f"{n}.1")
+        got = U.latest(spark, out, ["k"], replace).collect()
+        assert len(got) == len(want) and {r.k: r.v for r in got} == want
+    assert sorted(os.listdir(f"{out}/base")) == [f"furlong_batch={n:08d}" for n in (2, 5)]
+    assert sorted(os.listdir(f"{out}/delta")) == [f"furlong_batch={n:08d}" for n in (3, 4, 5, 6, 7)]
 
 
 def test_scaling(spark):
