@@ -6,32 +6,59 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import generation_weight, role, sire_group
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir (a local folder only where that is unset) and read again, which cuts its lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='furlong-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/furlong-{uuid.uuid4().hex}"
+_TOPS: dict[str, str] = {}
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir (a local one only where that is unset), in one that goes with the application."""
+    app = spark.sparkContext.applicationId
+    if app not in _TOPS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            base = f"file://{tempfile.mkdtemp(prefix='furlong-')}"
+            spark.conf.set("spark.checkpoint.dir", base)
+        _TOPS[app] = f"{base.rstrip('/')}/furlong-{uuid.uuid4().hex}"
+        fs, top = _filesystem(spark, _TOPS[app])
+        fs.mkdirs(top)
+        fs.deleteOnExit(top)
+    return f"{_TOPS[app]}/{uuid.uuid4().hex}"
+
+
+def _filesystem(spark: SparkSession, path: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    path = _shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, which cuts its lineage. It stays until the application ends."""
+    return _written(df)[0]
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame, DataFrame], bool], most: int) -> DataFrame:
-    """step until done(old, new), an error after `most` times; each state is stored, so plans stay short and lost executors lose nothing."""
-    state = stored(state)
+    """step until done(old, new), an error after `most` times; each state is stored, so plans stay short and lost executors lose
+    nothing. A state is deleted as soon as the next one is whole."""
+    spark = state.sparkSession
+    state, path = _written(state)
     for _ in range(most):
-        new = stored(step(state))
-        if done(state, new):
+        new, new_path = _written(step(state))
+        settled = done(state, new)
+        fs, old = _filesystem(spark, path)
+        fs.delete(old, True)
+        if settled:
             return new
-        state = new
+        state, path = new, new_path
     raise RuntimeError(f"not converged after {most} rounds")
 
 
