@@ -40,13 +40,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TOPS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset, as in tests, below a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='furlong-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/furlong-{uuid.uuid4().hex}"
+    """A fresh folder below spark.checkpoint.dir; only where that is unset, as in tests, below a local one. All of an application
+    are in one folder, which is deleted when its driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _TOPS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            base = f"file://{tempfile.mkdtemp(prefix='furlong-')}"
+            spark.conf.set("spark.checkpoint.dir", base)
+        _TOPS[app] = f"{base.rstrip('/')}/furlong-{uuid.uuid4().hex}"
+        top = spark._jvm.org.apache.hadoop.fs.Path(_TOPS[app])
+        fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(top)
+        fs.deleteOnExit(top)
+    return f"{_TOPS[app]}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
