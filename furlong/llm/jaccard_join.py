@@ -16,8 +16,10 @@ blocks of about BLOCK by hashed id, and two blocks meet in a tile, in which all
 product of small matrices. So memory follows BLOCK and never the size of a group, and a large group is spread over many tasks.
 Two rounds take only the blocks with themselves, dealt differently each time, at a cost linear in the group; they unite most of
 a large group of near copies. The last round takes all tiles that still span components, so that no link between components is
-lost, whatever the counts of frequent shingles said. A pair leaves its tile only if it can still reach its count, by what both
-sets have in the lists of other hubs and by the most that either shares with any one set in short lists.
+lost, whatever the counts of frequent shingles said. A document leaves its tile, once, if with some other it can still reach its
+count, by what both sets have in the lists of other hubs and by the most that either shares with any one set in short lists.
+Those that do meet in the tile a second time with their whole sets, and of the links found there a spanning forest goes on. So
+no step has a row for each pair of a group.
 """
 
 from __future__ import annotations
@@ -299,30 +301,40 @@ def _lists(table: pa.Table) -> pa.Table:
     return pa.concat_tables([one, two])
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("needed", pa.int32())])
+_NEAR = pa.schema([("hub", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("id", pa.int64()), ("component", pa.int64()), ("part", pa.int32())])
+
+
+def _hubs(table: pa.Table, names: tuple[str, ...]) -> Iterator[tuple[pa.Table, dict[str, np.ndarray]]]:
+    """The rows of each hub of the table, and of these the named columns."""
+    table = table.sort_by("hub")
+    hub = table["hub"].to_numpy()
+    cuts = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]]))
+    for at, end in zip(cuts, [*cuts[1:], len(hub)]):
+        part = table.slice(at, end - at)
+        yield part, {c: part[c].to_numpy().astype(np.int64) for c in names}
+
+
+def _sides(part: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
+    """Places on both sides of a tile: of blocks lo and hi if these differ, else all on both."""
+    return [np.flatnonzero(part == x) if lo != hi else np.arange(len(part)) for x in (lo, hi)]
 
 
 def _tile(table: pa.Table) -> pa.Table:
-    """Pairs of different components that share tokens below one hub, for each hub of the table: of blocks lo and hi if these
-    differ, else of all its documents. Of each document, `postings` are all its places in open lists, and `brief` is the most
-    that it shares with one other set in short lists; a pair that cannot reach its count with these is not over the threshold
-    and ends here."""
-    names = ("hub", "token", "id", "n", "p", "component", "postings", "brief", "part", "lo", "hi")
-    cols = {c: table[c].to_numpy() for c in names}
-    order = np.argsort(cols["hub"], kind="stable")
-    cols = {c: x[order].astype(np.int64) for c, x in cols.items()}
-    cuts = np.flatnonzero(np.concatenate([[True], cols["hub"][1:] != cols["hub"][:-1]]))
+    """Documents of a tile that may be over the threshold with one of another component, for each hub of the table. Of each
+    document, `postings` are all its places in open lists, and `brief` is the most that it shares with one other set in short
+    lists; a pair that cannot reach its count with these is not over the threshold. A document comes once, whatever the number
+    of its pairs."""
     out = []
-    for at, end in zip(cuts, [*cuts[1:], len(order)]):
-        token, ids, n, p, comp, postings, brief, part = (cols[c][at:end] for c in names[1:9])
-        lo, hi = cols["lo"][at], cols["hi"][at]
+    for _, cols in _hubs(table, ("hub", "token", "id", "n", "p", "component", "postings", "brief", "part", "lo", "hi")):
+        token, ids, n, p, comp, postings, brief, part = (cols[c] for c in ("token", "id", "n", "p", "component", "postings", "brief", "part"))
+        hub, lo, hi = (int(cols[c][0]) for c in ("hub", "lo", "hi"))
         if (comp == comp[0]).all():
             continue
         _, first, place = np.unique(np.stack([ids, n, p]), axis=1, return_index=True, return_inverse=True)  # one place for each set
         place = place.ravel()
         ids, n, p, comp, brief, part = (x[first] for x in (ids, n, p, comp, brief, part))
         rest = postings[first] - np.bincount(place, minlength=len(first))
-        left, right = (np.flatnonzero(part == x) if lo != hi else np.arange(len(ids)) for x in (lo, hi))
+        left, right = _sides(part, lo, hi)
         _, code = np.unique(token, return_inverse=True)
         shared = np.zeros((len(left), len(right)), np.float32)
         for base in range(0, code.max() + 1, BLOCK):
@@ -330,22 +342,91 @@ def _tile(table: pa.Table) -> pa.Table:
             grid = np.zeros((len(ids), BLOCK), np.float32)
             np.add.at(grid, (place[some], code[some] - base), 1)
             shared += grid[left] @ grid[right].T
+        near = np.zeros(len(ids), bool)
         for k in range(0, len(left), 128):
             i, j = np.nonzero(shared[k : k + 128])
             i, j, count = left[k + i], right[j], shared[k + i, j].astype(np.int64)
-            ok = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & ((ids[i] < ids[j]) if lo == hi else (ids[i] != ids[j]))
+            ok = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
             i, j, count = i[ok], j[ok], count[ok]
-            needed = least_shared(n[i], n[j], p[i], p[j])
-            able = count + np.minimum(rest[i], rest[j]) + np.minimum(brief[i], brief[j]) >= needed
-            i, j, count, needed = i[able], j[able], count[able], needed[able]
-            if len(i):
-                out.append(pa.Table.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(count, pa.int32()), pa.array(needed, pa.int32())], schema=_PAIRS))
-    return pa.concat_tables(out) if out else _PAIRS.empty_table()
+            able = count + np.minimum(rest[i], rest[j]) + np.minimum(brief[i], brief[j]) >= least_shared(n[i], n[j], p[i], p[j])
+            near[i[able]] = near[j[able]] = True
+        _, at = np.unique(np.where(near, ids, ids.min() - 1), return_index=True)  # an id with several sets comes once
+        at = at[near[at]]
+        out.append(pa.Table.from_arrays([pa.array(np.full(len(at), x), t) for x, t in zip((hub, lo, hi), _NEAR.types)] + [pa.array(x[at], t) for x, t in zip((ids, comp, part), _NEAR.types[3:])], schema=_NEAR))
+    return pa.concat_tables(out) if out else _NEAR.empty_table()
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at left with those at right. Shingles of up to SHORT sets add their pairs, others
+    go through products of small matrices; beside the sizes, only pieces of a few megabytes are held."""
+    tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, who = tokens[order], who[order]
+    cut = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([cut, [len(tokens)]]))
+    del tokens, order
+    row, col = (np.full(len(sets), -1, np.int32) for _ in range(2))
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    total = np.zeros((len(left), len(right)), np.int32)
+    for k in np.unique(size[(size > 1) & (size <= SHORT)]):
+        i, j = (x.astype(np.int32) for x in np.nonzero(~np.eye(k, dtype=bool)))
+        some = cut[size == k]
+        for at in range(0, len(some), step := max(1, (1 << 16) // len(i))):
+            rows = who[some[at : at + step, None] + np.arange(k)]
+            x, y = row[rows[:, i].ravel()], col[rows[:, j].ravel()]
+            ok = (x >= 0) & (y >= 0)
+            np.add.at(total, (x[ok], y[ok]), 1)
+    long = np.flatnonzero(size > SHORT)
+    for base in range(0, len(long), 256):
+        some = long[base : base + 256]
+        grid = np.zeros((len(sets), len(some)), np.float32)
+        for k, c in enumerate(some):
+            grid[who[cut[c] : cut[c] + size[c]], k] = 1
+        one, other = grid[left], grid[right].T
+        for k in range(0, len(left), 128):
+            total[k : k + 128] += (one[k : k + 128] @ other).astype(np.int32)
+    return total
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _tiled(open_lists: DataFrame, in_short: DataFrame, buckets: int, block: int, salt: int, across: bool) -> tuple[DataFrame, int]:
-    """(_PAIRS of open lists, number of hubs that were dealt). Hubs with more than `block` documents are dealt into blocks; across, all pairs of blocks meet, else
-    each meets itself. Smaller hubs share a task for each bucket."""
+def _linked(table: pa.Table) -> pa.Table:
+    """Links of a tile that join the same documents as all its links between components do, for each hub of the table: a
+    spanning forest, so fewer than the tile has documents. All pairs are compared by their whole sets."""
+    out = []
+    for rows, cols in _hubs(table, ("id", "component", "part", "lo", "hi")):
+        ids, comp, part = (cols[c] for c in ("id", "component", "part"))
+        column = rows["s"].combine_chunks()
+        values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+        sets = np.split(values, ends[:-1])
+        n = np.diff(np.concatenate([[0], ends])).astype(np.int64)
+        left, right = _sides(part, int(cols["lo"][0]), int(cols["hi"][0]))
+        both = _overlaps(sets, left, right)
+        link = np.zeros((len(ids), len(ids)), bool)
+        for k in range(0, len(left), 128):
+            i, some = left[k : k + 128], both[k : k + 128].astype(np.int64)
+            link[np.ix_(i, right)] = (some > 0) & (100 * some >= 75 * (n[i][:, None] + n[right] - some)) & (comp[i][:, None] != comp[right])
+        link |= link.T
+        a, b, fresh = [], [], link.any(axis=1)
+        while fresh.any():
+            todo = [int(np.argmax(fresh))]
+            fresh[todo[0]] = False
+            while todo:
+                i = todo.pop()
+                more = np.flatnonzero(link[i] & fresh)
+                fresh[more] = False
+                a.append(np.full(len(more), ids[i])), b.append(ids[more])
+                todo += more.tolist()
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            out.append(pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINKS))
+    return pa.concat_tables(out) if out else _LINKS.empty_table()
+
+
+def _tiled(docs: DataFrame, open_lists: DataFrame, in_short: DataFrame, buckets: int, block: int, salt: int, across: bool) -> tuple[DataFrame, int]:
+    """(links of open lists that unite what all links do, number of hubs that were dealt). Hubs with more than `block` documents
+    are dealt into blocks; across, all pairs of blocks meet, else each meets itself. Smaller hubs share a task for each bucket."""
     places = open_lists.groupBy("id").agg(F.count("*").alias("postings"))
     large = common.stored(open_lists.groupBy("hub").agg(F.approx_count_distinct("id", 0.02).alias("d")).where(F.col("d") > block).select("hub", F.ceil(F.col("d") / block).cast("int").alias("blocks")))
     dealt = large.count()
@@ -359,7 +440,11 @@ def _tiled(open_lists: DataFrame, in_short: DataFrame, buckets: int, block: int,
         bounded = bounded.withColumn("other", F.col("part"))
     tile = F.when(F.col("blocks").isNotNull(), F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(buckets)))
     keyed = bounded.select("hub", "token", "id", "n", "p", "component", "postings", "brief", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), tile.alias("tile"), F.col("blocks").isNotNull().alias("alone"))
-    return keyed.groupBy("alone", "tile", "lo", "hi").applyInArrow(lambda t: _tile(t), "a long, b long, shared int, needed int"), dealt
+    near = common.stored(keyed.groupBy("alone", "tile", "lo", "hi").applyInArrow(lambda t: _tile(t), "hub long, lo int, hi int, id long, component long, part int"))
+    # sets are longer than their postings here, so small hubs share ever smaller buckets
+    tile = F.when(F.col("blocks").isNotNull(), F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(16 * buckets)))
+    held = near.join(large, "hub", "left").select("hub", "lo", "hi", "id", "component", "part", tile.alias("tile"), F.col("blocks").isNotNull().alias("alone")).join(_sets(docs, near), "id")
+    return held.groupBy("alone", "tile", "lo", "hi").applyInArrow(lambda t: _linked(t), "a long, b long").distinct(), dealt
 
 
 def _hot_lists(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -374,9 +459,10 @@ def _hot_lists(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, rows.select("token", "hub", "id", "n", "p")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets meet the threshold. A filter of fixed size thins the texts before they are hashed again."""
-    bits = common.bit_filter(pairs.select("a").union(pairs.select(F.col("b").alias("a"))), "a")
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): the sets of the documents with these ids, and of a few more. A filter of fixed size thins the texts before they
+    are hashed again."""
+    bits = common.bit_filter(ids.select("id"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.rows_of(batches, "id", "text"):
@@ -384,7 +470,12 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "s"])
 
-    sets = common.stored(common.passing(docs.where("id is not null"), "id", bits).mapInArrow(run, "id long, s array<bigint>"))
+    return common.stored(common.passing(docs.where("id is not null"), "id", bits).mapInArrow(run, "id long, s array<bigint>"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets meet the threshold."""
+    sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -427,22 +518,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = common.stored(_verified(base, near.where("shared >= needed").select("a", "b")))
     found = common.stored(components(links.unionByName(copies)))
     in_short = near.where("brief > 0").select(F.explode(F.array("a", "b")).alias("id"), "brief").groupBy("id").agg(F.max("brief").alias("brief"))
-    # pairs of different components meet in open lists and in short ones; hub ties, which open lists count again, stay out
-    short = near.where("shared < needed AND brief > 0").select("a", "b", F.col("brief").cast("int").alias("shared"), "needed")
-    side = lambda c: F.coalesce(F.col(f"{c}_component"), F.col(c))
+    # a pair that shares no open list has its whole count in near, so only documents of open lists are compared again
     for salt, across in ((1, False), (2, False), (3, True)):
         marked = posts.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         open_lists = common.stored(marked.join(mixed, "token", "left_semi"))
-        more, dealt = _tiled(open_lists, in_short, buckets, block, salt, across)
-        again = more.unionByName(short).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed")
-        for c in ("a", "b"):
-            again = again.join(found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
-        again = common.stored(again.where(side("a") != side("b")).select("a", "b"))
-        if not again.isEmpty():
-            late = common.stored(_verified(base, again))
-            if not late.isEmpty():
-                found = _united(found, late)
+        more, dealt = _tiled(base, open_lists, in_short, buckets, block, salt, across)
+        late = common.stored(more)
+        if not late.isEmpty():
+            found = _united(found, late)
         if not dealt:  # every pair has met
             break
     return rows.join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,33 @@ def test_jaccard_join_of_a_large_group_in_tiles(spark, hot, block, monkeypatch):
     assert got == links(rows) and len({c for _, _, c in got}) > 1
 
 
+def test_tiles_of_jaccard_join_give_no_more_rows_than_documents():
+    """Near copies of as many components, below one hub: neither step has a row for each pair, and the links join what all links join."""
+    rng, n = np.random.default_rng(4), 80
+    column = lambda **cols: pa.table({c: pa.array(x) for c, x in cols.items()})
+    who, token = np.repeat(np.arange(n), 20), np.tile(np.arange(20), n)
+    fixed = lambda x, k: np.full(k, x)
+    posts = column(hub=fixed(0, 20 * n), token=token, id=who, n=fixed(40, 20 * n), p=fixed(20, 20 * n), component=who, postings=fixed(20, 20 * n), brief=fixed(0, 20 * n), part=fixed(0, 20 * n), lo=fixed(0, 20 * n), hi=fixed(0, 20 * n))
+    assert jaccard_join._tile(posts).num_rows <= n
+    core = rng.integers(0, 10**9, (6, 60))
+    sets = [np.unique(np.where(rng.random(60) < 0.06, rng.integers(0, 10**9, 60), core[k % 6])) for k in range(n)]
+    above = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
+    for lo, hi in ((0, 0), (0, 1)):
+        part, comp = np.arange(n) // 6 % (hi + 1), np.arange(n) // 4
+        found = jaccard_join._linked(column(hub=fixed(0, n), lo=fixed(lo, n), hi=fixed(hi, n), id=np.arange(n), component=comp, part=part, s=[x.tolist() for x in sets]))
+        got = list(zip(found["a"].to_pylist(), found["b"].to_pylist()))
+        want = [(i, j) for i in range(n) for j in range(i) if comp[i] != comp[j] and (lo == hi or part[i] != part[j]) and above(i, j)]
+        assert len(got) < n < len(want) and {(max(x), min(x)) for x in got} <= set(want)
+        tops = []
+        for pairs in (got, want):
+            top = list(range(n))
+            for i, j in pairs:
+                a, b = top[i], top[j]
+                top = [min(a, b) if x in (a, b) else x for x in top]
+            tops.append(top)
+        assert tops[0] == tops[1]
+
+
 def test_long_words_that_collide_in_a_polynomial():
     """Thue-Morse words have equal polynomials modulo 2^64 for every odd base."""
     word = "a"
