@@ -47,8 +47,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, levelled between the sources as far as no document is needed more than 1.25 times on average.
 
-    A null source is a source of its own. Rows without a word cost nothing. Rows of equal id and text share their copies. Other
-    columns pass through, whatever their names.
+    A null source is a source of its own. Rows without a word cost nothing. Rows stay in place: only
+    places and counts of tokens are shuffled. Other columns pass through, whatever their names.
     """
     return mixing.mixed(docs, max_repeats=1.25)
 

@@ -53,22 +53,22 @@ def _log(x: float) -> float:
     return math.log(x)
 
 
-def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 1.25, entropy: float | None = None, seed: str = "mix", blocks: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_md5: bool = False) -> DataFrame:
-    """One row per input row: id_col, source, n_tokens, weight (of its source), copies (how often the mix takes it), and text_md5 if with_md5.
-
-    budget: tokens of the mix, as a multiple of all tokens. Tokens are words, runs of other characters than white space. A null
-    text counts as empty; rows without tokens cost nothing, take part in each whole pass and in the blocks they fall into. A
-    null source is a source of its own. A source's budget is rounded down to a whole token. Equal ids are ordered by text. An
-    empty table gives no rows. blocks: of each source, permuted by a hash of seed and number; of the block in which the budget
-    ends only one in 65,536 parts, by the leading digits of a hash of the id, is sorted by document.
-    """
-    base = docs.select(
+def _placed(docs: DataFrame, seed: str, blocks: int, id_col: str, source_col: str, *more: Column) -> DataFrame:
+    """(id, key, src, h, block, *more): what a row's place in the mix follows from. key is the source, a null one as well."""
+    rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("key"), F.col(source_col).cast("string").alias("src"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"),
-        F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("digest"))
-    base = common.stored(base.withColumn("block", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % blocks).cast("int")))
-    in_blocks = base.groupBy("key", "block").agg(F.sum("n_tokens").alias("tokens"))
-    in_blocks = common.stored(in_blocks)
+        F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"), *more)
+    return rows.withColumn("block", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % blocks).cast("int"))
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def _ends(base: DataFrame, budget: float, max_repeats: float | None, entropy: float | None, seed: str) -> DataFrame:
+    """Of each block (key, block) its source's weight, whole passes and the tokens that are left for a last pass, and where in
+    that pass the block starts and ends."""
+    in_blocks = common.stored(base.groupBy("key", "block").agg(F.sum("n_tokens").alias("tokens")))
     sources = in_blocks.groupBy("key").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     all_tokens = int(sources.agg(F.sum("tokens")).head()[0] or 0)
     most = int(budget * all_tokens)
@@ -79,13 +79,17 @@ def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 1.25,
     plan = plan.withColumn("own", F.floor(F.col("weight") * F.lit(most) + F.lit(1e-6)).cast("long")).select("key", "weight", F.expr("own DIV tokens").alias("passes"), F.expr("own % tokens").alias("rest"))
     place = F.md5(F.concat_ws("/", F.lit(seed), "key", F.col("block").cast("string")))
     order = Window.partitionBy("key").orderBy(place, "block")  # at most `blocks` rows of each source
-    ends = in_blocks.withColumn("upto", F.sum("tokens").over(order)).join(plan, "key", "left").select(
+    return in_blocks.withColumn("upto", F.sum("tokens").over(order)).join(plan, "key", "left").select(
         "key", "block", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce("rest", F.lit(0)).alias("rest"), F.col("upto"), (F.col("upto") - F.col("tokens")).alias("before"))
-    rows = base.join(ends, ["key", "block"])
-    cut = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("upto"))
-    whole = rows.where(~cut).withColumn("extra", (F.col("upto") <= F.col("rest")).cast("int"))
-    # the block in which the budget ends goes by h: first by its leading digits, then row by row where these end
-    cells = rows.where(cut).withColumn("cell", F.substring("h", 1, 4))
+
+
+CUT = "before < rest AND rest < upto"  # the block in which the budget ends
+
+
+def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of cut blocks with `extra`, whether the last pass takes them. A block goes by h: first by its leading digits, and row
+    by row where these end, which are the second rows returned."""
+    cells = rows.where(CUT).withColumn("cell", F.substring("h", 1, 4))
     sums = cells.groupBy("key", "block", "cell").agg(F.sum("n_tokens").alias("own"))
     sums = sums.withColumn("from", F.sum("own").over(Window.partitionBy("key", "block").orderBy("cell")) - F.col("own"))
     placed = cells.join(sums, ["key", "block", "cell"]).withColumn("from", F.col("before") + F.col("from"))
@@ -93,22 +97,50 @@ def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 1.25,
     within = Window.partitionBy("key", "block", "cell").orderBy("h", "id", "digest")
     even = placed.where(~split).withColumn("extra", (F.col("from") + F.col("own") <= F.col("rest")).cast("int"))
     odd = placed.where(split).withColumn("extra", (F.col("from") + F.sum("n_tokens").over(within) <= F.col("rest")).cast("int"))
+    return even, odd
+
+
+def _counted(docs: DataFrame, seed: str, blocks: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    n_tokens = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens")
+    return common.stored(_placed(docs, seed, blocks, id_col, source_col, n_tokens, _digest(F.col(text_col)).alias("digest")))
+
+
+def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 1.25, entropy: float | None = None, seed: str = "mix", blocks: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per input row: id_col, source, n_tokens, weight (of its source), and copies (how often the mix takes it).
+
+    budget: tokens of the mix, as a multiple of all tokens. Tokens are words, runs of other characters than white space. A null
+    text counts as empty; rows without tokens cost nothing, take part in each whole pass and in the blocks they fall into. A
+    null source is a source of its own. A source's budget is rounded down to a whole token. Equal ids are ordered by text. An
+    empty table gives no rows. blocks: of each source, permuted by a hash of seed and number; of the block in which the budget
+    ends only one in 65,536 parts, by the leading digits of a hash of the id, is sorted by document.
+    """
+    base = _counted(docs, seed, blocks, id_col, text_col, source_col)
+    rows = base.join(_ends(base, budget, max_repeats, entropy, seed), ["key", "block"])
+    whole = rows.where(f"NOT ({CUT})").withColumn("extra", (F.col("upto") <= F.col("rest")).cast("int"))
+    even, odd = _cut(rows)
     part = even.unionByName(odd).select(*whole.columns)
-    return whole.unionByName(part).select(F.col("id").alias(id_col), F.col("src").alias("source"), "n_tokens", F.round("weight", 9).alias("weight"), (F.col("passes") + F.col("extra")).cast("long").alias("copies"), *[F.col("digest").alias("text_md5")] * with_md5)
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, whatever these are called, each as often as mix() takes it. Rows of equal id
-    and text share their copies evenly."""
-    plan = mix(docs, id_col=id_col, text_col=text_col, with_md5=True, **options)
-    taken = plan.groupBy(F.col(id_col).alias("i"), F.col("text_md5").alias("m")).agg(F.sum("copies").alias("c"), F.count("*").alias("r")).where("c > 0")
-    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("d"))
-    rows = marked.join(taken, F.col("id").eqNullSafe(F.col("i")) & (F.col("d") == F.col("m")))
-    single, several = rows.where("r = 1"), rows.where("r > 1")
-    nth = F.row_number().over(Window.partitionBy("i", "m").orderBy("d"))
-    each = several.withColumn("n", F.floor((F.col("c") + F.col("r") - nth) / F.col("r")).cast("long"))
-    both = single.withColumn("n", F.col("c")).unionByName(each).where("n > 0")
-    return both.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
+    return whole.unionByName(part).select(F.col("id").alias(id_col), F.col("src").alias("source"), "n_tokens", F.round("weight", 9).alias("weight"), (F.col("passes") + F.col("extra")).cast("long").alias("copies"))
+
+
+def mixed(docs: DataFrame, budget: float = 1.0, max_repeats: float | None = 1.25, entropy: float | None = None, seed: str = "mix", blocks: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, whatever these are called, each as often as mix() takes it.
+
+    Rows stay where they are: whether the last pass takes one follows from its block, in a cut block from whether its part comes
+    before the one in which the budget ends, and only in that part from a table of documents. These tables are broadcast where
+    they are small, as they are unless there are very many sources."""
+    base = _counted(docs, seed, blocks, id_col, text_col, source_col)
+    ends = common.stored(_ends(base, budget, max_repeats, entropy, seed))
+    _, odd = _cut(base.join(ends, ["key", "block"]))
+    odd = common.stored(odd.select("key", "block", "cell", "id", "digest", "extra").distinct())  # equal rows have equal sums
+    splits = odd.select("key", "block", F.col("cell").alias("split")).distinct()
+    ends = common.stored(ends.join(splits, ["key", "block"], "left").select("key", "block", "passes", "split", F.when(F.expr(CUT), F.lit(None)).otherwise(F.col("upto") <= F.col("rest")).cast("int").alias("last")))
+    cell = F.substring("h", 1, 4)
+    rows = _placed(docs, seed, blocks, id_col, source_col, F.struct("*").alias("row")).join(common.small(ends), ["key", "block"])
+    rows = rows.withColumn("digest", F.when(cell == F.col("split"), _digest(F.col("row").getField(text_col))))
+    exact = odd.select(F.col("key").alias("k"), F.col("id").alias("i"), F.col("digest").alias("d"), "extra")
+    rows = rows.join(common.small(exact), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
+    copies = F.col("passes") + F.coalesce("last", "extra", (cell < F.col("split")).cast("int"))
+    return rows.withColumn("n", copies.cast("long")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

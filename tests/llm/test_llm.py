@@ -235,6 +235,22 @@ def test_warc_of_an_empty_table(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_mixed_rows_stay_in_place(spark, docs):
+    """Each row comes as often as mix() takes it, also where another source has the same id and text; no text is shuffled."""
+    rows = [(i, f"w{i} " * (5 + i % 7), "a") for i in range(3000)]
+    rows += [(i, t, "b") for i, t, _ in rows[:40]] + rows[:3] + [(None, "null id here", "a"), (None, "another null id", None), (7, None, "b"), (8, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for some, options in ((df, {"max_repeats": 4.5}), (df, {"max_repeats": 3.0, "blocks": 1, "seed": "x"}), (docs, {"max_repeats": 1.5}), (docs, {"max_repeats": 1.25, "blocks": 2, "budget": 0.4})):
+        key = lambda r: (r.doc_id, r.source, r.n_tokens)
+        some = common.stored(some)
+        want, out = Counter(), mixing.mixed(some, **options)
+        for r in mixing.mix(some, **options).collect():
+            want[key(r)] += r.copies
+        words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n_tokens")
+        assert Counter(map(key, out.select("doc_id", "source", words).collect())) == +want
+        assert not re.search(r"(?<!Broadcast)Exchange", out._jdf.queryExecution().executedPlan().toString())
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs, max_repeats=1.5).collect()
     rows = Counter((r.source, r.n_tokens) for r in got)
