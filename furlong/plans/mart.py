@@ -63,7 +63,7 @@ def graphs(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 def metadata(s, d) -> DataFrame:
     """One row for each horse: its 22 attributes and era; results, ranks and inbreeding that are missing count 0. Stored, since much is made from it."""
     und, pres, nodes = graphs(s, d)
-    crossed = G.crosses(B.tree(s, d)).groupBy(F.col("horse").alias("runner")).agg(
+    crossed = G.crosses(B.paths(s, d)).groupBy(F.col("horse").alias("runner")).agg(
         F.sum("share").alias("fx"), S.first_three(F.collect_list(S.cross_text(F.col("ancestor"), F.length("s"), F.length("d"), 100 * F.col("share")))).alias("crosses"))
     stats = horse_stats(s, d).drop("half").withColumnRenamed("peak_year", "peak")
     out = B.horses(s, d)
@@ -133,8 +133,8 @@ def lineage(s, d) -> tuple[DataFrame, DataFrame]:
     """(nodes with their table row and role, edges from ancestor to descendant) of three generations of the elite."""
     meta = metadata(s, d)
     elite = meta.where("g1_wins >= 1 OR pagerank_scaled >= 3.0").select(F.col("horse_name").alias("horse"))
-    edges = G.lineage(B.tree(s, d).join(elite, "horse", "left_semi"), 3)
-    nodes = elite.join(B.tree(s, d).select("horse").distinct(), "horse", "left_semi").select(F.col("horse").alias("node"))
+    edges = G.lineage(B.paths(s, d, 3, elite), 3)
+    nodes = B.paths(s, d, 1, elite).where(F.size("paths") > 0).select(F.col("horse").alias("node"))
     for c in ("src", "dst"):
         nodes = nodes.unionByName(edges.select(F.col(c).alias("node")))
     return G.lineage_nodes(nodes.distinct(), meta, progeny(s, d)), edges
@@ -297,7 +297,7 @@ def race_features(s, d):
     """The 17 features of each start, rates from earlier starts only; weights and masses come from texts as tables have them."""
     horses = B.horses(s, d).select("runner", S.or_unknown(F.col("sire")).alias("sire"), "dam_sire", "sex", "birth_year")
     sizes = B.entries(s, d).groupBy("race").agg(F.count("*").cast("double").alias("num_runners"))
-    fx = G.inbreeding(B.tree(s, d)).select(F.col("horse").alias("runner"), F.round(100 * F.col("fx"), 3).alias("fx_pct"))
+    fx = G.inbreeding(B.paths(s, d)).select(F.col("horse").alias("runner"), F.round(100 * F.col("fx"), 3).alias("fx_pct"))
     rows = B.ran(s, d).join(horses, "runner").join(sizes, "race").join(fx, "runner", "left")
     rows = rows.withColumns({
         "y": S.indicator(F.col("position") <= 3), "ss": S.joined_key(F.col("sire"), F.col("surface")), "sd": S.joined_key(F.col("sire"), S.distance_band(F.col("distance"), True)), "age": F.when(F.col("birth_year") > 0, F.col("year") - F.col("birth_year")).cast("double"),

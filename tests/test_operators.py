@@ -231,3 +231,27 @@ def test_forest_sweep_and_node_table_are_whole(spark, monkeypatch):
     monkeypatch.setattr(plans.M, "forest", forest)
     with pytest.raises(Seen, match="45"):
         plans.QUERIES["classifiers"](spark, data)
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_are_not_broadcast(spark):
+    """A tree has 62 rows for each row that it is made from, which the optimiser takes for one."""
+    from furlong import plans
+
+    for name in ("common_ancestors", "pedigree_edges", "progeny", "ancestors"):
+        assert "Broadcast" not in _exchanges(plans.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+    tree = plans.B.tree(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in _exchanges(G.dag_edges(tree)) and "Broadcast" not in _exchanges(G.least_depths(G.dag_edges(tree), tree.select("horse").distinct()))
+
+
+def test_steps_of_gathered_trees_are_those_of_their_rows(spark):
+    rows = [("h", "S", "a"), ("h", "SS", "n"), ("h", "SSD", "o"), ("h", "D", "b"), ("h", "DDS", "x"), ("k", "D", "h"), ("k", "DS", "a"), ("m", "S", None)]
+    tree = spark.createDataFrame(rows, "horse string, line string, ancestor string")
+    steps = lambda t: {tuple(r) for r in G.tree_steps(t).collect()}
+    assert steps(tree) == steps(G.gathered(tree)) == {("h", "S", "h", "a"), ("h", "SS", "a", "n"), ("h", "SSD", "n", "o"), ("h", "D", "h", "b"), ("k", "D", "k", "h"), ("k", "DS", "h", "a")}
+    twice = spark.createDataFrame([("h", "S", "a"), ("h", "S", "b"), ("h", "SD", "c")], "horse string, line string, ancestor string")
+    assert {(r.child, r.parent) for r in G.dag_edges(twice).collect()} == {("h", "a"), ("h", "b"), ("a", "c"), ("b", "c")}
+    assert {tuple(r) for r in G.tree_depths(spark.createDataFrame([("h", "S", "a"), ("h", "DD", "a")], "horse string, line string, ancestor string")).collect()} == {("h", "a", 1)}
