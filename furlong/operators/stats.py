@@ -34,7 +34,7 @@ def anova_kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def chi2_independence(df: DataFrame, row: str, col: str) -> DataFrame:
     """One row: chi2, dof, cramers_v of two columns; empty cells count, null keys do not."""
-    expected = F.col("row_total") * F.col("col_total") / F.col("total")
+    expected = F.col("row_total").cast("double") * F.col("col_total") / F.col("total")
     cells = contingency(df, row, col).agg(F.sum(F.pow(F.col("n") - expected, 2) / expected).alias("chi2"), F.countDistinct(row).alias("r"), F.countDistinct(col).alias("c"), F.max("total").alias("n"))
     least = F.least(F.col("r"), F.col("c")) - 1
     return cells.select(F.col("chi2"), ((F.col("r") - 1) * (F.col("c") - 1)).alias("dof"), F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * least)).alias("cramers_v"))
@@ -48,7 +48,8 @@ def with_p(test: DataFrame, stat: str = "chi2", dof: str = "dof") -> DataFrame:
 
 def anova(df: DataFrame, group: str, value: str, least: int = 5) -> DataFrame:
     """One row: f, eta2, df_between, df_within; groups of fewer than `least` rows are left out."""
-    per = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).where(F.col("n") >= least)
+    v = F.col(value).cast("double")  # the square of a sum of many whole numbers is beyond 64 bits
+    per = df.where(v.isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")).where(F.col("n") >= least)
     tot = per.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     between, within = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
     return tot.select((F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k")))).alias("f"), F.try_divide(between, between + within).alias("eta2"), (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
@@ -60,7 +61,7 @@ def kruskal(df: DataFrame, group: str, value: str, least: int = 5) -> DataFrame:
     large = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(group)
     per = average_rank(rows.join(large, group, "left_semi"), value, "_r").groupBy(group).agg(F.count("*").alias("n"), F.sum("_r").alias("r"))
     tot = per.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("x"))
-    return tot.select((12.0 / (F.col("n") * (F.col("n") + 1)) * F.col("x") - 3 * (F.col("n") + 1)).alias("h"), (F.col("k") - 1).alias("dof"))
+    return tot.select((12.0 / (F.col("n").cast("double") * (F.col("n") + 1)) * F.col("x") - 3 * (F.col("n") + 1)).alias("h"), (F.col("k") - 1).alias("dof"))
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -82,7 +83,8 @@ def binary_metrics(df: DataFrame, target: str, score: str, threshold: float = 0.
 def roc_auc(df: DataFrame, target: str, score: str) -> DataFrame:
     """One row: auc, by average ranks."""
     ranks = average_rank(df.select(target, score), score, "_r")
-    n = ranks.agg(F.sum(F.col(target)).alias("p"), F.sum(1 - F.col(target)).alias("q"), F.sum(F.when(F.col(target) == 1, F.col("_r"))).alias("r"))
+    y = F.col(target).cast("double")  # as p * q is beyond 64 bits for many rows
+    n = ranks.agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"), F.sum(F.when(F.col(target) == 1, F.col("_r"))).alias("r"))
     return n.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
 

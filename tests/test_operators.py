@@ -255,3 +255,15 @@ def test_steps_of_gathered_trees_are_those_of_their_rows(spark):
     twice = spark.createDataFrame([("h", "S", "a"), ("h", "S", "b"), ("h", "SD", "c")], "horse string, line string, ancestor string")
     assert {(r.child, r.parent) for r in G.dag_edges(twice).collect()} == {("h", "a"), ("h", "b"), ("a", "c"), ("b", "c")}
     assert {tuple(r) for r in G.tree_depths(spark.createDataFrame([("h", "S", "a"), ("h", "DD", "a")], "horse string, line string, ancestor string")).collect()} == {("h", "a", 1)}
+
+
+def test_head_to_head_of_two_that_never_met(spark):
+    e = spark.createDataFrame([(1, "a", 1, 0.7), (1, "c", 2, 0.7)], "race int, runner string, position int, weight double")
+    assert tuple(G.head_to_head(G.meetings(e), "a", "b").head()) == ("a", "b", None, 0.0, 0.0)
+
+
+def test_anova_of_whole_numbers_with_large_sums(spark):
+    """The square of the sum is beyond 64 bits."""
+    rows = spark.createDataFrame([(g, 1_000_000_000 * g + k) for g in (1, 2) for k in range(5)], "g int, v long")
+    r = T.anova(rows, "g", "v").head()
+    assert r.df_between == 1 and r.df_within == 8 and r.eta2 == pytest.approx(1)
