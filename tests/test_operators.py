@@ -274,3 +274,10 @@ def test_degrees_without_pairs_are_those_of_pairs(spark):
     e = spark.createDataFrame(rows, "race int, runner string, position int, weight double")
     nodes = e.where("position < 90").select(F.col("runner").alias("node")).distinct()
     assert {tuple(r) for r in G.met_degree(e).collect()} == {tuple(r) for r in G.degree(G.undirected(G.meetings(e)), nodes).collect()}
+
+
+def test_rows_by_key_are_counted_where_told(spark):
+    rows = spark.createDataFrame([("h", 1, 1), ("h", 2, 0), ("h", 3, 1)], "k string, t int, y int")
+    costly = rows.withColumn("y", F.when(F.raise_error("made again").isNull(), 1))
+    assert R.prior_rate(costly, "k", "y", ["t"], 3, "rate", counted=rows).columns == ["k", "t", "y", "rate"]
+    assert [r.n for r in R.prior_count(rows, "k", ["t"], "n", counted=rows).orderBy("t").collect()] == [0, 1, 2]
